@@ -139,4 +139,4 @@ def sum_cost(*, when: Column | None = None, name: str = "cost_usd") -> Column:
 
 def usd(amount: str | Column) -> Column:
     """Money for a report: a double with six decimals."""
-    return F.round(_col(amount).cast("double"), 6)
+    return F.round(_col(amount), 6).cast("double")

@@ -59,14 +59,19 @@ def _windows() -> Column:
     )
 
 
+def _of_kind(kind: str):
+    # A closure: Spark would read a second lambda argument as the element's index.
+    return lambda w: w["kind"] == kind
+
+
 def unique_windows(snapshots: DataFrame) -> DataFrame:
     """Windows by kind, kept only when exactly one slot has the kind; match counts kept."""
     out = snapshots.withColumn("windows", _windows())
     for kind in KINDS:
-        matches = F.filter("windows", lambda w, kind=kind: w["kind"] == kind)
+        matches = F.filter("windows", _of_kind(kind))
         out = out.withColumn(f"{kind}_count", F.size(matches).cast("bigint"))
         out = out.withColumn(kind, F.when(F.size(matches) == 1, F.try_element_at(matches, F.lit(1))))
-    unknown = F.filter("windows", lambda w: w["kind"] == "unclassified")
+    unknown = F.filter("windows", _of_kind("unclassified"))
     return out.withColumn("unclassified", unknown).drop("windows")
 
 

@@ -287,7 +287,7 @@ def quota_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skill_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id",
-        F.parse_url("url", F.lit("PATH")).alias("skill_path"),
+        F.try_parse_url("url", F.lit("PATH")).alias("skill_path"),
         F.octet_length("html").cast("bigint").alias("byte_count"),
         text_tokens("html").alias("token_estimate"),
     )
@@ -295,7 +295,7 @@ def skill_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One load per event; the path is the page's path, null pages keep a made name."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("PATH")).alias("path"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.try_parse_url("url", F.lit("PATH")).alias("path"))
     loads = events(spark, sf_dir).withColumn("want", F.col("event_id") % 100)
     return loads.join(pages, F.col("want") == F.col("page_id"), "left").select(
         F.lit("log").alias("runtime"),

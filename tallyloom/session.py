@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings every job relies on.  All are plain SQL settings, so they can
 #: be applied to a session that somebody else built.
@@ -38,32 +38,25 @@ def build(app: str = "tallyloom", master: str | None = None, **extra: str) -> Sp
     return prepare(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, named by ``spark.checkpoint.dir``.
+def work_folder(spark: SparkSession) -> str:
+    """The folder every executor sees, named by ``spark.checkpoint.dir``.
 
-    Tests set the property themselves; on a cluster it is part of the session,
-    and there is no fall-back to a machine-local folder.
+    Only a local session without that setting (a test) gets a folder of its own; on a
+    cluster there is no fall-back to a machine-local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach")
-    return folder
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tallyloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/tallyloom"
 
 
-def materialise(df):
+def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back, so that several consumers
-    share it and a lost executor costs one read, not the whole lineage.
-
-    Uses ``spark.checkpoint.dir``.  A local test session without that setting gets a
-    folder of its own; on a cluster without it the plan stays as it is.
-    """
+    share it and a lost executor costs one read, not the whole lineage."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            return df
-        folder = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/tallyloom/{uuid.uuid4().hex}"
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,17 +12,22 @@ from tallyloom.functions.times import parse_instant
 MAX_SKILL_BYTES = 4 * 1024 * 1024
 
 
-def _documents(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+def scan_files(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
+    """One row per file with its text: (path, modified_at, value).  For small documents."""
     return (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
         .text(path, wholetext=True)
         .select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified_at"),
-            F.try_parse_json("value").alias("doc"), "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_modification_time").alias("modified_at"), "value",
         )
     )
 
 
+def _documents(files: DataFrame) -> DataFrame:
+    return files.withColumn("doc", F.try_parse_json("value")).where("doc is not null")
+
+
 def _first(doc: str, kind: str, *paths: str) -> Column:
     return F.coalesce(*[F.try_variant_get(doc, f"$.{p}", kind) for p in paths])
 
@@ -35,9 +40,9 @@ def _time(doc: str, *paths: str) -> Column:
     return F.coalesce(*[parse_instant(F.try_variant_get(doc, f"$.{p}", "string")) for p in paths])
 
 
-def scan_tasks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def parse_tasks(files: DataFrame) -> DataFrame:
     """Task documents: (path, status, title, updated_at, project)."""
-    docs = _documents(spark, path, "*.json").where("doc is not null")
+    docs = _documents(files)
     stem = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     return docs.select(
         "path", _text("doc", "status").alias("status"),
@@ -47,12 +52,12 @@ def scan_tasks(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def scan_status_snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def parse_status_snapshots(files: DataFrame) -> DataFrame:
     """Quota snapshots with named windows: one row per file with both windows as slots.
 
     Percentages are cut to 0..100; the window lengths are implied by the names.
     """
-    docs = _documents(spark, path, "*.json")
+    docs = _documents(files)
 
     def window(camel: str, snake: str, mins: int) -> Column:
         places = [f"{outer}.{inner}" for outer in ("rateLimits", "rate_limits") for inner in (camel, snake)]
@@ -119,9 +124,9 @@ def _is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
-def scan_stats_cache(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def parse_stats_cache(files: DataFrame) -> DataFrame:
     """Fallback totals: (path, today, seven_day, lifetime tokens, cost, updated_at); empty ones dropped."""
-    docs = _documents(spark, path, "*.json").where("doc is not null")
+    docs = _documents(files)
 
     def number(*names: str) -> Column:
         return F.coalesce(*[F.try_variant_get("doc", f"$.{n}", "string").try_cast("double").cast("bigint") for n in names])
@@ -136,14 +141,13 @@ def scan_stats_cache(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ).where("lifetime_tokens > 0")
 
 
-def scan_skill_counters(spark: SparkSession, path: str | list[str], glob: str = "*.json") -> DataFrame:
+def parse_skill_counters(files: DataFrame) -> DataFrame:
     """Global skill counters: a value is a number or an object with count and time; other kinds are dropped."""
-    docs = _documents(spark, path, glob).where("doc is not null")
+    docs, spark = _documents(files), files.sparkSession
     counters = docs.select(
         "path",
         F.coalesce(F.try_variant_get("doc", "$.skillUsage", "variant"), F.try_variant_get("doc", "$.skill_usage", "variant")).alias("m"),
     ).where(_is_object(F.col("m")))
-    counters.createOrReplaceTempView("_tallyloom_skill_counters")
     rows = counters.lateralJoin(spark.tvf.variant_explode(F.col("m").outer())).select("path", F.col("key").alias("skill_name"), "value")
     kind = F.schema_of_variant("value")
     is_object = kind.startswith("OBJECT")
@@ -157,12 +161,9 @@ def scan_skill_counters(spark: SparkSession, path: str | list[str], glob: str =
     )
 
 
-def scan_schedules(spark: SparkSession, path: str | list[str], glob: str = "automation.toml") -> DataFrame:
-    """Active schedule files of key = value lines: (path, schedule_id, name, kind, rrule)."""
-    text = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+def parse_schedules(files: DataFrame) -> DataFrame:
+    """Active schedules from files of key = value lines: (path, schedule_id, name, kind, rrule)."""
+    text = files.select("path", "value")
     line = nm.strip("line")
     pairs = text.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line")).select(
         "path", "at", line.alias("line")

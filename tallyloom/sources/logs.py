@@ -49,19 +49,29 @@ def scan_lines(
     return numbered.where((F.octet_length("value") <= MAX_LINE_BYTES) & F.col("value").rlike(pattern))
 
 
-def scan_session_logs(spark: SparkSession, path: str | list[str], types: tuple[str, ...] = LOG_TYPES, **options) -> DataFrame:
-    """Records of a session log: (file_path, line_no, ts, type, payload).
+def parse_session_logs(lines: DataFrame, types: tuple[str, ...] = LOG_TYPES) -> DataFrame:
+    """Records of session-log lines (file_path, line_no, value):
+    (file_path, line_no, ts, type, payload).
 
     Lines that are no JSON, lines without payload and other record types are skipped.
     """
-    pattern = '"type"\\s*:\\s*"(' + "|".join(types) + ')"'
-    parsed = scan_lines(spark, path, pattern, **options).withColumn("r", F.from_json("value", LOG_LINE))
+    parsed = lines.withColumn("r", F.from_json("value", LOG_LINE))
     kind = F.when(F.col("r.type").isin("session_meta", "turn_context"), F.col("r.type")).otherwise(F.col("r.payload.type"))
     return parsed.where("r.payload is not null").select(
         "file_path", "line_no", parse_instant("r.timestamp").alias("ts"), kind.alias("type"), F.col("r.payload").alias("payload")
     ).where(F.col("type").isin(*types))
 
 
+def type_pattern(types: tuple[str, ...]) -> str:
+    """Cheap test that a line may be a record of one of the types."""
+    return '"type"\\s*:\\s*"(' + "|".join(types) + ')"'
+
+
+def scan_session_logs(spark: SparkSession, path: str | list[str], types: tuple[str, ...] = LOG_TYPES, **options) -> DataFrame:
+    """Session-log files to records."""
+    return parse_session_logs(scan_lines(spark, path, type_pattern(types), **options), types)
+
+
 def thread_of(file_path: str | Column) -> Column:
     """File stem, the session's key when no thread table is at hand."""
     path = F.col(file_path) if isinstance(file_path, str) else file_path
@@ -129,12 +139,17 @@ def _long(column: str) -> Column:
 
 
 def scan_transcripts(spark: SparkSession, path: str | list[str], pattern: str = TRANSCRIPT_MARKS, **options) -> DataFrame:
-    """Transcript lines with usage, tool calls or skill attribution.
+    """Transcript files to lines with usage, tool calls or skill attribution."""
+    return parse_transcripts(scan_lines(spark, path, pattern, glob="*.jsonl", **options))
+
+
+def parse_transcripts(lines: DataFrame) -> DataFrame:
+    """Fields of transcript lines (file_path, modified_at, line_no, value).
 
     The session is the file stem; a line without a readable time takes the file's
     modification time; the project starts from the decoded directory name.
     """
-    parsed = scan_lines(spark, path, pattern, glob="*.jsonl", **options).withColumn("r", F.from_json("value", TRANSCRIPT_LINE))
+    parsed = lines.withColumn("r", F.from_json("value", TRANSCRIPT_LINE))
     usage = "r.message.usage"
     directory = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
     return parsed.where("r is not null").select(

@@ -39,6 +39,8 @@ def _consume(key: tuple, parts: Iterable[pd.DataFrame], store) -> Iterator[pd.Da
             lines.append((line_no, ts))
             deltas.append(delta)
     store.update((None if state is None else list(state),))
+    if not deltas:
+        return
     frame = pd.DataFrame({"thread_id": [key[0]] * len(lines), "line_no": [n for n, _ in lines],
                           "ts": pd.to_datetime([t for _, t in lines])})
     for at, name in enumerate(FIELDS):
