@@ -29,8 +29,7 @@ def _order(names: tuple[str, ...], seen: list[str]) -> list[str]:
 
 def twin(key: str, body: str, *needs: str) -> None:
     parts = [f"{name} as ({BODIES[name]})" for name in _order(needs, [])]
-    recursive = any(" union all " in BODIES[n] and f" from {n.split('(')[0]} " in BODIES[n] for n in _order(needs, []))
-    SQL[key] = ("with " + ("recursive " if recursive else "") + ", ".join(parts) + " " if parts else "") + body
+    SQL[key] = ("with recursive " + ", ".join(parts) + " " if parts else "") + body
 
 
 def pick(values: tuple, index: str) -> str:
@@ -113,7 +112,7 @@ view(
 FORK_COLUMNS = "rn, line_no, ts, k, has_cum, s_i, s_c, s_o, s_r, s_t, has_last, l_i, l_c, l_o, l_r, l_t"
 view(
     "forkline",
-    f"""select thread_id, {FORK_COLUMNS}, null as parent from tokline
+    f"""select thread_id, {FORK_COLUMNS}, cast(null as varchar) as parent from tokline
     union all
     select cast(parent + 1000000 as varchar), {FORK_COLUMNS}, cast(parent as varchar) from (
       select *, case when user_id % 15 = 0 and rn <= 20 then user_id when (user_id - 1) % 15 = 0 and rn >= 21 then user_id - 1 end as parent
@@ -365,19 +364,19 @@ TITLE = """(select case when length(v) <= 48 then v else substr(v, 1, 45) || '..
   nullif(regexp_replace({a}, '^\\s+|\\s+$', '', 'g'), ''), nullif(regexp_replace({b}, '^\\s+|\\s+$', '', 'g'), ''), 'Untitled'), '\\s+', ' ', 'g') as v))"""
 view(
     "bopen",
-    f"""select thread_id || case when at >= {ORDERS_NOW} - interval 2 hour then 'active' else 'pending' end as item_id, thread_id, {TITLE.format(a='title', b='preview')} as title,
-      regexp_extract(cwd, '([^/]+)/*$', 1) as detail, at as updated_at, case when tokens_used > 0 then tokens_used end as tokens,
-      case when at >= {ORDERS_NOW} - interval 2 hour then 'active' else 'pending' end as column_kind,
-      case when at >= {ORDERS_NOW} - interval 2 hour then 'recentlyActive' else 'continueLater' end as display_state
-    from (select *, coalesce(recency_at, updated_at) as at from boardt) where not archived and thread_source <> 'subagent' and preview <> ''
+    f"""select thread_id || case when moment >= {ORDERS_NOW} - interval 2 hour then 'active' else 'pending' end as item_id, thread_id, {TITLE.format(a='title', b='preview')} as title,
+      regexp_extract(cwd, '([^/]+)/*$', 1) as detail, moment as updated_at, case when tokens_used > 0 then tokens_used end as tokens,
+      case when moment >= {ORDERS_NOW} - interval 2 hour then 'active' else 'pending' end as column_kind,
+      case when moment >= {ORDERS_NOW} - interval 2 hour then 'recentlyActive' else 'continueLater' end as display_state
+    from (select *, coalesce(recency_at, updated_at) as moment from boardt) where not archived and thread_source <> 'subagent' and preview <> ''
       and (updated_at >= timestamp '2001-08-01' or recency_at >= timestamp '2001-08-01' or created_at >= timestamp '2001-08-01')""",
     "boardt",
 )
 view(
     "bdone",
-    f"""select thread_id || 'done' as item_id, thread_id, {TITLE.format(a='title', b='preview')} as title, regexp_extract(cwd, '([^/]+)/*$', 1) as detail, at as updated_at,
+    f"""select thread_id || 'done' as item_id, thread_id, {TITLE.format(a='title', b='preview')} as title, regexp_extract(cwd, '([^/]+)/*$', 1) as detail, moment as updated_at,
       case when tokens_used > 0 then tokens_used end as tokens, 'done' as column_kind, 'archived' as display_state
-    from (select *, coalesce(archived_at, updated_at) as at from boardt) where archived and thread_source <> 'subagent' and at >= timestamp '2001-08-01'""",
+    from (select *, coalesce(archived_at, updated_at) as moment from boardt) where archived and thread_source <> 'subagent' and moment >= timestamp '2001-08-01'""",
     "boardt",
 )
 view("bitem", "select * from bopen union all select * from bdone", "bopen", "bdone")
@@ -539,7 +538,7 @@ view(
     "taskdoc",
     f"""select '/tasks/' || n || '.json' as path, status,
       case when n % 5 = 4 then cast(n as varchar) when n % 3 = 0 then 'task ' || n when n % 3 = 1 then 'title ' || n else cast(n as varchar) end as title,
-      case when n % 5 = 4 then epoch_ms(epoch_ms(ts)) when n % 2 = 0 then ts else ts + interval 1 hour end as updated_at,
+      case when n % 5 = 4 then date_trunc('millisecond', ts) when n % 2 = 0 then ts else ts + interval 1 hour end as updated_at,
       case when n % 5 = 4 then '/w/cwd/' when n % 4 = 0 then '/w/p' || (n % 9) end as project
     from (select event_id as n, ts, {pick(STATUSES, 'event_id')} as status from ev) where n % 10 <> 9""",
     "ev",
@@ -549,7 +548,7 @@ twin(
     "s05_skill_counters",
     """select '/g/' || event_id as path, u.skill_name, u.load_count, u.last_loaded_at from (
       select event_id, unnest(case when event_id % 7 = 0 then [{'skill_name': 'only', 'load_count': greatest(k, 1), 'last_loaded_at': null}]
-        else [{'skill_name': 'plain', 'load_count': greatest(k, 1), 'last_loaded_at': null}, {'skill_name': 'object', 'load_count': greatest(k - 5, 1), 'last_loaded_at': epoch_ms(epoch_ms(ts))},
+        else [{'skill_name': 'plain', 'load_count': greatest(k, 1), 'last_loaded_at': null}, {'skill_name': 'object', 'load_count': greatest(k - 5, 1), 'last_loaded_at': date_trunc('millisecond', ts)},
           {'skill_name': 'snake', 'load_count': 7, 'last_loaded_at': null}, {'skill_name': 'bare', 'load_count': 1, 'last_loaded_at': null}] end) as u from ev)""",
     "ev",
 )
@@ -624,8 +623,8 @@ twin(
 )
 twin(
     "p05_timestamp_parse",
-    """select o_orderkey, case when o_orderkey % 7 = 2 then at - interval 2 hour when o_orderkey % 7 in (0, 1, 3, 4) then at end as parsed
-    from (select *, o_orderdate + to_seconds(o_orderkey % 86400) as at from orders)""",
+    """select o_orderkey, case when o_orderkey % 7 = 2 then moment - interval 2 hour when o_orderkey % 7 in (0, 1, 3, 4) then moment end as parsed
+    from (select *, o_orderdate + to_seconds(o_orderkey % 86400) as moment from orders)""",
 )
 LA_DAY = "cast(timezone('America/Los_Angeles', timezone('UTC', ts)) as date)"
 twin(
@@ -655,7 +654,8 @@ twin(
 twin(
     "p10_skill_paths",
     """select event_id, '/home/u/.agents/skills/s' || user_id || '/SKILL.md' as skill_path from ev
-    union all select event_id, '/opt/skills/s' || k || '/SKILL.md' from ev where event_id % 2 = 0""",
+    union all select event_id, '/opt/skills/s' || k || '/SKILL.md' from ev where event_id % 2 = 0
+    union all select event_id, '/SKILL.md' from ev where event_id % 3 = 0""",
     "ev",
 )
 twin("p11_text_tokens", f"select doc_id, {text_tokens('text')} as token_estimate from documents")
@@ -1233,3 +1233,4 @@ twin(
 )
 twin("r04_stream_counters", f"select thread_id, count(*) as deltas, {SUMS} from cdelta group by thread_id", "cdelta")
 twin("r05_daily_mart", f"select {day('day')} as day, {VISIBLE} as tokens, {micro('nano')} as cost_usd from daily", "daily")
+twin("r06_discovered_files", "select role as line_type, count(*) as line_count from conversations group by role")

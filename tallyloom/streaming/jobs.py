@@ -87,7 +87,10 @@ def run_daily(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
 
 
 def run_discovery(spark: SparkSession, d: str) -> DataFrame:
-    """Transcript files found by the stream in two rounds: lines and files seen."""
+    """Transcript files found by the stream in two rounds: lines seen by type.
+
+    Files of the second round are read once; those of the first are not read again.
+    """
     folder = _folder(spark)
     texts = derived.transcript_texts(spark, d).select("line_no", "value")
     src, out = f"{folder}/in", f"{folder}/out"
@@ -99,4 +102,4 @@ def run_discovery(spark: SparkSession, d: str) -> DataFrame:
             .trigger(availableNow=True).start()
         )
     seen = spark.read.parquet(out)
-    return seen.agg(F.count("*").alias("line_count"), F.sum(F.octet_length("value")).alias("byte_count"))
+    return seen.groupBy(F.get_json_object("value", "$.type").alias("line_type")).agg(F.count("*").alias("line_count"))

@@ -34,24 +34,26 @@ def event_state(method: Column, status: Column, flag: Column) -> Column:
     )
 
 
+#: Columns that survive events which do not carry them, each with the number of its event.
+CARRIED = {"name": "name_seq", "turn_id": "turn_seq", "updated_at": "updated_seq"}
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Latest state, name, turn and time per thread.
 
     A combinable aggregation: it runs unchanged on a batch and as a streaming query
-    in update or complete mode, and late or repeated events cannot change the result
-    because every column takes the value of the highest event_seq that has one.
+    in update or complete mode.  Every column takes the value of the highest
+    event_seq that has one, so neither order nor repetition of events matters.
     """
     state = event_state(F.col("method"), F.col("status"), F.col("flag"))
-    effective = events.withColumn("state", state).where("state is not null")
-    seq = F.col("event_seq")
-
-    def newest(column: str) -> Column:
-        return F.max_by(column, F.when(F.col(column).isNotNull(), seq)).alias(column)
-
+    effective = events.withColumnRenamed("ts", "updated_at").withColumn("state", state).where("state is not null")
+    carried = []
+    for column, number in CARRIED.items():
+        seq = F.when(F.col(column).isNotNull(), F.col("event_seq"))
+        carried += [F.max_by(column, seq).alias(column), F.max(seq).alias(number)]
     return effective.groupBy("thread_id").agg(
-        F.max_by("state", "event_seq").alias("state"), newest("name"), newest("turn_id"),
-        newest("ts"), F.max("event_seq").alias("event_seq"),
-    ).withColumnRenamed("ts", "updated_at")
+        F.max_by("state", "event_seq").alias("state"), F.max("event_seq").alias("event_seq"), *carried
+    )
 
 
 def downgrade(states: DataFrame, connected: bool) -> DataFrame:
@@ -81,28 +83,36 @@ def fold_with_connection(events: DataFrame) -> DataFrame:
 def replace_list(states: DataFrame, listed: DataFrame) -> DataFrame:
     """A full list replaces all records: subagents are hidden, name, turn and time survive.
 
-    ``listed`` has thread_id, status, flag, name, ts, hidden; one row per thread.
+    ``listed`` has thread_id, event_seq, status, flag, name, ts, hidden; one row per thread.
     """
-    old = states.select(
-        "thread_id", F.col("name").alias("_name"), F.col("turn_id").alias("_turn"), F.col("updated_at").alias("_at")
-    )
+    old = states.select("thread_id", F.struct(*CARRIED, *CARRIED.values()).alias("old"))
+    seq = F.col("event_seq")
+
+    def kept(column: str, value: Column) -> list[Column]:
+        number = CARRIED[column]
+        return [
+            F.coalesce(value, F.col(f"old.{column}")).alias(column),
+            F.when(value.isNotNull(), seq).otherwise(F.col(f"old.{number}")).alias(number),
+        ]
+
     return listed.where("not coalesce(hidden, false) and thread_id is not null").join(old, "thread_id", "left").select(
-        "thread_id", runtime_state(F.col("status"), F.col("flag")).alias("state"),
-        F.coalesce("name", "_name").alias("name"), F.col("_turn").alias("turn_id"),
-        F.coalesce("ts", "_at").alias("updated_at"), "event_seq",
+        "thread_id", runtime_state(F.col("status"), F.col("flag")).alias("state"), "event_seq",
+        *kept("name", F.col("name")), *kept("turn_id", F.lit(None).cast("string")), *kept("updated_at", F.col("ts")),
     )
 
 
 def merge_states(states: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fold a batch's states into the stored ones; names, turns and times survive."""
-    newer = F.coalesce(F.col("f.event_seq") >= F.coalesce(F.col("s.event_seq"), F.lit(-1)), F.lit(False))
+    """Fold a batch's states into the stored ones, column by column by event number."""
 
-    def keep(column: str) -> Column:
-        new, old = F.col(f"f.{column}"), F.col(f"s.{column}")
-        return F.when(newer, F.coalesce(new, old)).otherwise(F.coalesce(old, new)).alias(column)
+    def newest(column: str, number: str) -> Column:
+        new, old = F.col(f"f.{number}"), F.col(f"s.{number}")
+        take = F.coalesce(new >= old, new.isNotNull())
+        return F.when(take, F.col(f"f.{column}")).otherwise(F.col(f"s.{column}"))
 
+    carried = []
+    for column, number in CARRIED.items():
+        carried += [newest(column, number).alias(column), F.greatest(f"s.{number}", f"f.{number}").alias(number)]
     return states.alias("s").join(fresh.alias("f"), F.col("s.thread_id") == F.col("f.thread_id"), "full_outer").select(
         F.coalesce("s.thread_id", "f.thread_id").alias("thread_id"),
-        F.when(newer, F.col("f.state")).otherwise(F.col("s.state")).alias("state"),
-        keep("name"), keep("turn_id"), keep("updated_at"), F.greatest("s.event_seq", "f.event_seq").alias("event_seq"),
+        newest("state", "event_seq").alias("state"), F.greatest("s.event_seq", "f.event_seq").alias("event_seq"), *carried,
     )

@@ -51,7 +51,10 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.path}/v{batch:012d}")
 
 
-STATE = "thread_id string, state string, name string, turn_id string, updated_at timestamp, event_seq bigint"
+STATE = (
+    "thread_id string, state string, event_seq bigint, name string, name_seq bigint, "
+    "turn_id string, turn_seq bigint, updated_at timestamp, updated_seq bigint"
+)
 
 
 def keep_states(table: VersionedTable, listing: bool = False) -> Callable[[DataFrame, int], None]:
