@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.schemas import MONEY, TOKEN_COLUMNS
@@ -116,20 +118,35 @@ def model_price(model: str | Column, part: str, profile: str = "log") -> Column:
     return picked
 
 
-def cost_usd(model: str | Column = "model", profile: str = "log") -> Column:
-    """Exact cost of a token vector; reasoning tokens are part of the output."""
-    million = F.lit("0.000001").cast("decimal(6,6)")
+def with_cost(df: DataFrame, model: str = "model", profile: str = "log") -> DataFrame:
+    """Add ``cost_usd``, the exact cost of the row's token vector.
+
+    Reasoning tokens are part of the output; a model without a price costs nothing.
+    The price of a model is looked up once per row, as a struct of per-token prices.
+    """
+
+    def per_token(*prices: str) -> Column:
+        exact = (Decimal(p) / 1_000_000 for p in prices)
+        return F.struct(*[F.lit(v).cast("decimal(12,9)").alias(n) for n, v in zip(("input", "cached", "output"), exact)])
+
+    rules = _rules(profile)
+    unmatched = LOG_DEFAULT_PRICE if profile == "log" else ("0", "0", "0")
+    table = F.array(*[per_token(*rule[2:]) for rule in rules], per_token(*unmatched))
+    price = F.element_at(table, F.coalesce(price_rule(model, profile), F.lit(len(rules) + 1)))
 
     def part(tokens: Column, kind: str) -> Column:
-        return tokens.cast("decimal(19,0)") * (model_price(model, kind, profile) * million).cast("decimal(12,9)")
+        return tokens.cast("decimal(19,0)") * F.col(f"_price.{kind}")
 
-    zero = F.lit(0).cast("bigint")
     total = (
         part(uncached_input(), "input")
         + part(billable_cached(), "cached")
-        + part(F.greatest(F.col("output_tokens"), zero), "output")
+        + part(F.greatest(F.col("output_tokens"), F.lit(0).cast("bigint")), "output")
+    )
+    return (
+        df.withColumn("_price", price)
+        .withColumn("cost_usd", F.coalesce(total, F.lit(0)).cast(MONEY))
+        .drop("_price")
     )
-    return F.coalesce(total.cast(MONEY), F.lit(0).cast(MONEY))
 
 
 def sum_cost(*, when: Column | None = None, name: str = "cost_usd") -> Column:

@@ -192,15 +192,8 @@ def schedule_items(schedules: DataFrame, as_of: str) -> DataFrame:
 
 def column_summary(items: DataFrame) -> DataFrame:
     """Item counts of the four columns, zero where a column is empty, and the total."""
-    counts = items.groupBy("column_kind").agg(F.count("*").alias("item_count"))
-    spine = items.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in COLUMNS])).alias("column_kind"))
-    total = items.agg(F.count("*")).scalar()
-    return spine.join(counts, "column_kind", "left").select(
-        "column_kind", F.coalesce("item_count", F.lit(0)).alias("item_count"), total.alias("total_count")
-    )
-
-
-STATE_COLUMN = {"running": "active", "waitingInput": "active", "completed": "done"}
+    rows = [F.struct(F.lit(c).alias("column_kind"), F.count_if(F.col("column_kind") == c).alias("item_count")) for c in COLUMNS]
+    return items.agg(F.array(*rows).alias("rows"), F.count("*").alias("total_count")).select(F.inline("rows"), "total_count")
 
 
 def is_realtime(state: Column, connected: Column) -> Column:

@@ -170,9 +170,10 @@ def tools_by_share(calls: DataFrame, ledger: DataFrame) -> DataFrame:
 def tools_uniform(calls: DataFrame, ledger: DataFrame) -> DataFrame:
     """Lifetime usage divided by all calls, times the calls of a tool."""
     per_tool = calls.where("tool_name <> ''").groupBy("tool_name").agg(F.count("*").alias("call_count"))
-    lifetime = ledger.agg(*tok.sum_tokens(), tok.sum_cost())
-    tokens = lifetime.select(tok.visible_total()).scalar()
-    cost = lifetime.select(F.col("cost_usd").cast("double")).scalar()
+    lifetime = ledger.agg(*tok.sum_tokens(), tok.sum_cost()).select(
+        F.struct(tok.visible_total().alias("tokens"), F.col("cost_usd").cast("double").alias("cost"))
+    ).scalar()
+    tokens, cost = lifetime["tokens"], lifetime["cost"]
     calls_all = F.greatest(per_tool.agg(F.sum("call_count")).scalar(), F.lit(1))
     sized = per_tool.withColumns({"_tokens": tokens, "_cost": cost / calls_all, "_calls": calls_all}).withColumn(
         "_each", F.expr("_tokens div _calls")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.tokens import cost_usd, is_zero
+from tallyloom.functions.tokens import is_zero, with_cost
 from tallyloom.operators import ordered
 from tallyloom.schemas import TOKEN_COLUMNS
 
@@ -58,7 +58,7 @@ def first_per_message(rows: DataFrame) -> DataFrame:
 def ledger(lines: DataFrame) -> DataFrame:
     """Transcript lines to priced usage events."""
     rows = first_per_message(usage_vector(carry_attributes(lines)))
-    return rows.withColumn("cost_usd", cost_usd("model", "transcript")).select(
+    return with_cost(rows, "model", "transcript").select(
         F.lit("transcript").alias("runtime"),
         F.col("session_id").alias("thread_id"),
         F.col("line_no").alias("seq"),

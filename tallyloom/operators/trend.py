@@ -140,8 +140,8 @@ def heat_thresholds(cells: DataFrame, profile: str = "log") -> DataFrame:
 
 def heat_levels(cells: DataFrame, profile: str = "log") -> DataFrame:
     """Cells with their level 0..4 (the fourth bound only labels the legend)."""
-    bounds = heat_thresholds(cells, profile)
-    first, second, third = (bounds.select(f"bound_{i}").scalar() for i in (1, 2, 3))
+    bounds = heat_thresholds(cells, profile).select(F.struct("bound_1", "bound_2", "bound_3")).scalar()
+    first, second, third = (bounds[f"bound_{i}"] for i in (1, 2, 3))
     tokens = F.coalesce("tokens", F.lit(0))
     return cells.withColumn(
         "level",
@@ -231,17 +231,23 @@ def area_series(by_model: DataFrame, as_of: str, days: int, tz: str = "UTC", qua
     )
 
 
-def metric_summary(dense: DataFrame, as_of: str, metric: str = "tokens", tz: str = "UTC") -> DataFrame:
-    """Seven days against the seven before by tokens or cost, as doubles: one row."""
+def metric_summary(
+    dense: DataFrame, as_of: str, tz: str = "UTC", metrics: tuple[str, ...] = ("tokens", "cost_usd")
+) -> DataFrame:
+    """Seven days against the seven before by tokens and by cost, as doubles: one row per metric."""
     today = _today(as_of, tz)
 
-    def amount(test: Column) -> Column:
+    def amount(metric: str, test: Column) -> Column:
         return F.coalesce(F.sum(F.when(test, F.col(metric))), F.lit(0)).cast("double")
 
-    sums = dense.agg(amount(_recent(today)).alias("recent"), amount(_recent(today, shift=7)).alias("previous"))
+    rows = [
+        F.struct(F.lit(m).alias("metric"), amount(m, _recent(today)).alias("recent"), amount(m, _recent(today, shift=7)).alias("previous"))
+        for m in metrics
+    ]
+    sums = dense.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
     change = F.when(F.col("previous") > 0, (F.col("recent") - F.col("previous")) / F.col("previous") * 100)
     return sums.select(
-        F.lit(metric).alias("metric"),
+        "metric",
         F.round("recent", 6).alias("recent_value"),
         F.round(F.col("recent") / 7, 6).alias("daily_average_value"),
         F.round(change, 6).alias("change_percent"),

@@ -157,8 +157,10 @@ def choose_source(rollup: DataFrame, approximate: DataFrame) -> DataFrame:
     )
     both = rollup.select("usage_window", F.col("visible_tokens").alias("detailed_tokens")).join(approx, "usage_window")
     flagged = both.withColumn("suspicious", is_suspicious(F.col("detailed_tokens"), F.col("approximate_tokens")))
-    verdict = flagged.agg(F.bool_or("suspicious")).scalar()
-    return flagged.withColumn("source", F.when(F.coalesce(verdict, F.lit(False)), "approximate").otherwise("detailed"))
+    # Two rows: they are gathered once instead of evaluating both sources again for the verdict.
+    pair = flagged.agg(F.collect_list(F.struct(*flagged.columns)).alias("rows"), F.bool_or("suspicious").alias("any"))
+    source = F.when(F.coalesce("any", F.lit(False)), "approximate").otherwise("detailed")
+    return pair.select(source.alias("source"), F.inline("rows"))
 
 
 def null_tool_estimates(tools: DataFrame, choice: DataFrame) -> DataFrame:

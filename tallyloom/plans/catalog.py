@@ -675,7 +675,8 @@ def a22_heat_levels(spark, d):
 
 
 def _by_model(spark, d):
-    return trend.model_daily(derived.many_models(spark, d), EVENTS_AS_OF)
+    # The mart by model and day feeds several steps of a report: written once.
+    return materialise(trend.model_daily(derived.many_models(spark, d), EVENTS_AS_OF))
 
 
 @query
@@ -700,8 +701,7 @@ def a25_area_series(spark, d):
 
 @query
 def a26_metric_summary(spark, d):
-    dense = _dense(spark, d)
-    return trend.metric_summary(dense, EVENTS_AS_OF, "tokens").unionByName(trend.metric_summary(dense, EVENTS_AS_OF, "cost_usd"))
+    return trend.metric_summary(_dense(spark, d), EVENTS_AS_OF)
 
 
 @query
@@ -712,7 +712,8 @@ def a27_model_overview(spark, d):
 @query
 def a28_project_overview(spark, d):
     t = views.threads(spark, d)
-    return rankings.project_overview(rankings.approximate_projects(t, ORDERS_AS_OF), rankings.approximate_projects(t, k=None))
+    recent = materialise(rankings.approximate_projects(t, ORDERS_AS_OF))
+    return rankings.project_overview(recent, rankings.approximate_projects(t, k=None))
 
 
 @query
@@ -723,7 +724,7 @@ def a28_recently_active(spark, d):
 
 @query
 def a29_bar_ratio(spark, d):
-    top = rankings.approximate_projects(views.threads(spark, d), k=8)
+    top = materialise(rankings.approximate_projects(views.threads(spark, d), k=8))
     return rankings.bar_ratios(top).select("project_id", "tokens", "ratio")
 
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.tokens import cost_usd
+from tallyloom.functions.tokens import with_cost
 from tallyloom.plans import views
 
 BOARD_AS_OF = views.ORDERS_AS_OF
@@ -301,7 +301,7 @@ def many_models(spark: SparkSession, d: str) -> DataFrame:
     """F1 with the model spread over 14 names."""
     e = views.usage_events(spark, d)
     model = F.when(F.col("model").isNotNull(), F.concat("model", F.lit("-"), F.col("seq") % 4))
-    return e.withColumn("model", model).withColumn("cost_usd", cost_usd("model", "log"))
+    return with_cost(e.withColumn("model", model), "model", "log")
 
 
 # ------------------------------------------------------------------ board, quota

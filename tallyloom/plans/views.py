@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.measures import text_tokens
-from tallyloom.functions.tokens import cost_usd
+from tallyloom.functions.tokens import with_cost
 from tallyloom.operators import ordered
-from tallyloom.session import prepare
+from tallyloom.session import materialise, prepare
 
 EVENTS_AS_OF = "2024-01-30 23:59:59"
 ORDERS_AS_OF = "2001-08-01 12:00:00"
@@ -82,7 +82,7 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "total_tokens",
         F.lit("detailed").alias("source_quality"),
     )
-    return df.withColumn("cost_usd", cost_usd("model", "log"))
+    return with_cost(df, "model", "log")
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +103,17 @@ def _counter_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         _model().alias("model"),
     )
     slot = ordered.minute_slot("ts")
-    numbered = ordered.running(
-        df, ["thread_id"], ["ts", "event_id"], slot,
+    # Written once: the next step reads its input for the slot sums and for the rows.
+    hot = ordered.Hot(df, ["thread_id"])
+    numbered = materialise(ordered.running(
+        df, ["thread_id"], ["ts", "event_id"], slot, hot,
         seq=ordered.rank(),
         epoch=ordered.total((F.col("event_type") == "signup").cast("bigint")),
-    )
+    ))
     fields = {"input_tokens": "i", "cached_input_tokens": "c", "output_tokens": "o",
               "reasoning_output_tokens": "r", "total_tokens": "t"}
     return ordered.running(
-        numbered, ["thread_id", "epoch"], ["ts", "event_id"], slot,
+        numbered, ["thread_id", "epoch"], ["ts", "event_id"], slot, hot,
         **{f"cum_{short}": ordered.total(F.col(name)) for name, short in fields.items()},
     )
 
@@ -295,9 +297,11 @@ def skill_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One load per event; the path is the page's path, null pages keep a made name."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.try_parse_url("url", F.lit("PATH")).alias("path"))
+    # Only the first hundred pages can be asked for, so the broadcast side has at most 100 rows.
+    pages = table(spark, sf_dir, "pages").where("page_id between 0 and 99").select(
+        "page_id", F.try_parse_url("url", F.lit("PATH")).alias("path"))
     loads = events(spark, sf_dir).withColumn("want", F.col("event_id") % 100)
-    return loads.join(pages, F.col("want") == F.col("page_id"), "left").select(
+    return loads.join(F.broadcast(pages), F.col("want") == F.col("page_id"), "left").select(
         F.lit("log").alias("runtime"),
         F.col("user_id").cast("string").alias("thread_id"),
         F.col("event_id").alias("seq"),
@@ -341,7 +345,7 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ordered.running(
-        events(spark, sf_dir), ["user_id"], ["event_id"], line_slot_of_events(),
+        events(spark, sf_dir), ["user_id"], ["event_id"], ordered.line_slot("event_id"),
         turn=ordered.total((F.col("event_type") == "click").cast("bigint")),
     )
     k, kind = F.col("k"), F.col("event_type")
@@ -362,10 +366,6 @@ def thread_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def line_slot_of_events() -> Column:
-    return ordered.line_slot("event_id")
-
-
 # ---------------------------------------------------------------------------- F8
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 #: The additive measure vector; five plain longs so sums stay in generated code.
 TOKEN_COLUMNS = (
     "input_tokens",
@@ -15,7 +13,7 @@ TOKEN_COLUMNS = (
 
 #: Exact money type.  Prices have at most three decimals per million tokens, so
 #: nine decimals per token lose nothing and sums do not depend on row order.
-MONEY = T.DecimalType(38, 9)
+MONEY = "decimal(38,9)"
 
 
 # Schemas are DDL text: importing this module needs no running session.

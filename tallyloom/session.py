@@ -15,6 +15,8 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Call-site capture for every Column costs more than planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -189,6 +189,8 @@ def scan_skill_files(spark: SparkSession, path: str | list[str], glob: str = "*.
     """Skill and command files: (skill_path, byte_count, token_estimate, modified_at).
 
     Files beyond 4 MiB keep null sizes; their content is not read into the result.
+    Spark skips hidden folders below a root, so a root (or glob) names them itself,
+    such as ``/home/*/.claude``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     small = F.col("length") <= MAX_SKILL_BYTES

@@ -19,18 +19,17 @@ def capped_list(ranked: DataFrame, k: int, fields: dict[str, Column], *order: Co
     return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o0", "r"))), lambda s: s["r"])).scalar()
 
 
-def window_struct(rollup: DataFrame, window: str) -> Column:
-    """One roll-up window as a nested object."""
+def windows_map(rollup: DataFrame) -> Column:
+    """The four roll-up windows as one map of nested objects; evaluated once."""
     tokens = F.struct(
         F.col("input_tokens").alias("inputTokens"), F.col("cached_input_tokens").alias("cachedInputTokens"),
         (F.col("input_tokens") - F.least(F.greatest("cached_input_tokens", F.lit(0)), F.greatest("input_tokens", F.lit(0)))).alias("uncachedInputTokens"),
         F.col("output_tokens").alias("outputTokens"), F.col("reasoning_output_tokens").alias("reasoningOutputTokens"),
         F.col("total_tokens").alias("totalTokens"), F.col("visible_tokens").alias("visibleTotalTokens"),
     )
-    row = rollup.where(F.col("usage_window") == window).select(
-        F.struct(tokens.alias("tokens"), F.round(F.col("cost_usd").cast("double"), 6).alias("estimatedCostUSD"))
-    )
-    return row.scalar()
+    value = F.struct(tokens.alias("tokens"), F.round("cost_usd", 6).cast("double").alias("estimatedCostUSD"),
+                     F.col("parsed_files"), F.col("token_events"))
+    return rollup.agg(F.map_from_entries(F.collect_list(F.struct(F.col("usage_window"), value)))).scalar()
 
 
 def snapshot_document(
@@ -55,16 +54,22 @@ def snapshot_document(
                     "staticTokenEstimate": F.col("token_estimate"), "staticByteCount": F.col("byte_count"),
                     "lastLoadedAt": iso_millis("last_loaded_at")}
     project_fields = {"name": F.col("name"), "fullPath": F.col("full_path"), "tokens": F.col("tokens"),
-                      "estimatedCostUSD": F.round(F.col("cost_usd").cast("double"), 6), "threadCount": F.col("thread_count"),
+                      "estimatedCostUSD": F.round("cost_usd", 6).cast("double"), "threadCount": F.col("thread_count"),
                       "lastActiveAt": iso_millis("last_active_at"), "sourceQuality": F.col("source_quality")}
+    windows = windows_map(rollup)
+    whole = F.element_at(windows, F.lit("lifetime"))
+
+    def window(name: str) -> Column:
+        picked = F.element_at(windows, F.lit(name))
+        return F.struct(picked["tokens"].alias("tokens"), picked["estimatedCostUSD"].alias("estimatedCostUSD"))
+
     document = F.struct(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"),
         iso_millis(as_instant(as_of)).alias("refreshedAt"),
         F.struct(
-            *[window_struct(rollup, w).alias(n) for w, n in
+            *[window(w).alias(n) for w, n in
               (("today", "today"), ("seven_day", "sevenDay"), ("month", "month"), ("lifetime", "lifetime"))],
-            rollup.where("usage_window = 'lifetime'").select("parsed_files").scalar().alias("parsedFileCount"),
-            rollup.where("usage_window = 'lifetime'").select("token_events").scalar().alias("tokenEventCount"),
+            whole["parsed_files"].alias("parsedFileCount"), whole["token_events"].alias("tokenEventCount"),
         ).alias("detailedUsage"),
         day_list.alias("dailyBuckets"),
         capped_list(projects, LIST_LIMITS["projects"], project_fields, F.desc("tokens"), F.col("name")).alias("projects"),
