@@ -55,10 +55,23 @@ def work_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tallyloom"
 
 
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote, once no result needs them."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back, so that several consumers
     share it and a lost executor costs one read, not the whole lineage."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

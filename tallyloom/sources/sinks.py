@@ -32,13 +32,50 @@ def windows_map(rollup: DataFrame) -> Column:
     return rollup.agg(F.map_from_entries(F.collect_list(F.struct(F.col("usage_window"), value)))).scalar()
 
 
+def trend_part(trend: DataFrame | None) -> Column:
+    if trend is None:
+        return F.lit(None).cast("string")
+    return trend.select(F.struct(
+        F.col("week_tokens").alias("sevenDayTokens"), F.round("week_cost", 6).cast("double").alias("sevenDayCostUSD"),
+        F.col("daily_average").alias("dailyAverageTokens"), F.col("change_percent").alias("changePercent"),
+        F.col("is_new").alias("isNewActivity"), F.col("active_days").alias("activeDayCount"),
+        F.struct(F.date_format("peak_day", "yyyy-MM-dd").alias("day"), F.col("peak_tokens").alias("tokens")).alias("peakDay"),
+    )).scalar()
+
+
+def board_part(board: DataFrame | None) -> Column:
+    if board is None:
+        return F.lit(None).cast("string")
+    return board.agg(F.struct(
+        F.max("total_count").alias("totalCount"),
+        F.array_sort(F.collect_list(F.struct(F.col("column_kind").alias("id"), F.col("item_count").alias("count")))).alias("columns"),
+    )).scalar()
+
+
+def quota_part(quota: DataFrame | None) -> Column:
+    """Windows per runtime, at most the caller's few runtimes."""
+    if quota is None:
+        return F.lit(None).cast("string")
+
+    def window(kind: str) -> Column:
+        w = F.col(kind)
+        return F.when(w.isNotNull(), F.struct(
+            w["used_percent"].alias("usedPercent"), (F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 - w["used_percent"]))).alias("remainingPercent"),
+            w["window_mins"].alias("windowDurationMins"), iso_millis(w["resets_at"]).alias("resetsAt"))).alias(kind)
+
+    rows = quota.select(F.struct("runtime", *[window(k) for k in ("fiveHour", "sevenDay", "monthly")]).alias("r"))
+    return rows.agg(F.collect_list("r")).scalar()
+
+
 def snapshot_document(
     rollup: DataFrame, days: DataFrame, projects: DataFrame, tools: DataFrame, skills: DataFrame,
-    reports: DataFrame, as_of: str,
+    reports: DataFrame, as_of: str, trend: DataFrame | None = None, board: DataFrame | None = None, quota: DataFrame | None = None,
 ) -> DataFrame:
     """One row with the snapshot as JSON text; lists are capped, nulls are kept.
 
     Inputs are marts: their rows are bounded by windows, days, periods or the caps.
+    ``trend`` is a trend summary, ``board`` a column summary, ``quota`` the latest
+    committed snapshot per runtime; parts that are not given are null.
     """
     day_list = days.agg(
         F.array_sort(F.collect_list(F.struct(F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("tokens").alias("tokens"))))
@@ -76,6 +113,9 @@ def snapshot_document(
         capped_list(tools, LIST_LIMITS["tools"], tool_fields, F.desc("call_count"), F.col("tool_name")).alias("toolUsages"),
         capped_list(skills, LIST_LIMITS["skills"], skill_fields, F.desc("load_count"), F.col("skill_path")).alias("skillUsages"),
         report_list.alias("leadership"),
+        trend_part(trend).alias("usageTrend"),
+        board_part(board).alias("taskBoard"),
+        quota_part(quota).alias("quotaWindows"),
     )
     return spark.range(1).select(F.to_json(document, {"ignoreNullFields": "false"}).alias("snapshot"))
 

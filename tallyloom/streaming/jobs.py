@@ -41,7 +41,7 @@ def run_live_state(spark: SparkSession, d: str, files: int = 4) -> DataFrame:
     rows = notifications.notification_rows(
         raw.select(F.from_json("value", notifications.NOTIFICATION).alias("n")).select("n.*")
     ).where("method <> 'thread/list'")
-    table = tables.VersionedTable(spark, f"{folder}/state", tables.STATE)
+    table = tables.StateTable(spark, f"{folder}/state")
     _finish(
         rows.writeStream.foreachBatch(tables.keep_states(table)).option("checkpointLocation", f"{folder}/ck")
         .trigger(availableNow=True).start()

@@ -70,9 +70,11 @@ def fold_with_connection(events: DataFrame) -> DataFrame:
     The connection is lost when the last control row says so.  Events after the loss
     cannot exist, so comparing sequence numbers gives each thread's final state.
     """
-    control = events.where(F.col("method").isin(CONNECT, DISCONNECT))
-    lost_at = control.where(F.col("method") == DISCONNECT).agg(F.max("event_seq")).scalar()
-    open_at = control.where(F.col("method") == CONNECT).agg(F.max("event_seq")).scalar()
+    seq, method = F.col("event_seq"), F.col("method")
+    control = events.where(method.isin(CONNECT, DISCONNECT)).agg(
+        F.struct(F.max(F.when(method == DISCONNECT, seq)).alias("lost"), F.max(F.when(method == CONNECT, seq)).alias("open"))
+    ).scalar()
+    lost_at, open_at = control["lost"], control["open"]
     lost = F.coalesce(lost_at > F.coalesce(open_at, F.lit(-1)), F.lit(False))
     states = fold_events(events.where("thread_id is not null"))
     hit = F.coalesce(F.col("event_seq") < lost_at, F.lit(False)) & F.col("state").isin("running", "waitingInput")
@@ -101,18 +103,11 @@ def replace_list(states: DataFrame, listed: DataFrame) -> DataFrame:
     )
 
 
-def merge_states(states: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fold a batch's states into the stored ones, column by column by event number."""
-
-    def newest(column: str, number: str) -> Column:
-        new, old = F.col(f"f.{number}"), F.col(f"s.{number}")
-        take = F.coalesce(new >= old, new.isNotNull())
-        return F.when(take, F.col(f"f.{column}")).otherwise(F.col(f"s.{column}"))
-
+def combine_states(partials: DataFrame) -> DataFrame:
+    """Any number of folded states per thread to one, by the event numbers they carry."""
     carried = []
     for column, number in CARRIED.items():
-        carried += [newest(column, number).alias(column), F.greatest(f"s.{number}", f"f.{number}").alias(number)]
-    return states.alias("s").join(fresh.alias("f"), F.col("s.thread_id") == F.col("f.thread_id"), "full_outer").select(
-        F.coalesce("s.thread_id", "f.thread_id").alias("thread_id"),
-        newest("state", "event_seq").alias("state"), F.greatest("s.event_seq", "f.event_seq").alias("event_seq"), *carried,
+        carried += [F.max_by(column, number).alias(column), F.max(number).alias(number)]
+    return partials.groupBy("thread_id").agg(
+        F.max_by("state", "event_seq").alias("state"), F.max("event_seq").alias("event_seq"), *carried
     )

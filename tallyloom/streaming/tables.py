@@ -1,8 +1,9 @@
 """Tables that streaming queries keep current through ``foreachBatch``.
 
-Every table is a folder of numbered versions plus a pointer file per version; a
-batch that is run again after a failure writes the same version again, so results
-do not depend on how often a batch was tried.
+A batch only writes its own small partial result, under its batch number; readers
+combine the partial results.  All combinations are order-free and a batch that is
+run again overwrites its own files, so neither retries nor the order of batches
+change a table, and no batch rewrites what earlier batches wrote.
 """
 
 from __future__ import annotations
@@ -12,64 +13,82 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import tokens as tok
 from tallyloom.functions.times import local_day
 from tallyloom.operators import usage
 from tallyloom.streaming import live
 
+STATE = (
+    "thread_id string, state string, event_seq bigint, name string, name_seq bigint, "
+    "turn_id string, turn_seq bigint, updated_at timestamp, updated_seq bigint"
+)
 
-class VersionedTable:
-    """Whole-table versions keyed by batch number; the newest complete one is current."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+class StateTable:
+    """Latest state per thread: a base version plus the partial states of later batches."""
 
-    def _fs(self):
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root, root.getFileSystem(conf)
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def versions(self) -> list[int]:
-        """Versions whose write was completed (Spark leaves _SUCCESS last)."""
-        jvm, root, fs = self._fs()
+    def _numbers(self, folder: str) -> list[int]:
+        """Batch numbers whose write was completed (Spark leaves _SUCCESS last)."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(root):
             return []
-        found = [s.getPath() for s in fs.listStatus(root)]
-        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted(int(p.getName()[1:]) for p in done if p.getName().startswith("v"))
+        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(p.getName().partition("=")[2]) for p in done if p.getName().startswith("batch="))
+
+    def _read(self, folder: str, numbers: list[int]) -> DataFrame:
+        if not numbers:
+            return self.spark.createDataFrame([], STATE)
+        return self.spark.read.schema(STATE).parquet(*[f"{self.path}/{folder}/batch={n}" for n in numbers])
+
+    def append(self, batch: int, partial: DataFrame) -> None:
+        """Add the folded states of one batch."""
+        partial.select(*_columns()).write.mode("overwrite").parquet(f"{self.path}/partial/batch={batch}")
 
     def before(self, batch: int) -> DataFrame:
-        """The newest version older than a batch."""
-        older = [v for v in self.versions() if v < batch]
-        if not older:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{older[-1]:012d}")
+        """States as of all batches before a number."""
+        bases = [n for n in self._numbers("base") if n < batch]
+        start = bases[-1] if bases else -1
+        later = [n for n in self._numbers("partial") if start < n < batch]
+        rows = self._read("base", bases[-1:])
+        return live.combine_states(rows.unionByName(self._read("partial", later))) if later else rows
 
     def current(self) -> DataFrame:
         return self.before(1 << 62)
 
-    def write(self, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{batch:012d}")
+    def replace(self, batch: int, states: DataFrame) -> None:
+        """A new base: everything up to and including this batch."""
+        states.select(*_columns()).write.mode("overwrite").parquet(f"{self.path}/base/batch={batch}")
 
+    def compact(self, batch: int) -> None:
+        """Fold all partial states up to a batch into a new base, once."""
+        if batch not in self._numbers("base"):
+            self.replace(batch, self.before(batch + 1))
 
-STATE = (
-    "thread_id string, state string, event_seq bigint, name string, name_seq bigint, "
-    "turn_id string, turn_seq bigint, updated_at timestamp, updated_seq bigint"
-)
+
+def _columns() -> list[str]:
+    return [part.split()[0] for part in STATE.split(", ")]
 
 
-def keep_states(table: VersionedTable, listing: bool = False) -> Callable[[DataFrame, int], None]:
+def keep_states(table: StateTable, listing: bool = False, compact_every: int | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: fold notifications into the state table.
 
     With ``listing`` a batch is a full thread list and replaces the table.
+    ``compact_every`` bounds the number of partial results a reader combines.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        stored = table.before(number)
         if listing:
             latest = batch.groupBy("thread_id").agg(F.max_by(F.struct(*batch.columns), "event_seq").alias("r")).select("r.*")
-            table.write(number, live.replace_list(stored, latest))
-        else:
-            table.write(number, live.merge_states(stored, live.fold_events(batch)))
+            table.replace(number, live.replace_list(table.before(number), latest))
+            return
+        table.append(number, live.fold_events(batch))
+        if compact_every and number % compact_every == compact_every - 1:
+            table.compact(number)
 
     return run
 
@@ -81,11 +100,7 @@ DAY_PARTIAL = (
 
 
 def keep_daily(path: str, tz: str = "UTC") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: add a batch's daily sums to a mart.
-
-    Sums are additive, so a batch only appends its own partial rows, under a partition
-    named by the batch.  A batch tried twice overwrites its partition.
-    """
+    """A ``foreachBatch`` function: add a batch's daily sums to a mart."""
 
     def run(batch: DataFrame, number: int) -> None:
         partial = usage.daily(batch, tz).drop("tokens")
@@ -96,8 +111,6 @@ def keep_daily(path: str, tz: str = "UTC") -> Callable[[DataFrame, int], None]:
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     """The mart: partial rows summed per day, with the visible total."""
-    from tallyloom.functions import tokens as tok
-
     rows = spark.read.schema(DAY_PARTIAL + ", batch bigint").option("basePath", path).parquet(path)
     return rows.groupBy("day").agg(*tok.sum_tokens(), tok.sum_cost()).withColumn("tokens", tok.visible_total())
 

@@ -164,7 +164,7 @@ def test_merge_order_does_not_matter(spark, rows):
     for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)):
         out = parts[order[0]]
         for i in order[1:]:
-            out = live.merge_states(out, parts[i])
+            out = live.combine_states(out.unionByName(parts[i]))
         assert rows(out, "thread_id", "state", "name", "turn_id", "event_seq") == whole
 
 
