@@ -3,9 +3,12 @@
 A session log repeats running totals; a delta is the growth above the highest
 value seen since the last restart, or the event's own usage when it is given.
 The restart test compares a line with the state left by all earlier lines, which
-no window can express, so a linear Python step walks sorted Arrow batches.  Rows
-are hash-partitioned by (thread, slot of line numbers) and sorted by Spark; the
-step keeps five numbers of state and never holds a session in memory.
+no window can express, so a linear Python step walks sorted Arrow batches.  The rows
+of a (thread, slot of line numbers) arrive together and in line order, because a row
+number over that window is computed directly below the step: the window obliges the
+planner to keep rows clustered and sorted also when it re-plans at run time, which a
+bare ``repartition`` does not.  The step keeps five numbers of state and never holds
+a session in memory.
 
 Sessions longer than one slot are joined up exactly in three stages: every slot
 reports how it maps *any* incoming state to an outgoing one (``slot_effects``; a
@@ -21,7 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ordered import LINES_PER_SLOT, line_slot
@@ -172,26 +175,29 @@ def _vectors(batch: pa.RecordBatch, name: str) -> list:
     return [None if missing else vector for missing, vector in zip(column.is_null().to_pylist(), fields)]
 
 
-def _keys(batch: pa.RecordBatch):
-    return zip(batch.column("thread_id").to_pylist(), batch.column("_slot").to_pylist())
+HELPERS = ("_slot", "_incoming", "_n")
+
+
+def _in_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows clustered by keys and sorted by order; ``_n`` is 1 on the first row of a key."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
 def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counted events of slots that arrive in line order, with their deltas."""
-    key = state = None
+    state = None
     for batch in batches:
         samples, owns = _vectors(batch, "cum"), _vectors(batch, "last")
         incoming = batch.column("_incoming").to_pylist()
         keep, deltas = [], []
-        for at, here in enumerate(_keys(batch)):
-            if here != key:
-                key = here
+        for at, number in enumerate(batch.column("_n").to_pylist()):
+            if number == 1:
                 state = tuple(incoming[at]) if incoming[at] is not None else None
             state, delta = step(state, samples[at], owns[at])
             if delta is not None:
                 keep.append(at)
                 deltas.append(delta)
-        names = [n for n in batch.schema.names if n not in ("_slot", "_incoming")]
+        names = [n for n in batch.schema.names if n not in HELPERS]
         passed = batch.select(names).take(pa.array(keep, pa.int64()))
         fields = [pa.array([d[at] for d in deltas], pa.int64()) for at in range(len(FIELDS))]
         yield pa.RecordBatch.from_arrays([*passed.columns, *fields], names=[*names, *FIELDS])
@@ -225,24 +231,25 @@ def _effects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pylist([row], schema=_EFFECT)
 
     for batch in batches:
-        for here, sample in zip(_keys(batch), _vectors(batch, "cum")):
-            if here != key:
+        columns = (batch.column(name).to_pylist() for name in ("thread_id", "_slot", "_n"))
+        for thread, slot, number, sample in zip(*columns, _vectors(batch, "cum")):
+            if number == 1:
                 if key is not None:
                     yield finished()
-                key, effect = here, SlotEffect()
+                key, effect = (thread, slot), SlotEffect()
             effect.add(sample)
     if key is not None:
         yield finished()
 
 
 def _chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    thread = state = None
+    state = None
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            if row["thread_id"] != thread:
-                thread, state = row["thread_id"], None
-            rows.append({"thread_id": thread, "_slot": row["_slot"],
+            if row["_n"] == 1:
+                state = None
+            rows.append({"thread_id": row["thread_id"], "_slot": row["_slot"],
                          "_incoming": None if state is None else list(state)})
             entries = [(e["total"], e["input"], e["leaves"]) for e in row["entries"]]
             state = apply_effect(state, entries, row["peak"], row["seen"])
@@ -260,14 +267,8 @@ def incoming_states(counted: DataFrame) -> DataFrame | None:
     if long_sessions.isEmpty():
         return None
     lines = counted.select("thread_id", "_slot", "line_no", "cum").join(long_sessions, "thread_id", "left_semi")
-    effects = (
-        lines.repartition("thread_id", "_slot").sortWithinPartitions("thread_id", "_slot", "line_no")
-        .mapInArrow(_effects, _EFFECT_DDL)
-    )
-    return (
-        effects.repartition("thread_id").sortWithinPartitions("thread_id", "_slot")
-        .mapInArrow(_chain, _INCOMING_DDL)
-    )
+    effects = _in_order(lines, ["thread_id", "_slot"], "line_no").mapInArrow(_effects, _EFFECT_DDL)
+    return _in_order(effects, ["thread_id"], "_slot").mapInArrow(_chain, _INCOMING_DDL)
 
 
 def counter_events(lines: DataFrame) -> DataFrame:
@@ -288,10 +289,7 @@ def normalise(lines: DataFrame, lines_per_slot: int = LINES_PER_SLOT) -> DataFra
     else:
         ready = counted.join(states, ["thread_id", "_slot"], "left")
     shape = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name not in ("_slot", "_incoming")]
+        [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name not in HELPERS]
         + [f"{name} bigint" for name in FIELDS]
     )
-    return (
-        ready.repartition("thread_id", "_slot").sortWithinPartitions("thread_id", "_slot", "line_no")
-        .mapInArrow(_walk, shape)
-    )
+    return _in_order(ready, ["thread_id", "_slot"], "line_no").mapInArrow(_walk, shape)

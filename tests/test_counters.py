@@ -144,3 +144,35 @@ def test_model_carry_forward(spark, rows):
     assert rows(out, "line_no", "model") == [(1, "own"), (3, "m1"), (5, "own"), (7, "m2")]
     bare = lineage.carry_model(lines).where("line_type = 'token_count'")
     assert rows(bare, "line_no", "model") == [(1, None), (3, "m1"), (5, None), (7, "m2")]
+
+
+def test_step_sits_directly_on_a_window(spark):
+    """The planner itself keeps a slot's lines together and in order: no repartition it may undo."""
+    log = spark.createDataFrame(list(_random_log(1, 2, 40)), LINE)
+    plan = counters.normalise(log, 8)._jdf.queryExecution().sparkPlan().toString()
+    nodes = [line.strip(" :+-") for line in plan.splitlines()]
+    steps = [at for at, node in enumerate(nodes) if node.startswith("MapInArrow")]
+    assert len(steps) == 3
+    for at in steps:
+        below = next(n for n in nodes[at + 1:] if not n.startswith("Project"))
+        assert below.startswith("Window"), below
+
+
+def test_many_long_sessions_do_not_depend_on_slots(spark):
+    """Enough rows for several Arrow batches per task and for joins planned both ways."""
+    base = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 40)).alias("thread_id"), F.col("id").alias("line_no"),
+        F.lit("token_count").alias("line_type"), (F.abs(F.xxhash64("id")) % 5000).alias("h"))
+    total = F.col("line_no") % 9000 * 3 + F.col("h") % 700
+    vector = lambda t: F.struct(*[F.floor(t * w).alias(n) for n, w in zip(FIELDS, (0.9, 0.5, 0.1, 0.02, 1.0))])
+    log = base.select("thread_id", "line_no", "line_type", F.when(F.col("h") % 11 != 0, vector(total)).alias("cum"),
+                      F.when(F.col("h") % 4 == 0, vector(F.col("h") % 50)).alias("last"))
+    seen = set()
+    for broadcast, width in (("-1", 1 << 40), ("-1", 3000), ("10MB", 3000), ("10MB", 17_000)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        try:
+            out = counters.normalise(log, width)
+            seen.add(tuple(out.agg(F.count("*"), F.sum("total_tokens"), F.sum(F.xxhash64("thread_id", "line_no", *FIELDS) % 1_000_003)).first()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(seen) == 1
