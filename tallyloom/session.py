@@ -15,10 +15,17 @@ REQUIRED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Call-site capture for every Column costs more than planning itself.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+#: Settings that only a new session can take; a session built elsewhere works without them.
+#: Call-site capture for every Column costs more than planning itself.
+AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
+#: Tables this process wrote, and the folders of local sessions without a shared one.
+_WRITTEN: list[str] = []
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators assume (UTC clock, adaptive execution)."""
@@ -33,7 +40,7 @@ def build(app: str = "tallyloom", master: str | None = None, **extra: str) -> Sp
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**REQUIRED, **extra}.items():
+    for key, value in {**REQUIRED, **AT_START, **extra}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel(os.environ.get("TALLYLOOM_LOG", "ERROR"))
@@ -50,14 +57,13 @@ def work_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="tallyloom-")
+        folder = _LOCAL_FOLDERS[application]
     return f"{folder.rstrip('/')}/tallyloom"
 
 
-_WRITTEN: list[str] = []
-
-
 def release(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote, once no result needs them."""
     gone = 0
