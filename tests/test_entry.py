@@ -38,3 +38,21 @@ def con():
 def test_twin(spark, con, key):
     error, _ = verify.compare(key, entry.queries()[key](spark, SF), entry.oracle_sql()[key], con)
     assert error is None
+
+
+def test_runs_in_a_session_built_elsewhere(tmp_path):
+    """No setting of ours at start, another working directory, the package not installed."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert e.entry(spark).count() == 4
+assert e.queries()["t01_counter_deltas"](spark, {SF!r}).count() > 0
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]

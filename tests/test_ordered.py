@@ -48,5 +48,6 @@ def test_hot_key_is_cut_into_slots(sample, monkeypatch):
     out = ordered.running(sample, ["key"], ["n"], ordered.line_slot("n", 17), total=ordered.total(F.col("value")))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_slot" in plan and "Join" in plan
+    monkeypatch.setattr(ordered, "HOT_ROWS", 10_000)
     cold = ordered.running(sample.where("key = 'a'"), ["key"], ["n"], ordered.line_slot("n", 17), total=ordered.total(F.col("value")))
     assert "_slot" not in cold._jdf.queryExecution().optimizedPlan().toString()
