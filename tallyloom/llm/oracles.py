@@ -1,6 +1,41 @@
 """SQL twins for DuckDB of the queries that SQL can express."""
 
 SQL = {
+    "op4_warc_revisits": r"""
+        with c as (
+            select page_id, visit, url, '"' || substr(md5(coalesce(html, '')), 1, 12) || '"' as old, '"' || substr(md5(coalesce(html, '') || '2'), 1, 12) || '"' as new,
+                   page_id % 3 = 0 and visit = 2 as renewed
+            from pages, unnest(range(5)) as v(visit) where not (page_id % 10 = 9 and visit = 0)),
+        r as (
+            select page_id * 5 + visit as record_id, case when visit = 0 or renewed then 'response' else 'revisit' end as kind,
+                   case when visit % 2 = 1 then regexp_replace(url, '^https?://', 'HTTP://WWW.') || '#again' else url end as url,
+                   page_id * 10 + visit * 1000003 as at,
+                   case when visit = 1 and page_id % 2 = 0 then 'W/' || old when visit = 4 then null when renewed then new else old end as etag,
+                   'day ' || case when renewed then page_id % 28 + 2 else page_id % 28 + 1 end as modified, 'visit ' || visit as date_,
+                   case when visit = 0 or renewed then '1' else '0' end as length_, visit::varchar as x
+            from c),
+        b as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from r),
+        k as (
+            select *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www[0-9]*\.', ''), ':(80|443)$', '')
+                      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') as stem,
+                   list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p: p <> '' and not starts_with(p, 'utm_'))) as parameters
+            from b),
+        u as (select *, stem || case when len(parameters) > 0 then '?' || array_to_string(parameters, '&') else '' end as url_key from k),
+        f as (select * from u where kind = 'response'),
+        j as (
+            select u.*, f.record_id as ref, f.etag as ref_etag, f.modified as ref_modified, f.date_ as ref_date, f.length_ as ref_length, f.x as ref_x
+            from u left join f on u.kind = 'revisit' and u.url_key = f.url_key and f.at < u.at
+            qualify row_number() over (partition by u.record_id order by f.at desc nulls last, f.record_id desc) = 1),
+        s as (
+            select *, case when kind = 'response' then 'response' when ref is null then 'orphan'
+                           when etag is not null and ref_etag is not null then case when regexp_replace(etag, '^W/', '') <> regexp_replace(ref_etag, '^W/', '') then 'changed' else 'resolved' end
+                           when modified <> ref_modified then 'changed' else 'resolved' end as state
+            from j)
+        select record_id, url_key, kind, state, ref as ref_id,
+               concat_ws(chr(10), 'content-length: ' || case when state = 'resolved' then ref_length else length_ end, 'content-type: text/html', 'date: ' || date_,
+                         'etag: ' || case when state = 'resolved' then coalesce(etag, ref_etag) else etag end,
+                         'last-modified: ' || case when state = 'resolved' then ref_modified else modified end, 'x-visit: ' || case when state = 'resolved' then ref_x else x end) as headers
+        from s""",
     "op6_exact_dedup": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) as n_points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as plain
@@ -23,16 +58,22 @@ SQL = {
             from s window f as (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
         t as (
             select source, source_size,
-                   least(cast(3 * source_size as double), min(case when level * weight <= 3 * source_size then level end) over () * weight) as target,
-                   cast(('0x' || substr(md5('7|' || coalesce(source, chr(0) || 'null')), 1, 13)) as bigint) / 4503599627370496.0 as offset_
+                   least(cast(3 * source_size as double), max(level) over () * weight) as target
             from l),
         r as (
-            select d.doc_id, d.source, d.size, t.source_size, t.target, t.offset_,
+            select d.doc_id, d.source, d.size, t.source_size, t.target,
                    row_number() over (partition by d.source order by d.size, d.doc_id) - 1 as rank,
                    case when t.source_size > 0 then t.target / t.source_size else 0.0 end as share
             from d join t on d.source is not distinct from t.source),
+        o as (
+            select source, k, cast(('0x' || substr(md5('7|' || coalesce(source, chr(0) || 'null') || '|' || k), 1, 13)) as bigint) / 4503599627370496.0 as offset_
+            from s, unnest(range(16)) as draws(k)),
         c as (
-            select *, case when size > 0 then cast(least(floor(offset_ + share * (rank + 1)) - floor(offset_ + share * rank), 3) as bigint) else 0 end as copies
-            from r)
-        select doc_id, source, size, source_size, target, copies, copies * size as taken from c""",
+            select r.*, o.k, case when size > 0 then cast(least(floor(offset_ + share * (rank + 1)) - floor(offset_ + share * rank), 3) as bigint) else 0 end as copies
+            from r join o on r.source is not distinct from o.source),
+        b as (
+            select source, k from c group by source, k, target
+            qualify row_number() over (partition by source order by abs(sum(copies * size) - target), k) = 1)
+        select doc_id, c.source, size, source_size, target, copies, copies * size as taken
+        from c join b on c.source is not distinct from b.source and c.k = b.k""",
 }
