@@ -1,17 +1,62 @@
-"""The corpus pipeline: stages over documents, each one operator of ``tallyloom.llm``."""
+"""The corpus pipeline: documents in, packed pieces out; each stage is one operator of ``tallyloom.llm``.
+
+Quality classifier, exact dedup, near-duplicate groups, source mix, packing.  Every stage takes all that the one before
+kept, reads it from written Parquet, and (but for the last) returns whole rows of documents.  A row is known by its id and
+a hash of its text, so repeated ids do no harm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from tallyloom.llm.tables import Scratch, decided, table, text_mark
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to the given labels, does not reject."""
+    scores = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return decided(docs, scores.select("doc_id", "mark", (F.col("predicted") == 1).alias("kept")))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is equal but for white space."""
+    return decided(docs, exact_dedup.exact_duplicates(docs).select("doc_id", "mark", "kept"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by near-duplicate pairs."""
+    groups = jaccard_join.jaccard_components(docs)
+    return decided(docs, groups.select("doc_id", "mark", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, none to three times."""
+    key = lambda doc_id, mark: F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), mark.alias("mark"))
+    taken = mixing.mix(docs).where("copies > 0").groupBy(key(F.col("doc_id"), F.col("mark")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = Scratch(spark).keep(taken)
+    marked = docs.withColumn("_key", key(F.col("doc_id").cast("bigint"), text_mark("text"))).join(taken, "_key")
+    alone = taken.where("_rows > 1").isEmpty()  # rows with one id and text share their copies
+    once = marked if alone else marked.where("_rows = 1").unionByName(marked.where("_rows > 1").dropDuplicates(["_key"]))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the tokenised documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, with_ids=False)
+
 
-from tallyloom.llm import exact_dedup, mixing  # noqa: F401
+STAGES = [("quality", good), ("exact_dedup", unique), ("near_dedup", distinct), ("mix", mixed), ("packing", packed)]
 
-STAGES: list = []
+#: No twin: SQL can express neither the classifier nor the tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents; each result but the last is written before the next stage reads it."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

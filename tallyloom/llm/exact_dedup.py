@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import BLANK_RUN, Scratch
+from .tables import BLANK_RUN, Scratch, text_mark
 
 #: Code points of a block.  Most texts are one block; a longer text takes log2(blocks) pairing levels.
 BLOCK = 16_384
@@ -40,19 +40,19 @@ def _named(distinct: DataFrame, *order: str) -> DataFrame:
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, key_bits: tuple[int, ...] = ()) -> DataFrame:
     """One row per input row: its id, the id of the row that stays, the size of its group, whether it stays.
 
-    Columns: doc_id, keep_id, group_size, kept, text_sha256, n_points.  Of equal texts the row with the most code
+    Columns: doc_id, keep_id, group_size, kept, text_sha256, n_points, mark (a hash of the text as it was).  Of equal texts the row with the most code
     points stays, then the smallest id (null last); of rows repeated with one id exactly one stays.  A null text
     is empty; texts without content form one group.  Other columns of ``docs`` are not read.  ``key_bits`` narrows
     the keys of the first attempts (for tests).
     """
     scratch = Scratch(docs.sparkSession)
     plain = F.regexp_replace(F.col("_text"), BLANK_RUN, "")
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     attempt = 0
     while True:
         bits = key_bits[attempt] if attempt < len(key_bits) else 64
-        found = scratch.keep(source.select("doc_id", F.length("_text").alias("n_points"), plain.alias("_plain")).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", F.sha2("_plain", 256).alias("text_sha256"),
+        found = scratch.keep(source.select("doc_id", F.length("_text").alias("n_points"), text_mark("_text").alias("mark"), plain.alias("_plain")).select(
+            F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", "mark", F.sha2("_plain", 256).alias("text_sha256"),
             F.transform(_blocks(F.col("_plain"), block), lambda b: _key(b, attempt, bits)).alias("keys"),
         ))
         contents = source.select(plain.alias("_plain")).select(F.explode(_blocks(F.col("_plain"), block)).alias("block"))
@@ -71,7 +71,7 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     first = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     groups = rows.groupBy("kind", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
     return rows.join(groups, ["kind", "name"]).select(
-        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_points",
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_points", "mark",
     )
 
 

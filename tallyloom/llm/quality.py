@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
+from .tables import Scratch, text_mark
 from .texts import mix, prefix_hash, row_of, slices, substring_hash, words
 
 #: Slots of the hashed vocabulary and numbers of a word vector: the table has SLOTS * (WIDTH + 1) numbers.
@@ -109,7 +109,7 @@ def word_vectors(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def pooled(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    """id, features (float array) of every text."""
+    """id, mark, features (float array) of every text."""
     shared = texts.sparkSession.sparkContext.broadcast(word_vectors(table))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +133,9 @@ def pooled(texts: DataFrame, table: np.ndarray) -> DataFrame:
                     out[some, WIDTH + 2] = np.add.reduceat(common[slot], heads) / n[some]
                     out[some, WIDTH + 3] = np.log1p(n[some])
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), FEATURES).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), lists], ["id", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), batch.column(2).slice(at, len(n)), lists], ["id", "mark", "features"])
 
-    return texts.select("id", "text").mapInArrow(pool, "id bigint, features array<float>")
+    return texts.select("id", "text", "mark").mapInArrow(pool, "id bigint, mark bigint, features array<float>")
 
 
 class Network:
@@ -194,7 +194,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted (1 from ``threshold`` on) for every row of ``docs``.
+    """doc_id, held_out, score (probability of label 1), predicted (1 from ``threshold`` on), mark (a hash of the text) for every row of ``docs``.
 
     Only ``text`` makes the score; word vectors come from all texts.  A null text is scored as empty.  At most ``sample``
     labelled documents are learned from; labels of held-out rows, null labels and labels without a document are not used,
@@ -202,7 +202,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("mark", text_mark("text"))
     features = scratch.keep(pooled(texts, context_table(texts)))
     known = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     chosen = features.join(known.groupBy("id").agg(F.min("y").alias("y")), "id").orderBy(F.xxhash64("id"), "id").limit(sample).select("features", "y").toPandas()
@@ -212,8 +212,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(weights)
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(x))], ["id", "score"])
+            x = batch.column(2).flatten().to_numpy().reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(net.score(x))], ["id", "mark", "score"])
 
-    scores = features.mapInArrow(scored, "id bigint, score double")
-    return scores.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scores = features.mapInArrow(scored, "id bigint, mark bigint, score double")
+    return scores.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mark")

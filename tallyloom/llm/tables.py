@@ -51,6 +51,28 @@ def filter_by_key(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int
     return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def text_mark(text: str) -> Column:
+    """A hash of the text, null as empty: tells rows with one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def decided(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that were kept, with all their columns: ``decisions`` has doc_id, mark and kept for every row.
+
+    Usually few rows go, so their keys are sent to all executors if they are counted to be few.  A row repeated with
+    its id and text of which some go and some stay comes out once.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    votes = decisions.select(key.alias("_key"), "kept").groupBy("_key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows"))
+    votes = Scratch(docs.sparkSession).keep(votes.where("stay < rows"))
+    marked = docs.withColumn("_key", F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("id"), text_mark(text).alias("mark")))
+    rest = filter_by_key(marked, votes.select("_key"), "_key", "left_anti")
+    torn = votes.where("stay > 0").select("_key")
+    if not torn.isEmpty():
+        rest = rest.unionByName(filter_by_key(marked, torn, "_key", "left_semi").dropDuplicates(["_key"]))
+    return rest.select(*docs.columns)
+
+
 def unit_number(*parts: Column | str) -> Column:
     """A number in [0, 1) that depends only on the given values (52 bits of an MD5)."""
     text = F.concat_ws("|", *parts)
