@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import exact_dedup, jaccard_join, mixing, packing, quality
-from tallyloom.llm.tables import Scratch, decided, table, text_mark
+from tallyloom.llm.tables import Scratch, decided, fresh, row_key, table, text_mark
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +33,13 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, none to three times."""
-    key = lambda doc_id, mark: F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), mark.alias("mark"))
-    taken = mixing.mix(docs).where("copies > 0").groupBy(key(F.col("doc_id"), F.col("mark")).alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    taken = Scratch(spark).keep(taken)
-    marked = docs.withColumn("_key", key(F.col("doc_id").cast("bigint"), text_mark("text"))).join(taken, "_key")
-    alone = taken.where("_rows > 1").isEmpty()  # rows with one id and text share their copies
-    once = marked if alone else marked.where("_rows = 1").unionByName(marked.where("_rows > 1").dropDuplicates(["_key"]))
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    key, copies, rows, copy = fresh(docs, "_key", "_copies", "_rows", "_copy")
+    mix = mixing.mix(docs).where("copies > 0")
+    taken = Scratch(spark).keep(mix.groupBy(row_key(F.col("doc_id"), F.col("mark")).alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)))
+    marked = docs.withColumn(key, row_key(F.col("doc_id"), text_mark("text"))).join(taken, key)
+    if not taken.where(F.col(rows) > 1).isEmpty():  # rows with one id and text share their copies
+        marked = marked.where(F.col(rows) == 1).unionByName(marked.where(F.col(rows) > 1).dropDuplicates([key]))
+    return marked.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,22 @@ def filter_by_key(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int
     return df.join(F.broadcast(keys) if few else keys, on, how)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until the frame has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def row_key(doc_id: Column, mark: Column) -> Column:
+    """Id and mark of a row as one value that joins nulls too."""
+    return F.struct(doc_id.isNull().alias("none"), F.coalesce(doc_id.cast("bigint"), F.lit(0)).alias("id"), mark.alias("mark"))
+
+
 def text_mark(text: str) -> Column:
     """A hash of the text, null as empty: tells rows with one id apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -62,14 +78,14 @@ def decided(docs: DataFrame, decisions: DataFrame, doc_id: str = "doc_id", text:
     Usually few rows go, so their keys are sent to all executors if they are counted to be few.  A row repeated with
     its id and text of which some go and some stay comes out once.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
-    votes = decisions.select(key.alias("_key"), "kept").groupBy("_key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows"))
+    (key,) = fresh(docs, "_key")
+    votes = decisions.select(row_key(F.col("doc_id"), F.col("mark")).alias(key), "kept").groupBy(key).agg(F.count_if("kept").alias("stay"), F.count("*").alias("rows"))
     votes = Scratch(docs.sparkSession).keep(votes.where("stay < rows"))
-    marked = docs.withColumn("_key", F.struct(F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("id"), text_mark(text).alias("mark")))
-    rest = filter_by_key(marked, votes.select("_key"), "_key", "left_anti")
-    torn = votes.where("stay > 0").select("_key")
+    marked = docs.withColumn(key, row_key(F.col(doc_id), text_mark(text)))
+    rest = filter_by_key(marked, votes.select(key), key, "left_anti")
+    torn = votes.where("stay > 0").select(key)
     if not torn.isEmpty():
-        rest = rest.unionByName(filter_by_key(marked, torn, "_key", "left_semi").dropDuplicates(["_key"]))
+        rest = rest.unionByName(filter_by_key(marked, torn, key, "left_semi").dropDuplicates([key]))
     return rest.select(*docs.columns)
 
 
