@@ -80,7 +80,7 @@ class Forest:
 
     def visits(self, query: np.ndarray, most: int) -> list[tuple[int, int]]:
         """(tree, leaf) in the order of one queue over all trees: by the squared margins by which the path leaves the query's side."""
-        margins = self.directions @ query - self.thresholds if len(self.directions) else np.zeros(0)
+        margins = (self.directions * query).sum(1) - self.thresholds
         queue = [(0.0, t, int(root)) for t, root in enumerate(self.roots)]
         found: list[tuple[int, int]] = []
         while queue and len(found) < most:

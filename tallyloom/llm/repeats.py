@@ -1,16 +1,17 @@
 """Windows that repeat across documents: finding them by minimiser buckets.
 
-A *window* is a fixed number of consecutive units (words or bytes) of one text.  Its *anchor* is the smallest
-hash among the short grams in it, so equal windows have equal anchors.  Consecutive windows with one anchor form a
-*run*, which travels as one packed string.  The plan, for any unit:
+A *window* is a fixed number of consecutive units (words or bytes) of one text.  Its minimiser is the gram with the
+smallest hash in it, its *anchor* the minimiser with what surrounds it inside the window, so equal windows have equal
+anchors.  Consecutive windows with one anchor form a *run*, which travels as one packed string.  The plan, for any unit:
 
 1. ``repeated_anchors``: every task lists the anchors of its texts, 4 bytes each, in one blob per hash bucket; a
    bucket's task sorts them and keeps those of two or more texts as a small bit filter.  A filter only decides which
    runs need not travel: an anchor of one text cannot belong to a repeated window.
-2. ``travelling``: runs whose anchor passes, written once with their packed strings.
-3. ``lowest_documents``: distinct strings, combined before the shuffle, meet in the bucket of their anchor, where the
-   operator's own exact method finds for each window the lowest document that has it.
-4. ``removed_ranges``: the answers go back to every copy of a string by its 128-bit key.
+2. ``travelling``: the runs whose anchor passes, written once.  Texts are taken in *loads* of bounded size; of equal
+   strings a load sends one, with its lowest document, to the bucket of its anchor, and keeps a list of where they were.
+3. ``lowest_documents``: in a bucket the operator's own exact method finds for each window the lowest document that has
+   it.  The answer goes back to each load, not to each copy, so a string that fills the corpus is not a hot key.
+4. ``removed_ranges``: a load and its answers meet and give the removed ranges of each of its documents.
 
 Anchors so frequent that they fill a noticeable share of their bucket are split: their windows travel one by one under
 the hash of the whole window, so no group of distinct strings is tied to a frequent gram.
@@ -23,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import Scratch
-from .texts import mix, slices
+from .texts import mix, slices, window_minimum
 
 #: Bytes that all bit filters of a job may take together; beyond, they let more runs pass.
 FILTER_BYTES = 64 << 20
@@ -35,8 +37,11 @@ FILTER_BYTES = 64 << 20
 #: An anchor is split when it holds this share of its bucket.
 HOT_SHARE = 0.01
 
-#: Packed bytes that a bucket's task works on at once (whole anchors).
-CHUNK_BYTES = 4 << 20
+#: Bytes of text in a load.
+LOAD_BYTES = 16 << 20
+
+#: Packed bytes that a bucket's task solves at once (whole anchors).
+CHUNK_BYTES = 2 << 20
 
 #: Null ids come after all others.
 NO_ID = (1 << 63) - 1
@@ -59,8 +64,8 @@ class Runs:
     data: np.ndarray
 
 
-#: (bytes, offsets, sorted hot anchors) -> Runs
-Extract = Callable[[np.ndarray, np.ndarray, np.ndarray], Runs]
+#: (bytes, offsets, filter) -> the runs that travel
+Extract = Callable[[np.ndarray, np.ndarray, "AnchorFilter"], Runs]
 
 
 def runs_of(position: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +78,38 @@ def runs_of(position: np.ndarray, row: np.ndarray, key: np.ndarray) -> tuple[np.
     return first, np.diff(np.append(first, len(position)))
 
 
-def split_hot(anchor: np.ndarray, whole: Callable[[np.ndarray], np.ndarray], hot: np.ndarray) -> np.ndarray:
-    """Replace hot anchors by the hash of their window."""
-    if len(hot):
-        found = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor)
-        if len(found):
-            anchor = anchor.copy()
-            anchor[found] = mix(whole(found) ^ np.uint64(0x5851F42D4C957F2D))
-    return anchor
+def context_runs(grams: np.ndarray, at: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows with one minimiser and one side of it: first index, length, and the anchor's place.
+
+    ``grams`` are hashes of the grams of the whole slice, ``at`` the windows that lie inside a row.  A window's anchor is
+    its minimiser (the leftmost, if its hash occurs twice) with as many units on its left as every window with such a
+    minimiser has on one side, or else on its right: (first unit, whether it is the left side).  All of it lies in the
+    window, so equal windows have equal anchors.
+    """
+    half = (window - gram + 1) // 2
+    places = np.uint64((1 << 31) - 1)
+    least = window_minimum(grams & ~places | np.arange(len(grams), dtype=np.uint64), window - gram + 1)[at]
+    place = (least & places).astype(np.int64)
+    left = at <= place - half
+    begin, n = runs_of(at, row, place * 2 + left)
+    place, left = place[begin], left[begin]
+    return begin, n, np.where(left, place - half, place), left
+
+
+def anchor_hash(context: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return mix(context + left.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))
+
+
+def passing_runs(begin: np.ndarray, n: np.ndarray, anchor: np.ndarray, known: AnchorFilter, whole: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the first window, windows and key of the runs that travel; hot ones window by window."""
+    passes = known.passes(anchor)
+    begin, n, anchor = begin[passes], n[passes], anchor[passes]
+    hot = known.is_hot(anchor)
+    if not hot.any():
+        return begin, n, anchor
+    each = np.repeat(begin[hot], n[hot]) + np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+    return (np.concatenate((begin[~hot], each)), np.concatenate((n[~hot], np.ones(len(each), np.int64))),
+            np.concatenate((anchor[~hot], mix(whole(each) ^ np.uint64(0x2545F4914F6CDD1D)))))
 
 
 class AnchorFilter:
@@ -108,21 +137,19 @@ class AnchorFilter:
             out &= (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return out
 
-    def hot(self, anchor: np.ndarray) -> np.ndarray:
-        """The distinct hot anchors among the given ones, sorted."""
+    def is_hot(self, anchor: np.ndarray) -> np.ndarray:
         if not len(self.hot_low):
-            return np.zeros(0, np.uint64)
+            return np.zeros(len(anchor), bool)
         bucket, low = _address(anchor, self.buckets)
         short = (bucket.astype(np.uint64) << np.uint64(32)) | low
-        found = self.hot_low[np.minimum(np.searchsorted(self.hot_low, short), len(self.hot_low) - 1)] == short
-        return np.unique(anchor[found])
+        return self.hot_low[np.minimum(np.searchsorted(self.hot_low, short), len(self.hot_low) - 1)] == short
 
 
 def _address(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((anchor >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64), anchor & np.uint64(0xFFFFFFFF)
 
 
-def repeated_anchors(texts: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> AnchorFilter:
+def repeated_anchors(texts: DataFrame, anchors: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], hot_share: float = HOT_SHARE) -> AnchorFilter:
     """Anchors that occur in two or more texts.  ``anchors(bytes, offsets)`` gives (row, anchor), each pair once or more.
 
     The driver receives one bit filter per bucket, together at most ``FILTER_BYTES``; no anchor is lost by that bound,
@@ -175,7 +202,7 @@ def repeated_anchors(texts: DataFrame, anchors: Callable[[np.ndarray, np.ndarray
             bits = np.zeros(size, bool)
             for odd in _ODD:
                 bits[((repeated * odd) >> np.uint64(20)) % np.uint64(size)] = True
-            hot = values[first[count > max(64, HOT_SHARE * len(values))]]
+            hot = values[first[count > max(64, hot_share * len(values))]]
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()), pa.array([hot.astype("<u4").tobytes()], pa.binary())], ["bucket", "bits", "hot"])
 
     blobs = texts.select("text").mapInArrow(listed, "bucket int, anchors binary")
@@ -188,102 +215,177 @@ def identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc")).withColumn("mark", F.xxhash64("text"))
 
 
-def travelling(texts: DataFrame, extract: Extract, anchors: AnchorFilter, fingerprint: Callable[[Runs, np.ndarray], np.ndarray]) -> DataFrame:
-    """Runs whose anchor repeats: key, print (128 bits together), doc, mark, at, n, packed."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays in one compressed blob."""
+    body = b"".join(x.tobytes() for x in arrays)
+    head = ",".join(f"{x.dtype.str}{len(x)}" for x in arrays).encode()
+    return len(head).to_bytes(4, "little") + len(body).to_bytes(8, "little") + head + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:12], "little")
+    body = pa.decompress(blob[12 + n :], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    out, at = [], 0
+    for kind in blob[12 : 12 + n].decode().split(","):
+        dtype, length = np.dtype(kind[:3]), int(kind[3:])
+        out.append(np.frombuffer(body, dtype, length, at))
+        at += length * dtype.itemsize
+    return out
+
+
+def gather(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Concatenated data[begin : begin + length]."""
+    ends = np.cumsum(lengths)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)]
+
+
+def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts by the keys, first places of the groups in that order, and the group of each row."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), number
+
+
+def travelling(texts: DataFrame, extract: Extract, anchors: AnchorFilter, fingerprint: Callable[[Runs], np.ndarray]) -> DataFrame:
+    """bucket, load, content: for each load the distinct strings by bucket, and (bucket -1) where they came from."""
     shared = texts.sparkSession.sparkContext.broadcast(anchors.state)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = AnchorFilter(shared.value)
+        task, loads, taken, parts = TaskContext.get().partitionId(), 0, 0, []
+
+        def emit() -> pa.RecordBatch:
+            key, prints, doc, mark, at, n, length = (np.concatenate([p[k] for p in parts]) for k in range(7))
+            data = np.concatenate([p[7] for p in parts])
+            order, first, number = groups(key, prints)
+            head = order[first]
+            low, high = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
+            begin = np.cumsum(length) - length
+            bucket, _ = _address(key[head], known.buckets)
+            by_bucket = np.argsort(bucket, kind="stable")
+            ends = np.cumsum(np.bincount(bucket, minlength=known.buckets))
+            rows = []
+            for b, (e, m) in enumerate(zip(ends, np.diff(ends, prepend=0))):
+                if m:
+                    own = by_bucket[e - m : e]
+                    h = head[own]
+                    rows.append((b, packed(key[h], prints[h], n[h].astype(np.int32), low[own], high[own], own.astype(np.int32), length[h].astype(np.int32), gather(data, begin[h], length[h]))))
+            rows.append((-1, packed(number.astype(np.int32), doc, mark, at.astype(np.int32))))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([(task << 24) + loads] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "load", "content"])
+
         for batch in batches:
             docs, marks = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, data, offsets in slices(batch.column(0)):
                 runs = extract(data, offsets, known)
-                if not len(runs.row):
-                    continue
-                prints = fingerprint(runs, np.arange(len(runs.row)))
-                lengths = runs.end - runs.begin
-                ends = np.cumsum(lengths)
-                packed = runs.data[np.arange(ends[-1]) + np.repeat(runs.begin - (ends - lengths), lengths)]
-                strings = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(packed)])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(runs.key.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(docs[first + runs.row]), pa.array(marks[first + runs.row]),
-                    pa.array(runs.at.astype(np.int32)), pa.array(runs.n.astype(np.int32)), strings], ["key", "print", "doc", "mark", "at", "n", "packed"])
+                taken += len(data)
+                if len(runs.row):
+                    length = runs.end - runs.begin
+                    parts.append((runs.key, fingerprint(runs), docs[first + runs.row], marks[first + runs.row], runs.at, runs.n, length, gather(runs.data, runs.begin, length)))
+                if taken >= LOAD_BYTES and parts:
+                    yield emit()
+                    taken, parts, loads = 0, [], loads + 1
+        if parts:
+            yield emit()
 
-    return texts.select("text", "doc", "mark").mapInArrow(cut, "key bigint, print bigint, doc bigint, mark bigint, at int, n int, packed binary")
+    return texts.select("text", "doc", "mark").mapInArrow(cut, "bucket int, load bigint, content binary")
 
 
-#: (offsets, bytes, windows per string, lowest document per string, whether in several) -> lowest document per window
+#: (offsets, bytes, windows per string, lowest document per string, anchor per string) -> lowest document per window
 Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def lowest_documents(runs: DataFrame, solve: Solve) -> DataFrame:
-    """key, print, lows (lowest document for each window) of the strings that lose a window in some document."""
-    strings = runs.groupBy("key", "print", "n", "packed").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def solved(table: pa.Table) -> pa.RecordBatch:
-        column = table.column("packed").combine_chunks()
-        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
-        ((_, data, offsets),) = slices(column, 1 << 62)
-        n, low, high = (table.column(c).to_numpy() for c in ("n", "low", "high"))
-        lows = solve(offsets, data, n, low, high > low)
-        ends = np.append(0, np.cumsum(n))
-        keep = np.minimum.reduceat(lows, ends[:-1]) < high
-        windows = np.repeat(keep, n)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[keep])).astype(np.int32)), pa.array(lows[windows]))
-        mask = pa.array(keep)
-        return pa.RecordBatch.from_arrays([table.column("key").filter(mask).combine_chunks(), table.column("print").filter(mask).combine_chunks(), lists], ["key", "print", "lows"])
-
-    def by_anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
-        for batch in batches:
-            waiting.append(batch)
-            size += batch.column("packed").nbytes
-            if size < CHUNK_BYTES:
-                continue
-            table = pa.Table.from_batches(waiting)
-            keys = table.column("key").to_numpy()
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if cut:
-                yield solved(table.slice(0, cut))
-            rest = table.slice(cut).combine_chunks()
-            waiting, size = rest.to_batches(), rest.column("packed").nbytes if cut else size
-        if waiting:
-            table = pa.Table.from_batches(waiting)
-            if len(table):
-                yield solved(table)
-
-    ordered = strings.repartition(parts, "key").sortWithinPartitions("key")
-    return ordered.select("key", "print", "n", "packed", "low", "high").mapInArrow(by_anchor, "key bigint, print bigint, lows array<bigint>")
-
-
-def removed_ranges(runs: DataFrame, lows: DataFrame, window: int) -> DataFrame:
-    """doc, mark, spans: the ranges of units that a window of a lower document covers (overlapping, unordered)."""
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """load, content: for the strings of a load that lose a window in one of its documents, the lowest documents."""
+    def solved(blobs: list[bytes], loads: list[int]) -> pa.RecordBatch:
+        parts = [unpacked(b) for b in blobs]
+        key, prints, n, low, high, own, length = (np.concatenate([p[k] for p in parts]) for k in range(7))
+        load = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        data = np.concatenate([p[7] for p in parts])
+        order, first, number = groups(key, prints)
+        head = order[first]
+        begin = np.cumsum(length.astype(np.int64)) - length
+        lowest = np.minimum.reduceat(low[order], first)
+        size = length[head].astype(np.int64)
+        keys, total = key[head], np.cumsum(size)
+        edges, answers = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)), []
+        at = 0
+        while at < len(keys):  # whole anchors, as many as fit into a chunk
+            limit = np.searchsorted(total, total[at] - size[at] + CHUNK_BYTES, "right")
+            end = int(edges[max(np.searchsorted(edges, limit, "right") - 1, np.searchsorted(edges, at, "right"))])
+            part = slice(at, end)
+            answers.append(solve(np.append(0, np.cumsum(size[part])), gather(data, begin[head[part]], size[part]), n[head[part]].astype(np.int64), lowest[part], keys[part]))
+            at = end
+        lows = np.concatenate(answers)
+        starts = np.cumsum(n[head].astype(np.int64)) - n[head]
+        least = np.minimum.reduceat(lows, starts)
+        rows = []
+        for k in range(len(parts)):
+            r = np.flatnonzero(load == k)
+            r = r[least[number[r]] < high[r]]
+            if len(r):
+                count = n[r].astype(np.int64)
+                rows.append((loads[k], packed(own[r], n[r], gather(lows, starts[number[r]], count))))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["load", "content"])
+
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs, loads = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(3)
-            counts = np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(counts)), counts)
-            hit = np.flatnonzero(lists.flatten().to_numpy() < batch.column(0).to_numpy()[row])
-            within = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))[hit]
-            first, n = runs_of(within, row[hit], np.zeros(len(hit), np.uint64))
-            r, start = row[hit][first], within[first]
-            begin = batch.column(2).to_numpy()[r] + start
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(begin.astype(np.int32)), pa.array((begin + n - 1 + window).astype(np.int32))], ["doc", "mark", "begin", "end"])
-
-    hits = runs.select("key", "print", "doc", "mark", "at").join(lows, ["key", "print"]).select("doc", "mark", "at", "lows")
-    return hits.mapInArrow(ranges, "doc bigint, mark bigint, begin int, end int").groupBy("doc", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-
-
-def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of ranges as maximal disjoint ranges."""
-    order = np.argsort(begins, kind="stable")
-    begins, reach = begins[order], np.maximum.accumulate(ends[order])
-    new = np.append(True, begins[1:] > reach[:-1])
-    first = np.flatnonzero(new)
-    return begins[first], reach[np.append(first[1:] - 1, len(reach) - 1)]
+            for b, load, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != now and blobs:
+                    yield solved(blobs, loads)
+                    blobs, loads = [], []
+                now = b
+                blobs.append(blob.as_py())
+                loads.append(load)
+        if blobs:
+            yield solved(blobs, loads)
+
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strings = runs.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "load")
+    return strings.mapInArrow(by_bucket, "load bigint, content binary")
+
+
+def removed_ranges(places: DataFrame, lows: DataFrame, window: int) -> DataFrame:
+    """doc, mark, spans: the maximal ranges of units that windows of lower documents cover."""
+    shape = "doc bigint, mark bigint, spans array<struct<begin: bigint, end: bigint>>"
+
+    def ranges(loads: pa.Table, answers: pa.Table) -> pa.Table:
+        kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+        if not len(loads) or not len(answers):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], kind)], ["doc", "mark", "spans"])
+        number, doc, mark, at = unpacked(loads.column("content")[0].as_py())
+        own, n, lows = (np.concatenate(x) for x in zip(*(unpacked(b.as_py()) for b in answers.column("content"))))
+        n = n.astype(np.int64)
+        count, begin = np.zeros((2, int(number.max()) + 1), np.int64)
+        count[own], begin[own] = n, np.cumsum(n) - n
+        hit = np.flatnonzero(count[number])
+        each = count[number[hit]]
+        run = np.repeat(hit, each)
+        within = np.arange(len(run)) - np.repeat(np.cumsum(each) - each, each)
+        gone = lows[np.repeat(begin[number[hit]], each) + within] < doc[run]
+        run, start = run[gone], (at[run] + within)[gone]
+        # Windows of one text in order; a new range begins where the last one does not reach.
+        order = np.lexsort((start, mark[run], doc[run]))
+        run, start = run[order], start[order].astype(np.int64)
+        if not len(run):
+            return ranges(loads.slice(0, 0), answers)
+        text = np.ones(len(run), bool)
+        text[1:] = (doc[run][1:] != doc[run][:-1]) | (mark[run][1:] != mark[run][:-1])
+        new = text.copy()
+        new[1:] |= start[1:] > start[:-1] + window
+        first = np.flatnonzero(new)
+        begins, ends = start[first], start[np.append(first[1:], len(start)) - 1] + window
+        heads = np.flatnonzero(text)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first, heads), len(first)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(begins), pa.array(ends)], ["begin", "end"]))
+        return pa.table([pa.array(doc[run][heads]), pa.array(mark[run][heads]), lists], ["doc", "mark", "spans"])
+
+    found = places.groupBy("load").cogroup(lows.groupBy("load")).applyInArrow(ranges, shape)
+    return found.dropDuplicates(["doc", "mark"])  # one row for texts repeated under one id
 
 
 def remove_repeats(docs: DataFrame, doc_id: str, text: str, window: int, extract: Extract, anchors, fingerprint, solve: Solve, kept) -> DataFrame:
@@ -294,7 +396,10 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, window: int, extract
     scratch = Scratch(docs.sparkSession)
     texts = identified(docs, doc_id, text)
     runs = scratch.keep(travelling(texts, extract, repeated_anchors(texts, anchors), fingerprint))
-    spans = removed_ranges(runs, lowest_documents(runs, solve), window)
+    lows = scratch.keep(lowest_documents(runs, solve))
+    places = scratch.keep(runs.where("bucket < 0").select("load", "content"))
+    scratch.free(runs)  # the strings are the bulk; they are not needed beside the texts below
+    spans = removed_ranges(places, lows, window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,8 +407,7 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, window: int, extract
             for value, doc, spans in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
                 begins = ends = np.zeros(0, np.int64)
                 if spans.is_valid:
-                    both = spans.values
-                    begins, ends = merged(both.field(0).to_numpy().astype(np.int64), both.field(1).to_numpy().astype(np.int64))
+                    begins, ends = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
                 n, removed, rest = kept(value.as_buffer().to_pybytes(), begins, ends)
                 out.append((None if doc == NO_ID else doc, n, removed, [{"begin": b, "end": e} for b, e in zip(begins.tolist(), ends.tolist())], rest))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])), pa.binary())

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Runs, remove_repeats, runs_of, split_hot
-from .texts import IS_BLANK, mix, prefix_hash, row_of, slices, substring_hash, window_minimum, words
+from .repeats import Runs, anchor_hash, context_runs, passing_runs, remove_repeats
+from .texts import IS_BLANK, mix, prefix_hash, row_of, substring_hash, words
 
 #: Words of a window, and of the grams whose smallest hash is the minimiser.
 WINDOW, GRAM = 13, 4
@@ -32,10 +32,12 @@ def _windows(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     if len(starts) < window:
         return None
     hashes = substring_hash(prefix_hash(data), starts, ends)
-    minimiser = window_minimum(_rolled(hashes, gram), window - gram + 1)
-    row = row_of(np.arange(len(minimiser)), first)
-    inside = np.flatnonzero(np.arange(len(minimiser)) + window <= first[row + 1])
-    return starts, ends, first, hashes, inside, row[inside], minimiser[inside]
+    row = row_of(np.arange(len(starts) - window + 1), first)
+    at = np.flatnonzero(np.arange(len(row)) + window <= first[row + 1])
+    row = row[at]
+    begin, n, place, left = context_runs(_rolled(hashes, gram), at, row, window, gram)
+    anchor = anchor_hash(_rolled(hashes, gram + (window - gram + 1) // 2)[place], left)
+    return starts, ends, first, hashes, at, row, begin, n, anchor
 
 
 def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -50,21 +52,16 @@ def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         found = _windows(data, offsets, window, gram)
         if found is None:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        *_, row, minimiser = found
-        first, _ = runs_of(np.arange(len(row)), row, minimiser)
-        return row[first], minimiser[first]
+        *_, row, begin, _, anchor = found
+        return row[begin], anchor
 
     def extract(data, offsets, known) -> Runs:
         none = np.zeros(0, np.int64)
         found = _windows(data, offsets, window, gram)
         if found is None:
             return Runs(none, none, none, none.view(np.uint64), none, none, data)
-        starts, ends, first, hashes, at, row, minimiser = found
-        begin, _ = runs_of(at, row, minimiser)
-        passing = np.repeat(known.passes(minimiser[begin]), np.diff(np.append(begin, len(at))))
-        at, row, minimiser = at[passing], row[passing], minimiser[passing]
-        key = split_hot(minimiser, lambda i: _rolled(hashes, window)[at[i]], known.hot(minimiser))
-        begin, n = runs_of(at, row, key)
+        starts, ends, first, hashes, at, row, begin, n, anchor = found
+        begin, n, key = passing_runs(begin, n, anchor, known, lambda i: _rolled(hashes, window)[at[i]])
         # Words and one space after each: blanks other than the first after a word are left out.
         inside = ~IS_BLANK[data]
         keep = inside.copy()
@@ -73,9 +70,9 @@ def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         packed = data[keep]
         packed[IS_BLANK[packed]] = 32
         p = at[begin]
-        return Runs(row[begin], p - first[row[begin]], n, key[begin], place[starts[p]], place[ends[p + n + window - 2] - 1] + 1, packed)
+        return Runs(row[begin], p - first[row[begin]], n, key, place[starts[p]], place[ends[p + n + window - 2] - 1] + 1, packed)
 
-    def solve(offsets, data, n, low, several):
+    def solve(offsets, data, n, low, key):
         return _lowest(offsets, data, n, low, window)
 
     def kept(value, begins, ends):
@@ -91,8 +88,8 @@ def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return remove_repeats(docs, doc_id, text, window, extract, anchors, _fingerprint, solve, kept)
 
 
-def _fingerprint(runs: Runs, chosen: np.ndarray) -> np.ndarray:
-    return substring_hash(prefix_hash(runs.data), runs.begin[chosen], runs.end[chosen])
+def _fingerprint(runs: Runs) -> np.ndarray:
+    return substring_hash(prefix_hash(runs.data), runs.begin, runs.end)
 
 
 def _lowest(offsets: np.ndarray, data: np.ndarray, n: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:

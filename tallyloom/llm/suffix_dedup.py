@@ -1,6 +1,6 @@
 """Repeated byte strings, removed by suffix arrays.
 
-Texts are cut into shards such that equal windows always meet: consecutive windows with one minimiser (of 16-byte
+Texts are cut into shards such that equal windows always meet: consecutive windows with one minimiser (of 10-byte
 grams) travel together.  Each shard is one text whose suffix array is induced and whose common prefixes are computed in
 text order; suffixes that share a window with their neighbour form groups, and each group takes its lowest document.
 A string's end bounds its prefixes, so matches never cross documents.
@@ -11,12 +11,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .repeats import Runs, remove_repeats, runs_of, split_hot
+from .repeats import Runs, anchor_hash, context_runs, passing_runs, remove_repeats
 from .suffix_array import common_prefixes, suffix_array
-from .texts import prefix_hash, row_of, substring_hash, window_minimum
+from .texts import prefix_hash, substring_hash
 
 #: Bytes of a window, and of the grams whose smallest hash is the minimiser.
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 10
 
 #: Ends each string of a shard; symbols 0 to 255 are bytes.
 _END = 256
@@ -26,12 +26,13 @@ def _windows(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     if len(data) < window:
         return None
     sums = prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    minimiser = window_minimum(substring_hash(sums, at, at + gram), window - gram + 1)
     inside = np.maximum(np.diff(offsets) - window + 1, 0)
     row = np.repeat(np.arange(len(inside)), inside)
     at = np.arange(len(row)) - np.repeat(np.cumsum(inside) - inside, inside) + offsets[row]
-    return sums, at, row, minimiser[at]
+    every = np.arange(len(data) - gram + 1)
+    begin, n, place, left = context_runs(substring_hash(sums, every, every + gram), at, row, window, gram)
+    anchor = anchor_hash(substring_hash(sums, place, place + gram + (window - gram + 1) // 2), left)
+    return sums, at, row, begin, n, anchor
 
 
 def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -46,29 +47,24 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         found = _windows(data, offsets, window, gram)
         if found is None:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        _, _, row, minimiser = found
-        first, _ = runs_of(np.arange(len(row)), row, minimiser)
-        return row[first], minimiser[first]
+        _, _, row, begin, _, anchor = found
+        return row[begin], anchor
 
     def extract(data, offsets, known) -> Runs:
         none = np.zeros(0, np.int64)
         found = _windows(data, offsets, window, gram)
         if found is None:
             return Runs(none, none, none, none.view(np.uint64), none, none, data)
-        sums, at, row, minimiser = found
-        begin, _ = runs_of(at, row, minimiser)
-        passing = np.repeat(known.passes(minimiser[begin]), np.diff(np.append(begin, len(at))))
-        at, row, minimiser = at[passing], row[passing], minimiser[passing]
-        key = split_hot(minimiser, lambda i: substring_hash(sums, at[i], at[i] + window), known.hot(minimiser))
-        begin, n = runs_of(at, row, key)
+        sums, at, row, begin, n, anchor = found
+        begin, n, key = passing_runs(begin, n, anchor, known, lambda i: substring_hash(sums, at[i], at[i] + window))
         p = at[begin]
-        return Runs(row[begin], p - offsets[row[begin]], n, key[begin], p, p + n + window - 1, data)
+        return Runs(row[begin], p - offsets[row[begin]], n, key, p, p + n + window - 1, data)
 
-    def fingerprint(runs: Runs, chosen: np.ndarray) -> np.ndarray:
-        return substring_hash(prefix_hash(runs.data), runs.begin[chosen], runs.end[chosen])
+    def fingerprint(runs: Runs) -> np.ndarray:
+        return substring_hash(prefix_hash(runs.data), runs.begin, runs.end)
 
-    def solve(offsets, data, n, low, several):
-        return _lowest(offsets, data, n, low, several, window, gram)
+    def solve(offsets, data, n, low, key):
+        return _lowest(offsets, data, n, low, key, window)
 
     def kept(value, begins, ends):
         edges = [0, *np.column_stack((begins, ends)).ravel().tolist(), len(value)]
@@ -78,11 +74,12 @@ def remove_repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     return remove_repeats(docs, doc_id, text, window, extract, anchors, fingerprint, solve, kept)
 
 
-def _lowest(offsets: np.ndarray, data: np.ndarray, n: np.ndarray, low: np.ndarray, several: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Lowest document of each window of the distinct strings of a shard."""
+def _lowest(offsets: np.ndarray, data: np.ndarray, n: np.ndarray, low: np.ndarray, key: np.ndarray, window: int) -> np.ndarray:
+    """Lowest document of each window of the distinct strings of a shard, whose keys are in order."""
     lengths = np.diff(offsets)
     lows = np.repeat(low, n)
-    chosen = np.flatnonzero(several | _may_repeat(offsets, data, window, gram))
+    same = np.append(False, key[1:] == key[:-1])
+    chosen = np.flatnonzero(same | np.append(same[1:], False))  # a string alone with its anchor shares no window
     if not len(chosen):
         return lows
     size = lengths[chosen]
@@ -110,40 +107,3 @@ def _lowest(offsets: np.ndarray, data: np.ndarray, n: np.ndarray, low: np.ndarra
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     lows[np.repeat(first[chosen], count) + inner] = by_position[np.repeat(begins, count) + inner]
     return lows
-
-
-def _may_repeat(offsets: np.ndarray, data: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Strings that can share a window with another one of the shard.
-
-    Each window holds its minimiser and, of the rest, at least half on one side: strings whose minimiser has no equal
-    surroundings on either side in the shard cannot share one.
-    """
-    if len(offsets) < 3:
-        return np.zeros(len(offsets) - 1, bool)
-    half = (window - gram) // 2
-    sums = prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    hashes = substring_hash(sums, at, at + gram)
-    hashes = np.append(hashes, np.full(gram - 1, np.iinfo(np.uint64).max))
-    first, last = offsets[:-1], offsets[1:]
-    inside = np.repeat(last - gram, last - first) >= np.arange(len(data))
-    hashes[: len(data)][~inside] = np.iinfo(np.uint64).max
-    least = np.minimum.reduceat(hashes, first)
-    owner = np.repeat(np.arange(len(first)), last - first)
-    hit = np.flatnonzero(hashes == least[owner])
-    out = np.zeros(len(first), bool)
-    several = np.bincount(owner[hit], minlength=len(first)) > 1  # the minimiser occurs twice: left to the suffix array
-    out |= several
-    for left, right in ((half, gram), (0, gram + half)):
-        begin, end = hit - left, hit + right
-        fits = (begin >= first[owner[hit]]) & (end <= last[owner[hit]])
-        keys, who = substring_hash(sums, begin[fits], end[fits]), owner[hit][fits]
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        equal = np.zeros(len(k), bool)
-        if len(k) > 1:
-            same = k[1:] == k[:-1]
-            equal[1:] |= same
-            equal[:-1] |= same
-        out[who[order[equal]]] = True
-    return out

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step works on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: The white space of the contracts, \x09-\x0D and \x20.
 BLANKS = (9, 10, 11, 12, 13, 32)
