@@ -69,7 +69,8 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = scratch.keep(found.drop("keys").join(identity, "row"))
 
     first = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    groups = rows.groupBy("kind", "name").agg(first.alias("first"), F.count("*").alias("group_size"))
+    # Written, so that both sides of the join are plain exchanges and a hot group's rows may be split.
+    groups = scratch.keep(rows.groupBy("kind", "name").agg(first.alias("first"), F.count("*").alias("group_size")))
     return rows.join(groups, ["kind", "name"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_points", "mark",
     )

@@ -7,10 +7,11 @@ anchors.  Consecutive windows with one anchor form a *run*, which travels as one
 1. ``repeated_anchors``: every task lists the anchors of its texts, 4 bytes each, in one blob per hash bucket; a
    bucket's task sorts them and keeps those of two or more texts as a small bit filter.  A filter only decides which
    runs need not travel: an anchor of one text cannot belong to a repeated window.
-2. ``travelling``: the runs whose anchor passes, written once.  Texts are taken in *loads* of bounded size; of equal
-   strings a load sends one, with its lowest document, to the bucket of its anchor, and keeps a list of where they were.
+2. ``travelling``: the runs whose anchor passes.  Texts are taken in *loads* of bounded size; of equal strings a load
+   sends one, with its lowest document, to the bucket of its anchor, and keeps a list of where they were.
 3. ``lowest_documents``: in a bucket the operator's own exact method finds for each window the lowest document that has
-   it.  The answer goes back to each load, not to each copy, so a string that fills the corpus is not a hot key.
+   it.  The answer goes back to each load, not to each copy, so a string that fills the corpus is not a hot key.  The
+   strings, which are the bulk, cross the network once and are not written; the lists and answers are.
 4. ``removed_ranges``: a load and its answers meet and give the removed ranges of each of its documents.
 
 Anchors so frequent that they fill a noticeable share of their bucket are split: their windows travel one by one under
@@ -300,7 +301,8 @@ Solve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], n
 
 
 def lowest_documents(runs: DataFrame, solve: Solve) -> DataFrame:
-    """load, content: for the strings of a load that lose a window in one of its documents, the lowest documents."""
+    """answer, load, content: the lists of each load (answer false), and for the strings of a load that lose a window in
+    one of its documents, the lowest documents (answer true)."""
     def solved(blobs: list[bytes], loads: list[int]) -> pa.RecordBatch:
         parts = [unpacked(b) for b in blobs]
         key, prints, n, low, high, own, length = (np.concatenate([p[k] for p in parts]) for k in range(7))
@@ -330,12 +332,15 @@ def lowest_documents(runs: DataFrame, solve: Solve) -> DataFrame:
             if len(r):
                 count = n[r].astype(np.int64)
                 rows.append((loads[k], packed(own[r], n[r], gather(lows, starts[number[r]], count))))
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["load", "content"])
+        return pa.RecordBatch.from_arrays([pa.array([True] * len(rows), pa.bool_()), pa.array([x for x, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["answer", "load", "content"])
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, loads = None, [], []
         for batch in batches:
             for b, load, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([load], pa.int64()), pa.array([blob.as_py()], pa.binary())], ["answer", "load", "content"])
+                    continue
                 if b != now and blobs:
                     yield solved(blobs, loads)
                     blobs, loads = [], []
@@ -346,8 +351,8 @@ def lowest_documents(runs: DataFrame, solve: Solve) -> DataFrame:
             yield solved(blobs, loads)
 
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    strings = runs.where("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "load")
-    return strings.mapInArrow(by_bucket, "load bigint, content binary")
+    dealt = runs.repartition(parts, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.col("load"))).sortWithinPartitions("bucket", "load")
+    return dealt.mapInArrow(by_bucket, "answer boolean, load bigint, content binary")
 
 
 def removed_ranges(places: DataFrame, lows: DataFrame, window: int) -> DataFrame:
@@ -384,8 +389,8 @@ def removed_ranges(places: DataFrame, lows: DataFrame, window: int) -> DataFrame
         lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(first, heads), len(first)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(begins), pa.array(ends)], ["begin", "end"]))
         return pa.table([pa.array(doc[run][heads]), pa.array(mark[run][heads]), lists], ["doc", "mark", "spans"])
 
-    found = places.groupBy("load").cogroup(lows.groupBy("load")).applyInArrow(ranges, shape)
-    return found.dropDuplicates(["doc", "mark"])  # one row for texts repeated under one id
+    met = places.select("load", "content").groupBy("load").cogroup(lows.select("load", "content").groupBy("load")).applyInArrow(ranges, shape)
+    return met.dropDuplicates(["doc", "mark"])  # one row for texts repeated under one id
 
 
 def remove_repeats(docs: DataFrame, doc_id: str, text: str, window: int, extract: Extract, anchors, fingerprint, solve: Solve, kept) -> DataFrame:
@@ -395,11 +400,9 @@ def remove_repeats(docs: DataFrame, doc_id: str, text: str, window: int, extract
     """
     scratch = Scratch(docs.sparkSession)
     texts = identified(docs, doc_id, text)
-    runs = scratch.keep(travelling(texts, extract, repeated_anchors(texts, anchors), fingerprint))
-    lows = scratch.keep(lowest_documents(runs, solve))
-    places = scratch.keep(runs.where("bucket < 0").select("load", "content"))
-    scratch.free(runs)  # the strings are the bulk; they are not needed beside the texts below
-    spans = removed_ranges(places, lows, window)
+    runs = travelling(texts, extract, repeated_anchors(texts, anchors), fingerprint)
+    found = scratch.keep(lowest_documents(runs, solve))
+    spans = removed_ranges(found.where("not answer"), found.where("answer"), window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

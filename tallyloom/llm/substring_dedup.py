@@ -1,6 +1,6 @@
 """Repeated passages of words, removed by super-k-mer partitioning.
 
-The minimiser of a window of words is the smallest hash of the word 4-grams in it.  Consecutive windows sharing a
+The minimiser of a window of words is the smallest hash of the word 3-grams in it.  Consecutive windows sharing a
 minimiser travel as one packed string (words joined by a space) to the minimiser's bucket.  There the words of all
 strings get integer names by content, and the windows are sorted as rows of names: equal windows become neighbours,
 exactly, whatever the hashes were.
@@ -16,7 +16,7 @@ from .repeats import Runs, anchor_hash, context_runs, passing_runs, remove_repea
 from .texts import IS_BLANK, mix, prefix_hash, row_of, substring_hash, words
 
 #: Words of a window, and of the grams whose smallest hash is the minimiser.
-WINDOW, GRAM = 13, 4
+WINDOW, GRAM = 13, 3
 
 
 def _rolled(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Repeated byte strings, removed by suffix arrays.
 
-Texts are cut into shards such that equal windows always meet: consecutive windows with one minimiser (of 10-byte
+Texts are cut into shards such that equal windows always meet: consecutive windows with one minimiser (of 8-byte
 grams) travel together.  Each shard is one text whose suffix array is induced and whose common prefixes are computed in
 text order; suffixes that share a window with their neighbour form groups, and each group takes its lowest document.
 A string's end bounds its prefixes, so matches never cross documents.
@@ -16,7 +16,7 @@ from .suffix_array import common_prefixes, suffix_array
 from .texts import prefix_hash, substring_hash
 
 #: Bytes of a window, and of the grams whose smallest hash is the minimiser.
-WINDOW, GRAM = 50, 10
+WINDOW, GRAM = 50, 8
 
 #: Ends each string of a shard; symbols 0 to 255 are bytes.
 _END = 256
