@@ -11,8 +11,8 @@ The window follows from the triangle inequality on symmetric differences: a set
 no others.  Linked documents meet in a region.
 
 *Document pivots.*  Inside a region distances are informative.  Each round takes one document of every region as pivot
-and measures its distance exactly to the members whose sizes the window admits: those in its ball are linked and leave
-the region's work, as they are one component from now on.  The rest recurses with the next pivot; when rounds stop
+and measures its distance exactly to the members whose sizes the window admits: those in its ball are linked, share its
+label, and are not compared with each other any more.  The rest recurses with the next pivot; when rounds stop
 paying, what is left (members of different components, admitted by size and place windows) is compared directly.
 
 Only distances are computed on texts; regions hold ids and sizes.  Copies with one set are one document from the start.
@@ -21,6 +21,7 @@ Only distances are computed on texts; regions hold ids and sizes.  Copies with o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ SHINGLE, PERCENT = 3, 90
 FREQUENT_SHARE = 0.001
 
 #: Rounds with a document pivot per region before the rest is compared directly.
-ROUNDS = 4
+ROUNDS = 3
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +174,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     members = known.where("n > 0 and doc = rep").select("n", "rep", F.explode(F.arrays_zip("regions", "places")).alias("r"))
     members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n").agg(F.min("r.places").alias("place"))
     active = scratch.keep(_several(members.withColumn("component", F.col("rep")), "rep", scratch))
-    labels = None
+    links: list[DataFrame] = []
     wanted = active.select(F.col("rep").alias("doc")).distinct()
     sets = scratch.keep(filter_by_key(texts.select("text", "doc"), scratch.keep(wanted), "doc", "left_semi"))
 
@@ -192,23 +193,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             reach = f"(100 + {percent}) * (1 + least(n - place - 1, n_p - place_p - 1)) >= {percent} * (n + n_p)"
             near = active.join(other, "region").where(f"component < component_p and {admitted} and {reach}")
         pairs = scratch.keep(near.groupBy(F.col("p").alias("a"), F.col("rep").alias("b")).agg(F.min("component").alias("component"), F.min("component_p").alias("component_p")))
-        links = scratch.keep(_linked(pairs.select("a", "b"), sets, size, percent).distinct())
-        edges = links.join(pairs, ["a", "b"]).select(F.col("component").alias("a"), F.col("component_p").alias("b"))
-        joined = components(edges, scratch).select(F.col("node").alias("component"), F.col("component").alias("merged"))
-        relabel = lambda df: df.join(joined, "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
-        before = labels
-        labels = scratch.keep(relabel(labels if labels is not None else active.select("rep", "component").distinct()))
-        if before is not None:
-            scratch.free(before)
+        found = scratch.keep(_linked(pairs.select("a", "b"), sets, size, percent).distinct())
+        links.append(found)
         if step < rounds:
-            after = scratch.keep(_several(relabel(active), "component", scratch))
+            # A document in a pivot's ball takes the pivot's label; the links themselves are joined up at the end.
+            ball = found.join(pairs, ["a", "b"]).groupBy(F.col("b").alias("rep")).agg(F.min("component_p").alias("nearer"))
+            relabelled = active.join(scratch.keep(ball), "rep", "left").withColumn("component", F.least("component", "nearer")).drop("nearer")
+            after = scratch.keep(_several(relabelled, "component", scratch))
             scratch.free(active)
             active = after
-        scratch.free(pairs, links)
+        scratch.free(pairs)
 
-    if labels is None:
-        labels = known.select("rep", F.col("rep").alias("component")).limit(0)
-    final = known.select("doc", "mark", "n", "rep").join(labels, "rep", "left").select("doc", "mark", "n", F.coalesce("component", "rep").alias("component"))
+    if links:
+        joined = components(reduce(DataFrame.unionByName, links), scratch).withColumnRenamed("node", "rep")
+    else:
+        joined = known.select("rep", F.col("rep").alias("component")).limit(0)
+    final = known.select("doc", "mark", "n", "rep").join(joined, "rep", "left").select("doc", "mark", "n", F.coalesce("component", "rep").alias("component"))
     unset = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return final.select(unset("doc").alias("doc_id"), F.col("n").alias("n_shingles"), unset("component").alias("component_id"), "mark")
 
