@@ -26,9 +26,12 @@ def _col(value) -> Column:
 def text_tokens(text: str | Column) -> Column:
     """Static token estimate: wide characters count 1, other visible ones 1/3.8."""
     raw = _col(text)
-    visible = F.regexp_replace(raw, _SPACE, "")
-    narrow = F.char_length(F.regexp_replace(visible, "[" + "".join(WIDE_RANGES) + "]", ""))
-    wide = F.char_length(visible) - narrow
+    # Plain ASCII has no wide characters and only six blanks; the patterns run on other texts alone.
+    plain = F.octet_length(raw) == F.char_length(raw)
+    visible = F.when(plain, F.translate(raw, " \t\n\x0b\f\r", "")).otherwise(F.regexp_replace(raw, _SPACE, ""))
+    seen = F.char_length(visible)
+    narrow = F.when(plain, seen).otherwise(F.char_length(F.regexp_replace(visible, "[" + "".join(WIDE_RANGES) + "]", "")))
+    wide = seen - narrow
     estimate = F.ceil(narrow / F.lit(3.8) + wide).cast("bigint")
     return F.when(raw == "", F.lit(0).cast("bigint")).otherwise(F.greatest(estimate, F.lit(1).cast("bigint")))
 

@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.ordered import LINES_PER_SLOT, line_slot
 from tallyloom.schemas import TOKEN_COLUMNS
-from tallyloom.session import materialise
 
 FIELDS = TOKEN_COLUMNS
 INPUT, TOTAL = 0, 4
@@ -256,16 +255,10 @@ def _chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_INCOMING)
 
 
-def incoming_states(counted: DataFrame) -> DataFrame | None:
-    """State in which every slot of a session of several slots begins; None without such sessions."""
-    ends = counted.agg(F.min("_slot"), F.max("_slot")).first()
-    if ends[0] == ends[1]:
-        return None
+def incoming_states(counted: DataFrame) -> DataFrame:
+    """State in which every slot of a session of several slots begins: (thread_id, _slot, _incoming)."""
     spread = counted.groupBy("thread_id").agg(F.min("_slot").alias("_first"), F.max("_slot").alias("_end"))
-    # Written, so its real size decides between a broadcast and a shuffled join.
-    long_sessions = materialise(spread.where("_end > _first").select("thread_id"))
-    if long_sessions.isEmpty():
-        return None
+    long_sessions = spread.where("_end > _first").select("thread_id")
     lines = counted.select("thread_id", "_slot", "line_no", "cum").join(long_sessions, "thread_id", "left_semi")
     effects = _in_order(lines, ["thread_id", "_slot"], "line_no").mapInArrow(_effects, _EFFECT_DDL)
     return _in_order(effects, ["thread_id"], "_slot").mapInArrow(_chain, _INCOMING_DDL)
@@ -283,11 +276,7 @@ def normalise(lines: DataFrame, lines_per_slot: int = LINES_PER_SLOT) -> DataFra
     nullable longs in the order of ``FIELDS``); all others pass through.
     """
     counted = counter_events(lines).withColumn("_slot", line_slot("line_no", lines_per_slot))
-    states = incoming_states(counted)
-    if states is None:
-        ready = counted.withColumn("_incoming", F.lit(None).cast("array<bigint>"))
-    else:
-        ready = counted.join(states, ["thread_id", "_slot"], "left")
+    ready = counted.join(incoming_states(counted), ["thread_id", "_slot"], "left")
     shape = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name not in HELPERS]
         + [f"{name} bigint" for name in FIELDS]

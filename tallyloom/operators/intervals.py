@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.times import as_instant, day_start, local_day, micros_between
 from tallyloom.operators import ordered
-from tallyloom.session import materialise
 
 # Fixed values.
 PERIODS = {"today": 1, "sevenDays": 7, "twentyEightDays": 28}
@@ -67,18 +66,16 @@ def clip(intervals: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
     return cut.where("end_at > start_at")
 
 
-def _islands(rows: DataFrame, keys: list[str], hot: ordered.Hot) -> DataFrame:
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Label rows with the start of the island they belong to.
 
     Rows have one line per (keys, start_at) with the largest end there.  A row opens
     an island when it starts after everything before it has ended; touching merges.
     """
-    slot = ordered.minute_slot("start_at")
-    if not hot.none:
-        rows = materialise(rows)  # read several times below
-    reach = ordered.running(rows, keys, ["start_at"], slot, hot, reach=ordered.highest_before(F.col("end_at")))
+    slot = ordered.hour_slot("start_at")
+    reach = ordered.running(rows, keys, ["start_at"], slot, reach=ordered.highest_before(F.col("end_at")))
     opens = F.when(F.col("reach").isNull() | (F.col("start_at") > F.col("reach")), F.col("start_at"))
-    return ordered.running(reach, keys, ["start_at"], slot, hot, island=ordered.highest(opens))
+    return ordered.running(reach, keys, ["start_at"], slot, island=ordered.highest(opens))
 
 
 def merge_per_worker(clipped: DataFrame) -> DataFrame:
@@ -91,7 +88,7 @@ def merge_per_worker(clipped: DataFrame) -> DataFrame:
         F.min_by("quality", confidence()).alias("quality"),
         F.bool_or("is_autonomous").alias("is_autonomous"),
     )
-    labelled = _islands(combined, keys, ordered.Hot(clipped, keys))
+    labelled = _islands(combined, keys)
     return labelled.groupBy(*keys, "island").agg(
         F.min_by("first", "start_at").alias("first"),
         F.max("end_at").alias("end_at"),
@@ -111,7 +108,7 @@ def islands(intervals: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
 def merge_union(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Union of intervals per key as disjoint islands."""
     combined = rows.groupBy(*keys, "start_at").agg(F.max("end_at").alias("end_at"))
-    labelled = _islands(combined, keys, ordered.Hot(rows, keys))
+    labelled = _islands(combined, keys)
     return labelled.groupBy(*keys, F.col("island").alias("start_at")).agg(F.max("end_at").alias("end_at"))
 
 
@@ -121,7 +118,6 @@ def sweep(rows: DataFrame, keys: list[str]) -> DataFrame:
     One row per (keys, instant): ``open`` from that instant for ``span`` microseconds.
     Starts and ends at the same instant cancel.
     """
-    hot = ordered.Hot(rows, keys, ordered.HOT_ROWS // 2)  # two edges per row
     edges = rows.select(
         *keys,
         F.inline(F.array(
@@ -129,10 +125,8 @@ def sweep(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.struct(F.col("end_at").alias("t"), F.lit(-1).alias("step")),
         )),
     ).groupBy(*keys, "t").agg(F.sum("step").alias("step"))
-    if not hot.none:
-        edges = materialise(edges)  # read several times below
     opened = ordered.running(
-        edges, keys, ["t"], ordered.minute_slot("t"), hot,
+        edges, keys, ["t"], ordered.hour_slot("t"),
         open=ordered.total(F.col("step")), until=ordered.following(F.col("t")),
     )
     return opened.select(*keys, "t", "open", F.coalesce(micros_between("t", "until"), F.lit(0)).alias("span"))

@@ -1,12 +1,12 @@
 """Ordered calculations per key that never put a hot key into one task.
 
 ``Window.partitionBy(key).orderBy(...)`` sorts all rows of a key in one task; one
-hot key then decides the run time of the job.  ``running`` counts rows per key
-first (a combinable aggregation).  Keys up to ``HOT_ROWS`` rows take the plain
-window.  Keys beyond are cut into *slots* along the order (a slice of time, a range
-of line numbers): each slot is summarised with a map-side combined aggregation, the
-summaries are carried forward over the short list of slots, and the calculation is
-finished inside each slot.  Results equal the plain window for every slot width.
+hot key then decides the run time of the job.  ``running`` always cuts the keys into
+*slots* along the order (a slice of time, a range of line numbers): each slot is
+summarised with a map-side combined aggregation, the summaries are carried forward
+over the short list of slots, and the calculation is finished inside each slot.
+Results equal the plain window for every slot width, null keys included, and building
+the plan starts no job.
 """
 
 from __future__ import annotations
@@ -16,21 +16,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.session import materialise
-
 SLOT = "_slot"
 
 #: Lines per slot for file-ordered data.
 LINES_PER_SLOT = 262_144
 
-#: Rows of one key that a single task may sort.
-HOT_ROWS = 1_000_000
-
 
 def minute_slot(ts: str | Column) -> Column:
     return F.date_trunc("minute", F.col(ts) if isinstance(ts, str) else ts)
 
 
+def hour_slot(ts: str | Column) -> Column:
+    return F.date_trunc("hour", F.col(ts) if isinstance(ts, str) else ts)
+
+
 def line_slot(line: str | Column, width: int = LINES_PER_SLOT) -> Column:
     """First line number of the range of ``width`` lines that holds the line."""
     column = F.col(line) if isinstance(line, str) else line
@@ -75,35 +74,17 @@ def following(value: Column) -> Step:
     return Step("next", value)
 
 
-class Hot:
-    """Keys with more rows than one task should sort, possibly none."""
-
-    def __init__(self, df: DataFrame, keys: list[str], rows: int | None = None) -> None:
-        limit = HOT_ROWS if rows is None else rows
-        counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-        largest = counted.agg(F.max("_n")).first()[0]
-        self.none = largest is None or largest <= limit
-        if not self.none:
-            # Written, so its real size decides between a broadcast and a shuffled join.
-            self.keys = materialise(counted.where(F.col("_n") > limit).select(*keys))
-
-
-def running(
-    df: DataFrame, keys: list[str], order: list[str], slot: Column, hot: Hot | None = None, **steps: Step
-) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], slot: Column, **steps: Step) -> DataFrame:
     """Add one column per step, evaluated per key in the given (total) order.
 
-    ``slot`` must not decrease along the order.  ``hot`` may be given for several
-    calls over the same rows; its keys are then a subset of ``keys``.
+    ``slot`` must not decrease along the order.
     """
-    hot = hot or Hot(df, keys)
-    if hot.none:
-        return _plain(df, keys, order, steps)
-    marked = df.join(hot.keys.withColumn("_hot", F.lit(True)), hot.keys.columns, "left")
-    staged = marked.withColumn(SLOT, F.when(F.col("_hot"), slot)).drop("_hot")
+    staged = df.withColumn(SLOT, slot)
     for name, step in steps.items():
         staged = staged.withColumn(f"_v_{name}", step.value)
-    joined = staged.join(_carried(staged, keys, order, steps), [*keys, SLOT], "left")
+    carried = _carried(staged, keys, order, steps)
+    same = [staged[c].eqNullSafe(carried[c]) for c in (*keys, SLOT)]
+    joined = staged.join(carried, same, "left").select(staged["*"], *[carried[f"_c_{name}"] for name in steps])
 
     inside = Window.partitionBy(*keys, SLOT).orderBy(*order)
     results = []
@@ -122,11 +103,6 @@ def running(
     return joined.select(*[F.col(c) for c in df.columns], *results)
 
 
-def _plain(df: DataFrame, keys: list[str], order: list[str], steps: dict[str, Step]) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.select("*", *[_over(step.kind, step.value, window).alias(name) for name, step in steps.items()])
-
-
 def _over(kind: str, value: Column, window) -> Column:
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     if kind == "sum":
@@ -141,7 +117,7 @@ def _over(kind: str, value: Column, window) -> Column:
 
 
 def _carried(staged: DataFrame, keys: list[str], order: list[str], steps: dict[str, Step]) -> DataFrame:
-    """What each slot of a hot key takes over from the slots before (or after) it."""
+    """What each slot of a key takes over from the slots before (or after) it."""
     order_key = F.struct(*[F.col(c) for c in order])
     summaries = []
     for name, step in steps.items():
@@ -155,7 +131,7 @@ def _carried(staged: DataFrame, keys: list[str], order: list[str], steps: dict[s
         else:
             summary = F.min_by(F.struct(value.alias("v")), order_key)
         summaries.append(summary.alias(f"_s_{name}"))
-    by_slot = staged.where(F.col(SLOT).isNotNull()).groupBy(*keys, SLOT).agg(*summaries)
+    by_slot = staged.groupBy(*keys, SLOT).agg(*summaries)
 
     across = Window.partitionBy(*keys).orderBy(SLOT)
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)

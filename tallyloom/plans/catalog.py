@@ -578,10 +578,9 @@ def a14_runtime_windows(spark, d):
 
 @query
 def a14_runtime_projects(spark, d):
-    log = rankings.recent_projects(views.usage_events(spark, d), EVENTS_AS_OF)
-    approx = rankings.approximate_projects(views.threads(spark, d))
+    log = rankings.approximate_projects(views.threads(spark, d))  # each runtime's list over all time, once
     other = rankings.transcript_projects(transcripts.ledger(views.transcript_lines(spark, d)))
-    mixed = log.unionByName(other).unionByName(approx)
+    mixed = log.unionByName(other)
     return rankings.merge_projects(mixed.withColumn("project_id", F.regexp_replace("project_id", "^/w/[pc]", "/w/")))
 
 

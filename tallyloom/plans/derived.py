@@ -326,7 +326,8 @@ def live_events(spark: SparkSession, d: str) -> DataFrame:
     """F7 on the board's day, one thread per event number; some threads are unknown."""
     e = views.thread_events(spark, d)
     at = F.to_timestamp(F.lit("2001-08-01 00:00:00")) + F.make_dt_interval(secs=(F.col("event_seq") * 5 % 43200).cast("decimal(18,6)"))
-    return e.withColumn("thread_id", (F.col("event_seq") * 2 % 25000).cast("string")).withColumn("ts", at)
+    many = views.table(spark, d, "events").agg(F.count("*")).scalar()
+    return e.withColumn("thread_id", (F.col("event_seq") * 2 % many).cast("string")).withColumn("ts", at)
 
 
 def limit_documents(spark: SparkSession, d: str) -> DataFrame:

@@ -115,7 +115,7 @@ view(
     f"""select thread_id, {FORK_COLUMNS}, cast(null as varchar) as parent from tokline
     union all
     select cast(parent + 1000000 as varchar), {FORK_COLUMNS}, cast(parent as varchar) from (
-      select *, case when user_id % 15 = 0 and rn <= 20 then user_id when (user_id - 1) % 15 = 0 and rn >= 21 then user_id - 1 end as parent
+      select *, case when user_id % 15 = 0 and rn <= greatest(20, (select count(*) from events) // 1000) then user_id when (user_id - 1) % 15 = 0 and rn > greatest(20, (select count(*) from events) // 1000) then user_id - 1 end as parent
       from tokline) where parent is not null""",
     "tokline",
 )
@@ -438,7 +438,7 @@ PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 view("cat", f"select page_id, {PATH} as skill_path, cast(strlen(html) as bigint) as byte_count, {text_tokens('html')} as token_estimate from pages")
 view(
     "loads",
-    "select cast(user_id as varchar) as thread_id, event_id as seq, ts, coalesce(c.skill_path, '/missing/' || (event_id % 100)) as skill_path from ev left join cat c on c.page_id = event_id % 100",
+    "select cast(user_id as varchar) as thread_id, event_id as seq, ts, coalesce(c.skill_path, '/missing/' || want) as skill_path from (select *, event_id % (select count(*) + 1 + count(*) // 10 from pages) as want from ev) left join cat c on c.page_id = want",
     "ev", "cat",
 )
 view(
@@ -495,7 +495,7 @@ FOLD = """select thread_id, arg_max(state, event_seq) as state, arg_max(name, ev
   from (select *, {state} as state from {source}) where state is not null {extra} group by thread_id"""
 view(
     "livee",
-    "select * replace (cast(event_seq * 2 % 25000 as varchar) as thread_id, timestamp '2001-08-01' + to_seconds(event_seq * 5 % 43200) as ts) from f7",
+    "select * replace (cast(event_seq * 2 % (select count(*) from events) as varchar) as thread_id, timestamp '2001-08-01' + to_seconds(event_seq * 5 % 43200) as ts) from f7",
     "f7",
 )
 view("live", FOLD.format(state=STATE, source="livee", extra=""), "livee")
@@ -948,10 +948,9 @@ twin(
     "a14_runtime_projects",
     f"""select project_id, min(name) as name, cast(sum(tokens) as bigint) as tokens, case when count(nano) > 0 then {micro('cast(sum(nano) as hugeint)')} end as cost_usd, cast(sum(thread_count) as bigint) as thread_count, max(last_active_at) as last_active_at,
       case when bool_or(source_quality = 'approximate') then 'approximate' else 'detailed' end as source_quality from (
-      select regexp_replace(project_id, '^/w/[pc]', '/w/') as project_id, name, tokens, nano, thread_count, last_active_at, source_quality from ({PROJECTS7})
-      union all select regexp_replace(project_id, '^/w/[pc]', '/w/'), name, tokens, case when nano > 0 then nano end, thread_count, last_active_at, source_quality from ({PROJECTS6})
-      union all select project_id, name, tokens, null, thread_count, last_active_at, source_quality from ({PROJECTS3})) group by project_id""",
-    "f1p", "f6l", "pall",
+      select regexp_replace(project_id, '^/w/[pc]', '/w/') as project_id, name, tokens, case when nano > 0 then nano end as nano, thread_count, last_active_at, source_quality from ({PROJECTS6})
+      union all select regexp_replace(project_id, '^/w/[pc]', '/w/'), name, tokens, null, thread_count, last_active_at, source_quality from ({PROJECTS3})) group by project_id""",
+    "f6l", "pall",
 )
 twin(
     "a14_runtime_tools",

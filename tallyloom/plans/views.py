@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.measures import text_tokens
 from tallyloom.functions.tokens import with_cost
 from tallyloom.operators import ordered
-from tallyloom.session import materialise, prepare
+from tallyloom.session import prepare
 
 EVENTS_AS_OF = "2024-01-30 23:59:59"
 ORDERS_AS_OF = "2001-08-01 12:00:00"
@@ -102,18 +102,16 @@ def _counter_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens",
         _model().alias("model"),
     )
-    slot = ordered.minute_slot("ts")
-    # Written once: the next step reads its input for the slot sums and for the rows.
-    hot = ordered.Hot(df, ["thread_id"])
-    numbered = materialise(ordered.running(
-        df, ["thread_id"], ["ts", "event_id"], slot, hot,
+    slot = ordered.hour_slot("ts")
+    numbered = ordered.running(
+        df, ["thread_id"], ["ts", "event_id"], slot,
         seq=ordered.rank(),
         epoch=ordered.total((F.col("event_type") == "signup").cast("bigint")),
-    ))
+    )
     fields = {"input_tokens": "i", "cached_input_tokens": "c", "output_tokens": "o",
               "reasoning_output_tokens": "r", "total_tokens": "t"}
     return ordered.running(
-        numbered, ["thread_id", "epoch"], ["ts", "event_id"], slot, hot,
+        numbered, ["thread_id", "epoch"], ["ts", "event_id"], slot,
         **{f"cum_{short}": ordered.total(F.col(name)) for name, short in fields.items()},
     )
 
@@ -166,8 +164,10 @@ def fork_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Adds ``forked_from_id`` (null for originals).
     """
     lines = counter_log(spark, sf_dir).where("line_type = 'token_count'")
-    copied = F.when((F.col("user_id") % 15 == 0) & (F.col("seq") <= 20), F.col("user_id"))
-    continued = F.when(((F.col("user_id") - 1) % 15 == 0) & (F.col("seq") >= 21), F.col("user_id") - 1)
+    # The copied prefix grows with the table.
+    cut = F.greatest(F.lit(20), F.floor(table(spark, sf_dir, "events").agg(F.count("*")).scalar() / 1000))
+    copied = F.when((F.col("user_id") % 15 == 0) & (F.col("seq") <= cut), F.col("user_id"))
+    continued = F.when(((F.col("user_id") - 1) % 15 == 0) & (F.col("seq") > cut), F.col("user_id") - 1)
     child = lines.withColumn("parent", F.coalesce(copied, continued)).where("parent is not null")
     children = child.select(
         (F.col("parent") + 1_000_000).cast("string").alias("thread_id"), "seq", "line_no", "line_type", "ts",
@@ -297,11 +297,11 @@ def skill_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def skill_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One load per event; the path is the page's path, null pages keep a made name."""
-    # Only the first hundred pages can be asked for, so the broadcast side has at most 100 rows.
-    pages = table(spark, sf_dir, "pages").where("page_id between 0 and 99").select(
-        "page_id", F.try_parse_url("url", F.lit("PATH")).alias("path"))
-    loads = events(spark, sf_dir).withColumn("want", F.col("event_id") % 100)
-    return loads.join(F.broadcast(pages), F.col("want") == F.col("page_id"), "left").select(
+    pages = table(spark, sf_dir, "pages").select("page_id", F.try_parse_url("url", F.lit("PATH")).alias("path"))
+    # Every page is asked for, and some numbers beyond the last page.
+    known = pages.agg(F.count("*")).scalar()
+    loads = events(spark, sf_dir).withColumn("want", F.col("event_id") % (known + 1 + F.floor(known / 10)))
+    return loads.join(pages, F.col("want") == F.col("page_id"), "left").select(
         F.lit("log").alias("runtime"),
         F.col("user_id").cast("string").alias("thread_id"),
         F.col("event_id").alias("seq"),

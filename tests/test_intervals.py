@@ -28,12 +28,7 @@ CASE = [
 ]
 
 
-@pytest.fixture(params=[1, 1_000_000], ids=["slots", "plain"])
-def paths(request, monkeypatch):
-    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
-
-
-def test_self_check_day(spark, one, paths):
+def test_self_check_day(spark, one):
     report = scoring.report(spark.createDataFrame(CASE, SCHEMA), AS_OF).where("period = 'today'")
     row = one(report)
     assert abs(row["ai_hours"] - 3.25) < 1e-9
@@ -54,7 +49,7 @@ def test_no_work_gives_no_score(spark, one):
     assert row["score"] is None and row["level"] is None and row["active_days"] == 0
 
 
-def test_touching_intervals_merge(spark, rows, paths):
+def test_touching_intervals_merge(spark, rows):
     data = [("1", "w", "main", "p", at(1), at(2), "fact", False), ("2", "w", "main", "q", at(2), at(3), "derived", True),
             ("3", "w", "main", "p", at(4), at(5), "fact", False)]
     out = iv.islands(spark.createDataFrame(data, SCHEMA), AS_OF).where("period = 'today'")
@@ -86,7 +81,7 @@ def _walk(data, since, until):
     return len(merged), active, parallel, multi, peak
 
 
-def test_matches_brute_force(spark, one, paths):
+def test_matches_brute_force(spark, one):
     rng = random.Random(5)
     data = []
     for n in range(250):

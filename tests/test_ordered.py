@@ -22,12 +22,11 @@ def sample(spark):
     return spark.createDataFrame(data, "key string, n bigint, ts timestamp, value bigint")
 
 
-@pytest.mark.parametrize("hot_rows", [1, 50, 10_000])
-@pytest.mark.parametrize("slot", ["minute", "lines"])
-def test_equals_plain_window(sample, monkeypatch, rows, hot_rows, slot):
-    monkeypatch.setattr(ordered, "HOT_ROWS", hot_rows)
-    order = ["ts", "n"] if slot == "minute" else ["n"]
-    column = ordered.minute_slot("ts") if slot == "minute" else ordered.line_slot("n", 17)
+@pytest.mark.parametrize("slot", ["minute", "hour", "lines", "one"])
+def test_equals_plain_window(sample, rows, slot):
+    """Also for the rows whose key is null, a third of some slots."""
+    order = ["ts", "n"] if slot in ("minute", "hour") else ["n"]
+    column = {"minute": ordered.minute_slot("ts"), "hour": ordered.hour_slot("ts"), "lines": ordered.line_slot("n", 17), "one": ordered.line_slot("n")}[slot]
     out = ordered.running(
         sample, ["key"], order, column, rank=ordered.rank(), total=ordered.total(F.col("value")),
         top=ordered.highest(F.col("value")), before=ordered.highest_before(F.col("value")),
@@ -42,12 +41,17 @@ def test_equals_plain_window(sample, monkeypatch, rows, hot_rows, slot):
     assert rows(out) == rows(want)
 
 
-def test_hot_key_is_cut_into_slots(sample, monkeypatch):
-    """No window of the hot path is partitioned by the key alone over all its rows."""
-    monkeypatch.setattr(ordered, "HOT_ROWS", 50)
+def test_no_window_is_over_the_key_alone(sample):
+    """Windows over rows are partitioned by the slot too; building the plan starts no job."""
+    tracker = sample.sparkSession.sparkContext.statusTracker()
+    before = tracker.getJobIdsForGroup(None)
     out = ordered.running(sample, ["key"], ["n"], ordered.line_slot("n", 17), total=ordered.total(F.col("value")))
+    assert tracker.getJobIdsForGroup(None) == before
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "_slot" in plan and "Join" in plan
-    monkeypatch.setattr(ordered, "HOT_ROWS", 10_000)
-    cold = ordered.running(sample.where("key = 'a'"), ["key"], ["n"], ordered.line_slot("n", 17), total=ordered.total(F.col("value")))
-    assert "_slot" not in cold._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hot_null_key(spark, rows):
+    data = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit("a")).alias("key"), F.col("id").alias("n"))
+    out = ordered.running(data, ["key"], ["n"], ordered.line_slot("n", 10), rank=ordered.rank()).groupBy("key").agg(F.max("rank"))
+    assert rows(out) == [("a", 300), (None, 600)] or sorted(rows(out), key=str) == sorted([("a", 300), (None, 600)], key=str)
