@@ -13,10 +13,12 @@ WINDOWS = ("today", "seven_day", "month", "lifetime")
 TREND_DAYS = {"log": 190, "transcript": 179}
 
 
-def rollup_windows(ledger: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
+def rollup_windows(ledger: DataFrame, as_of: str, tz: str = "UTC", events: DataFrame | None = None) -> DataFrame:
     """Today, seven days, month and lifetime in one pass: one row per window.
 
-    ``parsed_files`` counts sessions with usage, ``token_events`` usage rows.
+    ``events`` has token_events per thread (``lineage.event_counts``): counter events read less the inherited ones.
+    Then ``token_events`` is their sum and ``parsed_files`` the threads that have some; without it, usage rows and
+    the sessions with usage are counted.
     """
     starts = window_starts(as_of, tz)
     aggs: list[Column] = [
@@ -35,6 +37,11 @@ def rollup_windows(ledger: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
         )
         for name in WINDOWS
     ]
+    if events is not None:
+        wide = wide.withColumns({
+            "token_events": F.coalesce(events.agg(F.sum("token_events")).scalar(), F.lit(0)),
+            "parsed_files": events.agg(F.count_if(F.col("token_events") > 0)).scalar(),
+        })
     return wide.select("parsed_files", "token_events", F.inline(F.array(*row))).withColumn(
         "visible_tokens", tok.visible_total()
     )

@@ -6,7 +6,7 @@ text again, and a lost executor never costs more than its own stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import names as nm
@@ -26,10 +26,25 @@ LEDGER_COLUMNS = (
 def log_ledger(records: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Session-log records to (usage events, inherited tokens per forked thread).
 
-    ``threads`` has thread_id, cwd and model.  Counters are normalised, prefixes that
-    forks inherited are dropped, models carried forward, usage priced.
+    ``threads`` has thread_id, cwd and model; its log_path names the file of each thread.  Without that column a
+    file's stem is its thread.  Counters are normalised, prefixes that forks inherited are dropped, models carried
+    forward, usage priced.
     """
-    lines = materialise(logs.counter_lines(records))
+    ledger, baselines, _ = log_usage(records, threads)
+    return ledger, baselines
+
+
+def owned_records(records: DataFrame, threads: DataFrame) -> tuple[DataFrame, Column | None]:
+    """Records keyed by the thread table, and the column that holds the thread (None: the file's stem)."""
+    if "log_path" not in threads.columns:
+        return records, None
+    return logs.by_threads(records, threads), F.col("thread_id")
+
+
+def log_usage(records: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``log_ledger``, and the counter events of each thread for ``usage.rollup_windows``."""
+    records, thread = owned_records(records, threads)
+    lines = materialise(logs.counter_lines(records, thread))
     numbered = materialise(lineage.number_deltas(counters.normalise(lines).drop("model")))
     prefixes = materialise(lineage.inherited_prefix(numbered, lineage.fork_parents(lines.where("line_type = 'session_meta'"))))
     models = lineage.carry_model(lines.select("thread_id", "line_no", "line_type", "model"), threads).where(
@@ -42,7 +57,8 @@ def log_ledger(records: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataF
         F.coalesce("project_path", F.lit("")).alias("project_path"), "model", "ts", *TOKEN_COLUMNS, "cost_usd",
         F.lit("detailed").alias("source_quality"),
     )
-    return ledger, lineage.fork_baselines(numbered, prefixes)
+    read = counters.counter_events(lines)
+    return ledger, lineage.fork_baselines(numbered, prefixes), lineage.event_counts(read, prefixes)
 
 
 def transcript_ledger(lines: DataFrame) -> DataFrame:
@@ -64,7 +80,8 @@ def log_work(records: DataFrame, threads: DataFrame, edges: DataFrame, as_of: st
         nm.automation_id("thread_source", "title").alias("automation_id"),
         nm.project_id("cwd", F.lit("log")).alias("project_id"), nm.project_name("cwd").alias("project_name"), "parent_id", "updated_at",
     ).withColumn("worker_id", nm.worker_id("worker_kind", "thread_id", "automation_id"))
-    marks = logs.turn_marks(records).join(owners, "thread_id")
+    records, thread = owned_records(records, threads)
+    marks = logs.turn_marks(records, thread).join(owners, "thread_id")
     pairs = worktime.pair_turns(marks, as_of, ordered.line_slot("line_no"), ["line_no"])
     parent = F.when(F.col("parent_id").isNotNull(), F.concat(F.lit("log:main:"), "parent_id"))
     workers = owners.select(
@@ -110,16 +127,24 @@ def snapshot(
     )
 
 
-def read_everything(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame, as_of: str) -> DataFrame:
-    """Ledger of both runtimes from their files; old files are not opened."""
-    bound = thread_source.prune_after(spark, as_of)
+def read_everything(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame) -> DataFrame:
+    """Ledger of both runtimes from their files, however old."""
     log, _ = log_ledger(logs.scan_session_logs(spark, log_path), threads)
     frames = [log]
     if transcript_path:
-        frames.append(transcript_ledger(logs.scan_transcripts(spark, transcript_path, modified_after=bound)))
+        frames.append(transcript_ledger(logs.scan_transcripts(spark, transcript_path)))
     return thread_source.union_runtimes(frames)
 
 
+def read_work(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame, edges: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
+    """Work intervals of both runtimes; threads and files too old for the longest period are left out."""
+    bound = thread_source.prune_after(spark, as_of, tz)
+    work, _ = log_work(logs.scan_session_logs(spark, log_path, logs.WORK_TYPES), thread_source.updated_since(threads, as_of, tz), edges, as_of)
+    if transcript_path:
+        work = work.unionByName(transcript_work(logs.scan_transcripts(spark, transcript_path, pattern='"timestamp"', modified_after=bound)))
+    return work
+
+
 __all__ = [
-    "intervals", "log_ledger", "log_work", "read_everything", "snapshot", "transcript_ledger", "transcript_work", "write_ledger",
+    "intervals", "log_ledger", "log_usage", "log_work", "read_everything", "read_work", "snapshot", "transcript_ledger", "transcript_work", "write_ledger",
 ]

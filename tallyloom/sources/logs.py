@@ -78,6 +78,24 @@ def thread_of(file_path: str | Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]+)?$", 1)
 
 
+def plain_path(uri: str | Column) -> Column:
+    """A file's path without scheme, as a thread table writes it (escapes of the listing undone)."""
+    column = F.col(uri) if isinstance(uri, str) else uri
+    return F.regexp_replace(F.url_decode(F.replace(column, F.lit("+"), F.lit("%2B"))), "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+
+
+def by_threads(records: DataFrame, threads: DataFrame) -> DataFrame:
+    """Records of the files that the thread table names, with the thread's id.
+
+    The table's ``log_path`` tells which file belongs to which thread; file names need not hold the id.  Of several
+    threads with one file, and for threads without usage, ``threads.with_logs`` decides.
+    """
+    from tallyloom.sources.threads import with_logs
+
+    named = with_logs(threads).select("thread_id", F.regexp_replace("log_path", "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/").alias("_path"))
+    return records.withColumn("_path", plain_path("file_path")).join(named, "_path").drop("_path")
+
+
 def _counters(struct: str) -> Column:
     fields = [F.col(f"{struct}.{c}").try_cast("double").cast("bigint").alias(c) for c in TOKEN_COLUMNS]
     exact = [F.coalesce(F.col(f"{struct}.{c}").try_cast("bigint"), f).alias(c) for c, f in zip(TOKEN_COLUMNS, fields)]
