@@ -1,6 +1,21 @@
 """SQL twins for DuckDB of the queries that SQL can express."""
 
 SQL = {
+    "op1_ngram_jaccard": r"""
+        with recursive d as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents),
+        s as (
+            select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as gram
+            from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as common from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+        l as (
+            select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 90 * (x.n + y.n - common)),
+        e as (select a, b from l union all select b, a from l),
+        r as (select doc_id as node, doc_id as reached from d union select r.node, e.b from r join e on e.a = r.reached)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(reached) from r where node = d.doc_id) as component_id
+        from d left join n on n.doc_id = d.doc_id""",
     "op4_warc_revisits": r"""
         with c as (
             select page_id, visit, url, '"' || substr(md5(coalesce(html, '')), 1, 12) || '"' as old, '"' || substr(md5(coalesce(html, '') || '2'), 1, 12) || '"' as new,
@@ -36,6 +51,19 @@ SQL = {
                          'etag: ' || case when state = 'resolved' then coalesce(etag, ref_etag) else etag end,
                          'last-modified: ' || case when state = 'resolved' then ref_modified else modified end, 'x-visit: ' || case when state = 'resolved' then ref_x else x end) as headers
         from s""",
+    "op5_substring_dedup": r"""
+        with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        v as (
+            select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as words
+            from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+        m as (select doc_id, i, min(doc_id) over (partition by words) as low from v),
+        c as (select distinct doc_id, unnest(range(i, i + 13)) as j from m where low < doc_id),
+        x as (select doc_id, unnest(range(1, len(w) + 1)) as j, unnest(w) as word from d),
+        k as (
+            select doc_id, count(*) as n_words, count(c.j) as n_removed, string_agg(word, ' ' order by x.j) filter (c.j is null) as kept
+            from x left join c using (doc_id, j) group by doc_id)
+        select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from d left join k on k.doc_id = d.doc_id""",
     "op6_exact_dedup": r"""
         with d as (
             select doc_id, length(coalesce(text, '')) as n_points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as plain
@@ -76,4 +104,21 @@ SQL = {
             qualify row_number() over (partition by source order by abs(sum(copies * size) - target), k) = 1)
         select doc_id, c.source, size, source_size, target, copies, copies * size as taken
         from c join b on c.source is not distinct from b.source and c.k = b.k""",
+    "op10_suffix_dedup": r"""
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+        v as (
+            select doc_id, i, substring(h, 2 * i + 1, 100) as bytes
+            from (select doc_id, h, unnest(range(len(h) // 2 - 49)) as i from d where len(h) >= 100)),
+        m as (select doc_id, i, min(doc_id) over (partition by bytes) as low from v),
+        f as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from m where low < doc_id),
+        g as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i) as span from f),
+        s as (select doc_id, span, min(i) as begin_, max(i) + 50 as end_ from g group by doc_id, span),
+        t as (select *, coalesce(lag(end_) over (partition by doc_id order by span), 0) as from_ from s),
+        k as (
+            select doc_id, sum(end_ - begin_) as n_removed, count(*) as n_spans, max(end_) as last_,
+                   string_agg(substring(h, 2 * from_ + 1, 2 * (begin_ - from_)), '' order by span) as kept
+            from t join d using (doc_id) group by doc_id)
+        select d.doc_id, len(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+               sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last_, 0) + 1))) as kept_sha256
+        from d left join k on k.doc_id = d.doc_id""",
 }
