@@ -18,7 +18,7 @@ from tallyloom.functions import tokens as tok
 from tallyloom.operators import (
     board, counters, intervals, lineage, ordered, quota, rankings, scoring, skills, transcripts, trend, usage, worktime,
 )
-from tallyloom.plans import derived, views
+from tallyloom.plans import derived, ledger, views
 from tallyloom.plans.views import EVENTS_AS_OF, ORDERS_AS_OF
 from tallyloom.schemas import TOKEN_COLUMNS
 from tallyloom.session import materialise, prepare
@@ -80,6 +80,20 @@ def s01_session_log_scan(spark, d):
     )
 
 
+@query
+def s13_ledger_by_path(spark, d):
+    """The whole log ledger from raw lines whose file names are not the thread's id; the thread table names the files."""
+    lines = derived.session_log_lines(spark, d)
+    path = F.regexp_replace("file_path", "^/logs/(.*)[.]jsonl$", "/logs/day 1/rollout-2024-$1-x.jsonl")
+    named = lines.select("file_path").distinct().select(
+        logs.thread_of("file_path").alias("thread_id"), path.alias("log_path"), F.lit("/w").alias("cwd"), F.lit("gpt-5").alias("model"),
+        F.lit(1).alias("tokens_used"), F.current_timestamp().alias("updated_at"))
+    uri = F.concat(F.lit("file://"), F.replace(path, F.lit(" "), F.lit("%20")))
+    kept, _, events = ledger.log_usage(logs.parse_session_logs(lines.withColumn("file_path", uri)), materialise(named))
+    sums = kept.groupBy("thread_id").agg(F.count("*").alias("kept_deltas"), F.sum("total_tokens").alias("kept_tokens"))
+    return events.join(sums, "thread_id", "left").select("thread_id", "token_events", F.coalesce("kept_deltas", F.lit(0)).alias("kept_deltas"), F.coalesce("kept_tokens", F.lit(0)).alias("kept_tokens"))
+
+
 @query
 def s02_transcript_scan(spark, d):
     lines = logs.parse_transcripts(derived.transcript_texts(spark, d))

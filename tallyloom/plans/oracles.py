@@ -711,6 +711,14 @@ twin(
     join (select thread_id, count(*) as n from kline group by thread_id) using (thread_id)""",
     "kidx", "kprefix",
 )
+twin(
+    "s13_ledger_by_path",
+    """select thread_id, greatest(n - coalesce(prefix, 0), 0) as token_events, kept_deltas, cast(coalesce(kept_tokens, 0) as bigint) as kept_tokens
+    from (select k.thread_id, count(case when prefix is null or idx > prefix then 1 end) as kept_deltas,
+        sum(case when prefix is null or idx > prefix then total_tokens end) as kept_tokens, any_value(prefix) as prefix from kidx k left join kprefix p on p.thread_id = k.thread_id group by k.thread_id)
+    join (select thread_id, count(*) as n from kline group by thread_id) using (thread_id)""",
+    "kidx", "kprefix",
+)
 twin("t07_message_dedup", "select file_path, line_no, message_id, total_tokens from f6l", "f6l")
 twin("t08_usage_vector", f"select file_path, line_no, {', '.join(TOKENS)} from f6v", "f6v")
 twin(
