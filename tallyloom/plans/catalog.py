@@ -590,6 +590,13 @@ def a14_runtime_windows(spark, d):
     return rankings.merge_windows(log.unionByName(other))
 
 
+@query
+def a14_runtime_days(spark, d):
+    log = usage.daily(views.usage_events(spark, d))
+    other = usage.daily(transcripts.ledger(views.transcript_lines(spark, d)))
+    return rankings.merge_days(log.select("day", "tokens").unionByName(other.select("day", "tokens")))
+
+
 @query
 def a14_runtime_projects(spark, d):
     log = rankings.approximate_projects(views.threads(spark, d))  # each runtime's list over all time, once

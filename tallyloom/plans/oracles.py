@@ -952,6 +952,13 @@ twin(
         select usage_window, parsed_files, token_events, {', '.join(TOKENS)}, nano from roll union all select usage_window, parsed_files, token_events, {', '.join(TOKENS)}, nano from roll6) group by usage_window)""",
     "roll", "roll6",
 )
+twin(
+    "a14_runtime_days",
+    f"""select day, cast(sum(tokens) as bigint) as tokens from (
+      select day, {VISIBLE} as tokens from (select {day('ts')} as day, {SUMS} from f1p group by 1)
+      union all select day, {VISIBLE} from (select {day('ts')} as day, {SUMS} from f6l group by 1)) group by day""",
+    "f1p", "f6l",
+)
 twin(
     "a14_runtime_projects",
     f"""select project_id, min(name) as name, cast(sum(tokens) as bigint) as tokens, case when count(nano) > 0 then {micro('cast(sum(nano) as hugeint)')} end as cost_usd, cast(sum(thread_count) as bigint) as thread_count, max(last_active_at) as last_active_at,

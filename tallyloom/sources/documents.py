@@ -188,15 +188,14 @@ def parse_schedules(files: DataFrame) -> DataFrame:
 def scan_skill_files(spark: SparkSession, path: str | list[str], glob: str = "*.md") -> DataFrame:
     """Skill and command files: (skill_path, byte_count, token_estimate, modified_at).
 
-    Files beyond 4 MiB keep null sizes; their content is not read into the result.
+    Files beyond 4 MiB keep null sizes; the length filter reaches the source, so their content is never read.
     Spark skips hidden folders below a root, so a root (or glob) names them itself,
     such as ``/home/*/.claude``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    small = F.col("length") <= MAX_SKILL_BYTES
-    return files.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("skill_path"),
-        F.when(small, F.col("length")).alias("byte_count"),
-        F.when(small, text_tokens(F.decode("content", "UTF-8"))).alias("token_estimate"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+    path, modified = F.regexp_replace("path", "^file:/*", "/").alias("skill_path"), F.col("modificationTime").alias("modified_at")
+    none = F.lit(None).cast("bigint")
+    read = files.where(F.col("length") <= MAX_SKILL_BYTES).select(
+        path, F.col("length").alias("byte_count"), text_tokens(F.decode("content", "UTF-8")).alias("token_estimate"), modified)
+    listed = files.where(F.col("length") > MAX_SKILL_BYTES).select(path, none.alias("byte_count"), none.alias("token_estimate"), modified)
+    return read.unionByName(listed)

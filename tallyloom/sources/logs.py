@@ -35,7 +35,8 @@ def scan_lines(
     spark: SparkSession, path: str | list[str], pattern: str, *, modified_after: str | None = None, glob: str | None = None
 ) -> DataFrame:
     """Raw lines that match a pattern: (file_path, modified_at, line_no, value)."""
-    reader = spark.read.option("recursiveFileLookup", "true")
+    # Longer lines are passed over while reading, so one huge line never is in memory as a whole.
+    reader = spark.read.option("recursiveFileLookup", "true").option("mapreduce.input.linerecordreader.line.maxlength", MAX_LINE_BYTES + 1)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     if glob:

@@ -111,7 +111,7 @@ def snapshot_document(
         day_list.alias("dailyBuckets"),
         capped_list(projects, LIST_LIMITS["projects"], project_fields, F.desc("tokens"), F.col("name")).alias("projects"),
         capped_list(tools, LIST_LIMITS["tools"], tool_fields, F.desc("call_count"), F.col("tool_name")).alias("toolUsages"),
-        capped_list(skills, LIST_LIMITS["skills"], skill_fields, F.desc("load_count"), F.col("skill_path")).alias("skillUsages"),
+        capped_list(skills, LIST_LIMITS["skills"], skill_fields, F.desc("load_count"), F.desc(F.coalesce("token_estimate", F.lit(-1))), F.col("name"), F.col("skill_path")).alias("skillUsages"),
         report_list.alias("leadership"),
         trend_part(trend).alias("usageTrend"),
         board_part(board).alias("taskBoard"),

@@ -217,3 +217,18 @@ def test_titles_paths_and_sources(spark, one):
         nm.standard_path(F.lit("/a/./b/../c//d")).alias("p"), nm.decode_directory(F.lit("-tmp-x")).alias("d"), nm.project_id(F.lit(" "), F.lit("log")).alias("id"),
         nm.skill_source(F.lit("/home/u/q/SKILL.md"), "/home/u").alias("home")))
     assert tuple(row.values()) == ("a b", "x" * 45 + "...", "Untitled", "/a/c/d", "/tmp/x", "log:uncategorized", "~/q/SKILL.md")
+
+
+def test_a_huge_line_is_passed_over(spark, tmp_path, rows):
+    import json
+
+    good = {"timestamp": "2026-07-01T01:00:00Z", "type": "turn_context", "payload": {"model": "m"}}
+    huge = {**good, "payload": {"model": "x" * (logs.MAX_LINE_BYTES + 10)}}
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps(x) for x in (good, huge, good)) + "\n")
+    assert rows(logs.scan_session_logs(spark, str(tmp_path)), "type", "payload.model") == [("turn_context", "m")] * 2
+
+
+def test_a_huge_skill_file_is_listed_only(spark, tmp_path, rows):
+    (tmp_path / "big.md").write_bytes(b"a" * (documents.MAX_SKILL_BYTES + 1))
+    (tmp_path / "small.md").write_text("four")
+    assert rows(documents.scan_skill_files(spark, str(tmp_path)), "byte_count", "token_estimate") == [(4, 2), (None, None)]
