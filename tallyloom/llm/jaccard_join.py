@@ -15,7 +15,10 @@ and measures its distance exactly to the members whose sizes the window admits:
 label, and are not compared with each other any more.  The rest recurses with the next pivot; when rounds stop
 paying, what is left (members of different components, admitted by size and place windows) is compared directly.
 
-Only distances are computed on texts; regions hold ids and sizes.  Copies with one set are one document from the start.
+The same inequality spares most distances: the hash slices of the universe are pivots too, and the difference of two
+documents' distances to them, summed up (the difference of their shingle counts by slice), is at most the size of their
+symmetric difference.  Regions hold ids, sizes and 16 such counts, a list of 64 is compared next, and only what is left is
+measured on the texts.  Copies with one set are one document from the start.
 """
 
 from __future__ import annotations
@@ -39,6 +42,9 @@ SHINGLE, PERCENT = 3, 90
 #: A shingle goes to the end of the order when it holds this share of its bucket.
 FREQUENT_SHARE = 0.001
 
+#: Hash slices whose shingles are counted per document: as 64 bytes, and as 16 bytes for the join of a region.
+SLICES, FEW = 64, 16
+
 #: Rounds with a document pivot per region before the rest is compared directly.
 ROUNDS = 3
 
@@ -84,7 +90,7 @@ def _first(row: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.nda
 
 
 def _assign(texts: DataFrame, size: int, percent: int, frequent: AnchorFilter, repeated: AnchorFilter) -> DataFrame:
-    """doc, mark, n, low, high (128 bits of the set), regions and places: the shingle pivots that other documents have too."""
+    """doc, mark, n, low, high (128 bits of the set), counts by slice, regions and places: the shingle pivots that others have too."""
     shared = texts.sparkSession.sparkContext.broadcast((frequent.state, repeated.state))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +107,33 @@ def _assign(texts: DataFrame, size: int, percent: int, frequent: AnchorFilter, r
                     heads = (np.cumsum(n) - n)[some]
                     for k in (0, 1):
                         marks[k, some] = np.add.reduceat(mix(gram ^ np.uint64(0x1234567 + 0x9E3779B97F4A7C15 * k)), heads)
+                slices_ = np.bincount(row * SLICES + (gram >> np.uint64(58)).astype(np.int64), minlength=rows * SLICES).reshape(rows, SLICES)
+                counts = np.minimum(slices_, 255).astype(np.uint8)
+                few = np.minimum(slices_.reshape(rows, FEW, -1).sum(2), 255).astype(np.uint8).view(np.int64)
+                lists = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * SLICES), pa.py_buffer(counts.tobytes())])
                 passes = known.passes(gram[place])
                 place, index = place[passes], index[passes]
                 ends = pa.array(np.append(0, np.cumsum(np.bincount(row[place], minlength=rows))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(1).slice(at, rows), batch.column(2).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)),
+                    batch.column(1).slice(at, rows), batch.column(2).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists, pa.array(few[:, 0].copy()), pa.array(few[:, 1].copy()),
                     pa.ListArray.from_arrays(ends, pa.array(gram[place].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32)))],
-                    ["doc", "mark", "n", "low", "high", "regions", "places"])
+                    ["doc", "mark", "n", "low", "high", "counts", "few_0", "few_1", "regions", "places"])
+
+    return texts.select("text", "doc", "mark").mapInArrow(assign, "doc bigint, mark bigint, n bigint, low bigint, high bigint, counts binary, few_0 bigint, few_1 bigint, regions array<bigint>, places array<int>")
+
+
+def _close(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose counts by slice do not rule a link out."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int64) for k in (4, 5))
+            keep = pa.array((100 + percent) * np.abs(a - b).sum(1) <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return texts.select("text", "doc", "mark").mapInArrow(assign, "doc bigint, mark bigint, n bigint, low bigint, high bigint, regions array<bigint>, places array<int>")
+    left = counts.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("counts").alias("counts_a"))
+    right = counts.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("counts").alias("counts_b"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -169,31 +193,40 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     repeated = repeated_anchors(texts, regions_by(frequent), FREQUENT_SHARE)
     rows = scratch.keep(_assign(texts, size, percent, frequent, repeated))
     classes = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc").alias("rep")))
-    known = scratch.keep(rows.join(classes, ["n", "low", "high"], "left").select("doc", "mark", "n", F.coalesce("rep", "doc").alias("rep"), "regions", "places"))
+    known = scratch.keep(rows.join(classes, ["n", "low", "high"], "left").select("doc", "mark", "n", F.coalesce("rep", "doc").alias("rep"), "counts", "few_0", "few_1", "regions", "places"))
 
-    members = known.where("n > 0 and doc = rep").select("n", "rep", F.explode(F.arrays_zip("regions", "places")).alias("r"))
-    members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n").agg(F.min("r.places").alias("place"))
+    members = known.where("n > 0 and doc = rep").select("n", "rep", "few_0", "few_1", F.explode(F.arrays_zip("regions", "places")).alias("r"))
+    members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n", "few_0", "few_1").agg(F.min("r.places").alias("place"))
     active = scratch.keep(_several(members.withColumn("component", F.col("rep")), "rep", scratch))
     links: list[DataFrame] = []
     wanted = active.select(F.col("rep").alias("doc")).distinct()
     sets = scratch.keep(filter_by_key(texts.select("text", "doc"), scratch.keep(wanted), "doc", "left_semi"))
 
-    admitted = f"least(n, n_p) * 100 >= {percent} * greatest(n, n_p)"
+    # Sizes, and counts by slice: both differ by no more than the symmetric difference of linked sets.
+    apart = " + ".join(f"abs(((few_{k} >> {8 * b}) & 255) - ((few_{k}_p >> {8 * b}) & 255))" for k in (0, 1) for b in range(8))
+    admitted = f"least(n, n_p) * 100 >= {percent} * greatest(n, n_p) and (100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n_p)"
+    counts = scratch.keep(known.where("doc = rep").select("doc", "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
+    ours = [F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("few_0").alias("few_0_p"), F.col("few_1").alias("few_1_p"), F.col("component").alias("component_p")]
     for step in range(rounds + 1):
         if active.isEmpty():
             break
         if step < rounds:
             drawn = active.withColumn("draw", F.xxhash64(F.lit(step), "rep"))
             least = scratch.keep(drawn.groupBy("region").agg(F.min("draw").alias("draw")))
-            pivots = scratch.keep(drawn.join(least, ["region", "draw"]).select("region", F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("component_p")).dropDuplicates(["region"]))
+            pivots = scratch.keep(drawn.join(least, ["region", "draw"]).select("region", *ours).dropDuplicates(["region"]))
             near = active.join(pivots, "region").where(f"component <> component_p and {admitted}")
         else:
-            other = active.select("region", F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("component").alias("component_p"), F.col("place").alias("place_p"))
+            # All links so far, joined up, so that what they connect is not compared again.
+            reached = components(reduce(DataFrame.unionByName, links), scratch) if links else active.select(F.col("rep").alias("node"), "component").limit(0)
+            active = active.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            active = scratch.keep(_several(active, "component", scratch))
+            other = active.select("region", *ours, F.col("place").alias("place_p"))
             # In the first region two linked sets share, what follows must still hold the intersection they need.
             reach = f"(100 + {percent}) * (1 + least(n - place - 1, n_p - place_p - 1)) >= {percent} * (n + n_p)"
             near = active.join(other, "region").where(f"component < component_p and {admitted} and {reach}")
         pairs = scratch.keep(near.groupBy(F.col("p").alias("a"), F.col("rep").alias("b")).agg(F.min("component").alias("component"), F.min("component_p").alias("component_p")))
-        found = scratch.keep(_linked(pairs.select("a", "b"), sets, size, percent).distinct())
+        close = scratch.keep(_close(pairs.select("a", "b"), counts, percent).distinct())
+        found = scratch.keep(_linked(close, sets, size, percent).distinct())
         links.append(found)
         if step < rounds:
             # A document in a pivot's ball takes the pivot's label; the links themselves are joined up at the end.
