@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.session import materialise
+from tallyloom.sources.logs import plain_path
+
 
 def fingerprints(spark: SparkSession, path: str | list[str], glob: str = "*.jsonl") -> DataFrame:
     """Size and modification time of every file; the listing reads no content."""
@@ -29,3 +34,53 @@ def merge_parsed(parsed: DataFrame, fresh: DataFrame, listing: DataFrame, change
     """Parsed rows after a refresh: unchanged live files keep theirs, changed files bring new ones."""
     kept = live_rows(parsed, listing).join(changed.select("file_path"), "file_path", "left_anti")
     return kept.unionByName(fresh)
+
+
+def _plain(path: str) -> F.Column:
+    return F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+    # A version counts once its manifest, which is written last, is complete.
+    done = [n for n in names if n.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/manifest/_SUCCESS"))]
+    return sorted(map(int, done))
+
+
+def refresh(spark: SparkSession, path: str | list[str], store: str, scan: Callable[..., DataFrame], glob: str = "*.jsonl") -> DataFrame:
+    """Parsed rows of all files under ``path``, of which only new and changed files are read.
+
+    ``scan(spark, path, modified_after=...)`` parses files to rows with a ``file_path``.  ``store`` keeps numbered
+    versions of the rows and of the manifest of their files; a refresh that fails leaves the last version in force, and
+    versions before the last are deleted.  Files that are gone lose their rows.  Changed files carry a newer time than
+    the last refresh saw, so the scan opens only those; should a changed file carry an older one (put back from a copy),
+    one more scan without that bound reads it.
+    """
+    listing = materialise(fingerprints(spark, path, glob).withColumn("file_path", _plain("file_path")))
+    versions = _versions(spark, store)
+    version = versions[-1] + 1 if versions else 0
+    if not versions:
+        scan(spark, path).withColumn("file_path", plain_path("file_path")).write.mode("overwrite").parquet(f"{store}/{version}/rows")
+    else:
+        old = f"{store}/{versions[-1]}"
+        manifest, parsed = spark.read.parquet(f"{old}/manifest"), spark.read.parquet(f"{old}/rows")
+        changed = materialise(changed_files(listing, manifest))
+        latest = manifest.agg(F.max("modified_micros")).first()[0] or 0
+        # The option compares whole seconds and leaves its own second out.
+        bound = spark.range(1).select(F.date_format(F.timestamp_micros(F.lit(latest - 2_000_000)), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+        fresh = [scan(spark, path, modified_after=bound)]
+        late = changed.where(F.col("modified_micros") <= latest)
+        if not late.isEmpty():
+            fresh.append(scan(spark, path))
+        rows = [f.withColumn("file_path", plain_path("file_path")) for f in fresh]
+        read = rows[0].join(changed.where(F.col("modified_micros") > latest).select("file_path"), "file_path", "left_semi")
+        if len(rows) > 1:
+            read = read.unionByName(rows[1].join(late.select("file_path"), "file_path", "left_semi"))
+        merge_parsed(parsed, read.select(*parsed.columns), listing, changed).write.mode("overwrite").parquet(f"{store}/{version}/rows")
+    listing.write.mode("overwrite").parquet(f"{store}/{version}/manifest")
+    for gone in versions[:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{gone}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.parquet(f"{store}/{version}/rows")

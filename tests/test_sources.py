@@ -232,3 +232,37 @@ def test_a_huge_skill_file_is_listed_only(spark, tmp_path, rows):
     (tmp_path / "big.md").write_bytes(b"a" * (documents.MAX_SKILL_BYTES + 1))
     (tmp_path / "small.md").write_text("four")
     assert rows(documents.scan_skill_files(spark, str(tmp_path)), "byte_count", "token_estimate") == [(4, 2), (None, None)]
+
+
+def test_refresh_reads_changed_files_only(spark, tmp_path, rows):
+    """Append, change, delete, a file put back with an old time, and nothing at all; each equals a full parse."""
+    root, store = tmp_path / "day 1", str(tmp_path / "store")
+    line = lambda m: {"timestamp": "2026-07-01T01:00:00Z", "type": "turn_context", "payload": {"model": m}}
+    opened = []
+
+    def scan(session, path, **options):
+        opened.append(options.get("modified_after"))
+        return logs.scan_session_logs(session, path, **options)
+
+    def check():
+        got = rows(increments.refresh(spark, str(root), store, scan), "file_path", "line_no", "payload.model")
+        full = logs.scan_session_logs(spark, str(root)).withColumn("file_path", logs.plain_path("file_path"))
+        assert got == rows(full, "file_path", "line_no", "payload.model")
+        return [m for _, _, m in got]
+
+    def put(name, models, at):
+        write(root / name, [line(m) for m in models])
+        os.utime(root / name, (at, at))
+
+    put("a.jsonl", ["a"], 1_780_000_000)
+    put("b.jsonl", ["b"], 1_780_000_000)
+    assert check() == ["a", "b"]
+    put("c.jsonl", ["c", "d"], 1_780_000_100)
+    assert check() == ["a", "b", "c", "d"] and opened[-1] is not None
+    put("a.jsonl", ["a2", "a3"], 1_780_000_200)
+    (root / "b.jsonl").unlink()
+    assert check() == ["a2", "a3", "c", "d"] and opened[-1] is not None
+    put("c.jsonl", ["old"], 1_770_000_000)
+    assert check() == ["a2", "a3", "old"] and opened[-1] is None
+    assert check() == ["a2", "a3", "old"]
+    assert len([d for d in os.listdir(store) if d.isdigit()]) == 2
