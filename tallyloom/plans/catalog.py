@@ -486,7 +486,7 @@ def j08_quota_carry(spark, d):
 
 @query
 def j09_new_projects(spark, d):
-    t = views.threads(spark, d)
+    t = derived.threads_with_new_projects(spark, d)
     recent = rankings.approximate_projects(t, ORDERS_AS_OF, k=None)
     return rankings.new_projects(recent, rankings.approximate_projects(t, k=None)).select("project_id", "thread_count", "all_threads")
 
@@ -731,7 +731,7 @@ def a27_model_overview(spark, d):
 
 @query
 def a28_project_overview(spark, d):
-    t = views.threads(spark, d)
+    t = derived.threads_with_new_projects(spark, d)
     recent = materialise(rankings.approximate_projects(t, ORDERS_AS_OF))
     return rankings.project_overview(recent, rankings.approximate_projects(t, k=None))
 

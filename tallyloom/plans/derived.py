@@ -322,6 +322,14 @@ def board_threads(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def threads_with_new_projects(spark: SparkSession, d: str) -> DataFrame:
+    """F3 with a third of the last week's threads in projects that did not exist before."""
+    t = views.threads(spark, d)
+    n = F.col("thread_id").cast("bigint")
+    fresh = (F.col("updated_at") >= F.lit("2001-07-26").cast("timestamp")) & (n % 3 == 0)
+    return t.withColumn("cwd", F.when(fresh, F.concat(F.lit("/w/n"), (n % 5).cast("string"))).otherwise(F.col("cwd")))
+
+
 def live_events(spark: SparkSession, d: str) -> DataFrame:
     """F7 on the board's day, one thread per event number; some threads are unknown."""
     e = views.thread_events(spark, d)

@@ -822,12 +822,19 @@ twin(
 )
 view("pall", "select cwd, sum(tokens_used) as tokens, count(*) as thread_count, max(coalesce(recency_at, updated_at)) as last_active_at from f3 where tokens_used > 0 group by cwd", "f3")
 view("pweek", "select cwd, sum(tokens_used) as tokens, count(*) as thread_count, max(coalesce(recency_at, updated_at)) as last_active_at from f3 where tokens_used > 0 and updated_at >= timestamp '2001-07-26' group by cwd", "f3")
+view(
+    "f3n",
+    "select * replace (case when updated_at >= timestamp '2001-07-26' and cast(thread_id as bigint) % 3 = 0 then '/w/n' || (cast(thread_id as bigint) % 5) else cwd end as cwd) from f3",
+    "f3",
+)
+view("palln", BODIES["pall"].replace("from f3 ", "from f3n "), "f3n")
+view("pweekn", BODIES["pweek"].replace("from f3 ", "from f3n "), "f3n")
 PID = "case when cwd = '' then 'uncategorized' else cwd end"
 PNAME = "case when cwd = '' then 'uncategorized' else substr(cwd, 4) end"
 twin(
     "j09_new_projects",
-    f"select {PID} as project_id, w.thread_count, a.thread_count as all_threads from pweek w join pall a using (cwd) where a.thread_count <= w.thread_count",
-    "pweek", "pall",
+    f"select {PID} as project_id, w.thread_count, a.thread_count as all_threads from pweekn w join palln a using (cwd) where a.thread_count <= w.thread_count",
+    "pweekn", "palln",
 )
 view(
     "dense",
@@ -1095,10 +1102,10 @@ twin(
 )
 twin(
     "a28_project_overview",
-    f"""select count(*) as active_projects, (select count(*) from (select * from pweek order by tokens desc limit 24) w join pall a using (cwd) where a.thread_count <= w.thread_count) as new_projects, cast(sum(tokens) as bigint) as total_tokens,
-      round((select max(tokens) from pweek) / cast(sum(tokens) as double) * 100, 6) as top_one_share, round((select sum(tokens) from (select tokens from pweek order by tokens desc limit 3)) / cast(sum(tokens) as double) * 100, 6) as top_three_share
-    from (select * from pweek order by tokens desc, {PNAME}, cwd limit 24)""",
-    "pweek", "pall",
+    f"""select count(*) as active_projects, (select count(*) from (select * from pweekn order by tokens desc limit 24) w join palln a using (cwd) where a.thread_count <= w.thread_count) as new_projects, cast(sum(tokens) as bigint) as total_tokens,
+      round((select max(tokens) from pweekn) / cast(sum(tokens) as double) * 100, 6) as top_one_share, round((select sum(tokens) from (select tokens from pweekn order by tokens desc limit 3)) / cast(sum(tokens) as double) * 100, 6) as top_three_share
+    from (select * from pweekn order by tokens desc, {PNAME}, cwd limit 24)""",
+    "pweekn", "palln",
 )
 twin(
     "a28_recently_active",
