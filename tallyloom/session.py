@@ -73,6 +73,11 @@ def release(spark: SparkSession) -> int:
     return gone
 
 
+def register(path: str) -> None:
+    """Have ``release`` delete a table that was written elsewhere."""
+    _WRITTEN.append(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write an intermediate result once and read it back, so that several consumers
     share it and a lost executor costs one read, not the whole lineage."""
