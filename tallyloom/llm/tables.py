@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import work_folder
+from tallyloom.session import register, work_folder
 
 #: Keys that a filter by key may send to every executor (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
@@ -30,10 +30,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, {}
 
-    def keep(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         path = f"{work_folder(self.spark)}/{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        register(path)  # ``session.release`` deletes it once no result needs it
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (path, back)
         return back
