@@ -102,25 +102,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of n consecutive items that stay inside a row, and the position of each one's first item."""
-    if len(hashes) < n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = hashes[: len(hashes) - n + 1].copy()
-    for k in range(1, n):
-        total *= np.uint64(0x9FB21C651E98DF25)
-        total += hashes[k : len(hashes) - n + 1 + k]
-    inside = np.zeros(len(hashes) + 1, bool)
-    counts = np.diff(first)
-    keep = np.maximum(counts - n + 1, 0)
-    marks = np.zeros(len(hashes) + 1, np.int64)
-    np.add.at(marks, first[:-1][keep > 0], 1)
-    np.add.at(marks, (first[:-1] + keep)[keep > 0], -1)
-    inside = np.cumsum(marks)[: len(total)] > 0
-    positions = np.flatnonzero(inside)
-    return mix(total[positions]), positions
-
-
 def row_of(positions: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The row that each item position lies in."""
     return np.searchsorted(first, positions, "right") - 1
