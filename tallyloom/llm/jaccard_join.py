@@ -225,13 +225,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             reach = f"(100 + {percent}) * (1 + least(n - place - 1, n_p - place_p - 1)) >= {percent} * (n + n_p)"
             near = active.join(other, "region").where(f"component < component_p and {admitted} and {reach}")
         pairs = scratch.keep(near.groupBy(F.col("p").alias("a"), F.col("rep").alias("b")).agg(F.min("component").alias("component"), F.min("component_p").alias("component_p")))
-        close = scratch.keep(_close(pairs.select("a", "b"), counts, percent).distinct())
-        found = scratch.keep(_linked(close, sets, size, percent).distinct())
+        many = pairs.count()
+        close = scratch.keep(_close(pairs.select("a", "b"), counts, percent).distinct(), many)
+        found = scratch.keep(_linked(close, sets, size, percent).distinct(), many)
         links.append(found)
         if step < rounds:
             # A document in a pivot's ball takes the pivot's label; the links themselves are joined up at the end.
             ball = found.join(pairs, ["a", "b"]).groupBy(F.col("b").alias("rep")).agg(F.min("component_p").alias("nearer"))
-            relabelled = active.join(scratch.keep(ball), "rep", "left").withColumn("component", F.least("component", "nearer")).drop("nearer")
+            relabelled = active.join(scratch.keep(ball, many), "rep", "left").withColumn("component", F.least("component", "nearer")).drop("nearer")
             after = scratch.keep(_several(relabelled, "component", scratch))
             scratch.free(active)
             active = after
