@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from tallyloom.llm.tables import Scratch, decided, fresh, row_key, table, text_mark
 
+#: Words of a shingle and similarity in percent of near copies: 2.2 percent of the words may differ (op1's 3 and 90 allow 1.75).
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the given labels, does not reject."""
@@ -27,7 +30,7 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by near-duplicate pairs."""
-    groups = jaccard_join.jaccard_components(docs)
+    groups = jaccard_join.jaccard_components(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
     return decided(docs, groups.select("doc_id", "mark", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")))
 
 

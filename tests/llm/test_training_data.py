@@ -304,6 +304,34 @@ def test_pipeline_stages(spark):
     assert (pieces.piece == 0).sum() == len(before)
 
 
+def test_near_dedup_stage_against_brute_force(spark):
+    """Spread edits on both sides of the stage's limit; many pairs lie between it and that of op1."""
+    r = random.Random(5)
+    texts = []
+    for edits in (0, 2, 4, 5, 6, 6, 7, 8, 12):
+        text = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+        near = list(text)
+        for k in range(edits):
+            near[20 + k * 260 // max(edits, 1)] = f"x{k}"
+        texts += [" ".join(text), " ".join(near)]
+    rows = list(zip(r.sample(range(1000), len(texts)), texts))
+
+    def similar(a, b, n):
+        a, b = ({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    pairs = list(zip(rows[::2], rows[1::2]))
+    assert sum(similar(a[1], b[1], 5) >= 0.8 and similar(a[1], b[1], 3) < 0.9 for a, b in pairs) >= 2
+    parent = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and similar(a, b, 5) >= 0.8:
+                x, y = parent[i], parent[j]
+                parent = {k: min(x, y) if v in (x, y) else v for k, v in parent.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(x.doc_id for x in corpus_pipeline.distinct(spark, docs, SF).collect()) == sorted(i for i in parent if parent[i] == i)
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
