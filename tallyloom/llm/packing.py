@@ -34,6 +34,10 @@ TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Characters on which both readers of the vocabulary are known to cut alike (letters, digits, signs up to Cyrillic).
 _OTHER = re.compile("[^\x00-ԯ‐-‧‰-⁞€]")
 
+#: A run of white space too long for the fast reader, whose pattern backtracks over it (its stack ends at about a million).
+LONG_RUN = 100_000
+_BLANKS = re.compile(r"(?<!\s)\s{%d}" % (LONG_RUN + 1))
+
 
 @functools.cache
 def _readers(tokenizer: str, ranks: str):
@@ -52,10 +56,11 @@ def token_ids(text: str, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> np.n
     """Ids of the tokenizer file (no special tokens added).
 
     The rank file holds the same vocabulary and its reader is several times faster; it is used where both readers cut
-    the text alike.  Other characters, and the strings of special tokens, go to the tokenizer itself.
+    the text alike.  Other characters, the strings of special tokens, and very long runs of white space go to the tokenizer
+    itself.
     """
     exact, fast, specials = _readers(tokenizer, ranks)
-    if (text.isascii() or not _OTHER.search(text)) and not any(s in text for s in specials):
+    if (text.isascii() or not _OTHER.search(text)) and not any(s in text for s in specials) and not (len(text) > LONG_RUN and _BLANKS.search(text)):
         return fast.encode_to_numpy(text, disallowed_special=())
     return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 

@@ -64,6 +64,20 @@ def test_ids_are_the_tokenizers(spark):
         assert packing.token_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+def test_very_long_white_space(spark):
+    """Runs on which the fast reader's pattern overflows, alone, within text, and of mixed characters."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = [" " * 2_000_000, "a b" + "\n\t " * 500_000 + "c d", " " * packing.LONG_RUN + "a", "a" + " " * (packing.LONG_RUN + 1), "word " * 50_000]
+    for text in texts:
+        assert packing.token_ids(text).tolist() == exact.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(1, texts[0]), (2, "a b")], "doc_id long, text string")
+    got = packing.pack(docs, with_ids=False).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {x.doc_id: x.n for x in got} == {1: len(packing.token_ids(texts[0])) + 1, 2: 3}
+
+
 def test_pack_round_trip(spark):
     rows = [(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 2, "y"), (None, None, 3, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length long, ids string").repartition(3)
