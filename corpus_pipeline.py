@@ -29,9 +29,10 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by near-duplicate pairs."""
-    groups = jaccard_join.jaccard_components(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    return decided(docs, groups.select("doc_id", "mark", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")))
+    """One row, that with the smallest id, of each group linked by near-duplicate pairs; rows without words all stay."""
+    groups = Scratch(spark).keep(jaccard_join.jaccard_components(docs, size=NEAR_SHINGLE, percent=NEAR_PERCENT).select("doc_id", "mark", "n_shingles", "kept"))
+    again = groups.where("kept and n_shingles > 0").groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).where("rows > 1")
+    return decided(docs, groups.select("doc_id", "mark", "kept").unionByName(again.select("doc_id", "mark", F.lit(False).alias("kept"))))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .tables import table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("mark")
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).drop("mark", "kept")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

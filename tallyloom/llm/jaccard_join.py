@@ -18,7 +18,8 @@ paying, what is left (members of different components, admitted by size and plac
 The same inequality spares most distances: the hash slices of the universe are pivots too, and the difference of two
 documents' distances to them, summed up (the difference of their shingle counts by slice), is at most the size of their
 symmetric difference.  Regions hold ids, sizes and 16 such counts, a list of 64 is compared next, and only what is left is
-measured on the texts.  Copies with one set are one document from the start.
+measured on the texts.  Copies with one set are one document from the start.  A document is a text under an id; repeated
+and null ids say nothing about likeness, so the sets are numbered and the numbers are joined, never the ids.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .repeats import NO_ID, AnchorFilter, identified, repeated_anchors
-from .tables import Scratch, filter_by_key
+from .repeats import AnchorFilter, repeated_anchors
+from .tables import Scratch, filter_by_key, row_key, text_mark
 from .texts import LOWER, mix, prefix_hash, row_of, slices, substring_hash, words
 
 #: Words of a shingle, and the similarity in percent from which two documents link.
@@ -165,18 +166,20 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row (the smallest id reachable by links, itself included), and a mark.
+    """doc_id, n_shingles, component_id of every row (the smallest id reachable by links, itself included), mark and kept.
 
     A document's set holds the distinct n-grams of its words (A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+`` of the
     whole text); with fewer words the whole sequence is one shingle; without words, or null, it is empty and linked with
-    nothing.  Two documents link when 100 * intersection >= percent * union.  Every row gets
-    the component of its own text; different texts under one id are one node in links.  Null ids come after all others.
-    Shingles are compared by 64-bit
-    hashes; documents with one set (128 bits and its size) are one document with the smallest id.
+    nothing.  Two documents link when 100 * intersection >= percent * union.  A document is known by
+    its id and a hash of its text: different texts under one id, or under none, are different documents, compared like any
+    others.  Null ids come after all others.  ``kept`` marks the first document of each component (by id, then mark), in
+    all rows that repeat it.  Shingles are compared by 64-bit
+    hashes; documents with one set (128 bits and its size) are one document, the first of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts = identified(docs, doc_id, text)
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("bigint").alias("doc"), text_mark(text).alias("mark"))
+    key = row_key(F.col("doc"), F.col("mark"))
 
     def regions_by(late: AnchorFilter | None):
         state = late.state if late else None
@@ -192,20 +195,23 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     frequent = repeated_anchors(texts, regions_by(None), FREQUENT_SHARE)
     repeated = repeated_anchors(texts, regions_by(frequent), FREQUENT_SHARE)
     rows = scratch.keep(_assign(texts, size, percent, frequent, repeated))
-    classes = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min("doc").alias("rep")))
-    known = scratch.keep(rows.join(classes, ["n", "low", "high"], "left").select("doc", "mark", "n", F.coalesce("rep", "doc").alias("rep"), "counts", "few_0", "few_1", "regions", "places"))
+    classes = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min(key).alias("head")))
+    # Sets are numbered in the order of their first documents, so that the smallest number has the smallest id.
+    classes = scratch.keep(classes.sort("head").withColumn("rep", F.monotonically_increasing_id()))
+    known = scratch.keep(rows.where("n > 0").join(classes, ["n", "low", "high"]).select("doc", "mark", "n", "rep", "head", "counts", "few_0", "few_1", "regions", "places"))
+    heads = known.where(key == F.col("head"))
 
-    members = known.where("n > 0 and doc = rep").select("n", "rep", "few_0", "few_1", F.explode(F.arrays_zip("regions", "places")).alias("r"))
+    members = heads.select("n", "rep", "few_0", "few_1", F.explode(F.arrays_zip("regions", "places")).alias("r"))
     members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n", "few_0", "few_1").agg(F.min("r.places").alias("place"))
     active = scratch.keep(_several(members.withColumn("component", F.col("rep")), "rep", scratch))
     links: list[DataFrame] = []
-    wanted = active.select(F.col("rep").alias("doc")).distinct()
-    sets = scratch.keep(filter_by_key(texts.select("text", "doc"), scratch.keep(wanted), "doc", "left_semi"))
+    wanted = scratch.keep(active.select(F.col("rep").alias("doc")).distinct())
+    sets = scratch.keep(_texts_of(heads.select("head", "rep").join(wanted.withColumnRenamed("doc", "rep"), "rep", "left_semi"), texts.select("text", key.alias("head")), scratch))
 
     # Sizes, and counts by slice: both differ by no more than the symmetric difference of linked sets.
     apart = " + ".join(f"abs(((few_{k} >> {8 * b}) & 255) - ((few_{k}_p >> {8 * b}) & 255))" for k in (0, 1) for b in range(8))
     admitted = f"least(n, n_p) * 100 >= {percent} * greatest(n, n_p) and (100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n_p)"
-    counts = scratch.keep(known.where("doc = rep").select("doc", "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
+    counts = scratch.keep(heads.select(F.col("rep").alias("doc"), "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
     ours = [F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("few_0").alias("few_0_p"), F.col("few_1").alias("few_1_p"), F.col("component").alias("component_p")]
     for step in range(rounds + 1):
         if active.isEmpty():
@@ -239,12 +245,20 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         scratch.free(pairs)
 
     if links:
-        joined = components(reduce(DataFrame.unionByName, links), scratch).withColumnRenamed("node", "rep")
+        joined = components(reduce(DataFrame.unionByName, links), scratch)
+        joined = joined.join(classes.select(F.col("rep").alias("component"), F.col("head").alias("first")), "component").select(F.col("node").alias("rep"), "first")
     else:
-        joined = known.select("rep", F.col("rep").alias("component")).limit(0)
-    final = known.select("doc", "mark", "n", "rep").join(joined, "rep", "left").select("doc", "mark", "n", F.coalesce("component", "rep").alias("component"))
-    unset = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return final.select(unset("doc").alias("doc_id"), F.col("n").alias("n_shingles"), unset("component").alias("component_id"), "mark")
+        joined = classes.select("rep", F.col("head").alias("first")).limit(0)
+    final = known.join(joined, "rep", "left").select("doc", "mark", "n", F.coalesce("first", "head").alias("first"))
+    final = final.unionByName(rows.where("n = 0").select("doc", "mark", "n", key.alias("first")))
+    return final.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~F.col("first.none"), F.col("first.id")).alias("component_id"), "mark", (key == F.col("first")).alias("kept"))
+
+
+def _texts_of(heads: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """text, doc (the set's number) of each first document, once however often its row is repeated."""
+    heads = scratch.keep(heads.groupBy("head", "rep").agg(F.count("*").alias("rows")))
+    found = filter_by_key(texts, heads, "head", "inner").select("text", F.col("rep").alias("doc"), "rows")
+    return found.where("rows = 1").unionByName(found.where("rows > 1").dropDuplicates(["doc"])).select("text", "doc")
 
 
 def _several(members: DataFrame, what: str, scratch: Scratch) -> DataFrame:

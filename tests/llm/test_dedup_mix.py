@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from tallyloom.llm.components import components
 from tallyloom.llm.exact_dedup import exact_duplicates
 from tallyloom.llm.jaccard_join import jaccard_components
@@ -99,6 +100,37 @@ def test_jaccard_null_ids_and_empty(spark):
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_texts_under_one_id_or_none(spark):
+    """Brute force over (id, text): null and repeated ids link nothing, and near copies under one of them are found."""
+    r = random.Random(8)
+    fresh = lambda: [f"w{r.randint(0, 3000)}" for _ in range(80)]
+    edited = lambda words: [*words[:-1], f"z{r.randint(0, 10**6)}"]
+    near = [fresh() for _ in range(5)]
+    rows = [(5, near[0]), (None, edited(near[0])), (None, fresh()), (None, fresh())]  # one null id links to 5, two are clean
+    rows += [(None, near[1]), (None, edited(near[1])), (7, near[2]), (7, edited(near[2])), (7, fresh())]  # near copies under null and under 7
+    rows += [(1, near[3]), (8, edited(near[3])), (8, near[4]), (9, edited(near[4])), (2**63 - 1, fresh())]  # 1 and 9 link to two texts of 8
+    rows = [(i, " ".join(t)) for i, t in rows]
+    rows += [rows[4], (3, ""), (None, ""), (None, None)]
+    numbers = {x: k for k, x in enumerate(sorted({(i is None, i or 0, t or "") for i, t in rows}))}
+    found = brute_jaccard([(k, x[2]) for x, k in numbers.items()])
+    back = {k: x for x, k in numbers.items()}
+    first = {back[k]: back[c] for k, _, c in found}
+    want = sorted(((i, (lambda c: None if c[0] else c[1])(first[i is None, i or 0, t or ""])) for i, t in rows), key=repr)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((x.doc_id, x.component_id) for x in jaccard_components(docs).collect()), key=repr) == want
+    kept = sorted(((x.doc_id, x.text) for x in corpus_pipeline.distinct(spark, docs, "").collect()), key=repr)
+    heads = {c for c in first.values() if c[2]}
+    groups = defaultdict(list)
+    for x, c in first.items():
+        groups[c[0], c[1], {back[k][2]: back[n][2] for k, _, n in found}[x[2]]].append(x)
+    assert len(kept) == len(heads) + 3 and len({t for _, t in kept if t}) == len(heads)
+    for members in groups.values():
+        some = [(None if none else i, t) for none, i, t in members if t]
+        low = min(((i is None, i or 0) for i, _ in some), default=None)
+        stay = [x for x in kept if x in some]
+        assert not some or (len(stay) == 1 and (stay[0][0] is None, stay[0][0] or 0) == low)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 160)] + [(200, k) for k in range(201, 240)]
