@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, neighbours, packing, quality, revisits, substring_dedup, suffix_dedup, token_counts
+from . import exact_dedup, jaccard_join, mixing, neighbours, packing, periodic_runs, quality, revisits, secret_scan, substring_dedup, suffix_dedup, token_counts
 from .tables import table
 
 
@@ -55,6 +57,39 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def looped(doc_id: int | None, words: np.ndarray) -> np.ndarray:
+    """The contract's rewriting of one text in ten: from word a on, its words repeat with period p."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.concatenate((words[:a], words[a + np.arange(n - a) % p]))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is not rewritten."""
+    found = periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), rewrite=looped)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("longest.start").alias("start"), (-F.col("longest.shorter")).alias("length"), F.col("longest.period").alias("period"),
+        F.expr("-1000 * longest.shorter div longest.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+    def number(field: str, value: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s[field] == value)).cast("bigint")
+
+    return found.select(
+        "doc_id", *(number("kind", kind).alias(f"n_{kind}") for kind in secret_scan.KINDS), number("verdict", "example").alias("n_example"),
+        F.sha2(secret_scan.joined(F.filter("spans", lambda s: s["kind"] != "live")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_token_counts, op3_best_fit_packing, op4_warc_revisits, op5_substring_dedup, op6_exact_dedup, op7_source_mix, op8_quality_classifier, op9_nearest_neighbours, op10_suffix_dedup,
+    op1_ngram_jaccard, op2_token_counts, op3_best_fit_packing, op4_warc_revisits, op5_substring_dedup, op6_exact_dedup, op7_source_mix, op8_quality_classifier, op9_nearest_neighbours, op10_suffix_dedup, op12_periodic_runs, op13_secret_scan,
 )}

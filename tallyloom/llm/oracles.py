@@ -121,4 +121,38 @@ SQL = {
         select d.doc_id, len(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
                sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last_, 0) + 1))) as kept_sha256
         from d left join k on k.doc_id = d.doc_id""",
+    "op13_secret_scan": r"""
+        with d as (select row_number() over () as row, doc_id, source, lang, coalesce(text, '') as text from documents),
+        m as (
+            select row, 0 as kind, regexp_split_to_array(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') as p,
+                   regexp_extract_all(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?(?:[A-Za-z0-9+/_.=-]+)') as x,
+                   regexp_extract_all(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) as v from d
+            union all select row, 1, regexp_split_to_array(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') from d
+            union all select row, 2, regexp_split_to_array(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+') from d
+            union all select row, 3, regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}') from d),
+        s as (select row, kind, list_transform(p, lambda a: len(a)) as p, list_transform(x, lambda a: len(a)) as x, v, unnest(range(1, len(x) + 1)) as k from m),
+        u as (
+            select row, kind, cast(list_sum(p[1:k]) + coalesce(list_sum(x[1:k - 1]), 0) as bigint) as start, x[k] as size, v[k] as value
+            from s where len(v[k]) >= case kind when 0 then 8 when 1 then 16 when 2 then 32 else 20 end),
+        l as (
+            select *, start + size as end_,
+                   len(value) >= 20 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= 10 as random
+            from u),
+        c as (
+            select * from l where kind < 3
+            union all select * from l where kind = 3 and random and not exists (select 1 from l b where b.row = l.row and b.kind < 3 and b.start < l.end_ and l.start < b.end_)),
+        f as (
+            select value, count(distinct {'a': source}) <= 3 and count(distinct {'a': source, 'b': lang}) <= 6 as specific
+            from c join d using (row) where random group by value),
+        j as (
+            select row, kind, start, end_, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || start || ':' || end_ as span,
+                   random and not coalesce(specific, false) as example
+            from c left join f using (value) where kind < 3 or specific),
+        g as (
+            select row, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, count(*) filter (kind = 3) as n_live,
+                   count(*) filter (example) as n_example, string_agg(span, ',' order by start, kind) filter (kind < 3) as base, string_agg(span, ',' order by start, kind) as spans
+            from j group by row)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join g using (row)""",
 }
