@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, neighbours, packing, periodic_runs, quality, revisits, secret_scan, substring_dedup, suffix_dedup, token_counts
+from . import exact_dedup, hard_negatives, jaccard_join, mixing, neighbours, packing, periodic_runs, quality, revisits, secret_scan, substring_dedup, suffix_dedup, token_counts
 from .tables import table
 
 
@@ -57,6 +57,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components are whole numbers of 64 bits; larger ones stop at the largest."""
+    usable = table(spark, sf_dir, "embeddings").where("label is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    moved = F.expr("if(vec_id % 7 = 0, cast((cast(label as bigint) + 1) % 10 as bigint), cast(label as bigint))")
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    return hard_negatives.mine(usable.select("vec_id", moved.alias("label"), whole.alias("v")), F.col("vec_id") % 50 == 0)
+
+
 def looped(doc_id: int | None, words: np.ndarray) -> np.ndarray:
     """The contract's rewriting of one text in ten: from word a on, its words repeat with period p."""
     h, n = zlib.crc32(str(doc_id).encode()), len(words)
@@ -91,5 +99,5 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_token_counts, op3_best_fit_packing, op4_warc_revisits, op5_substring_dedup, op6_exact_dedup, op7_source_mix, op8_quality_classifier, op9_nearest_neighbours, op10_suffix_dedup, op12_periodic_runs, op13_secret_scan,
+    op1_ngram_jaccard, op2_token_counts, op3_best_fit_packing, op4_warc_revisits, op5_substring_dedup, op6_exact_dedup, op7_source_mix, op8_quality_classifier, op9_nearest_neighbours, op10_suffix_dedup, op11_hard_negatives, op12_periodic_runs, op13_secret_scan,
 )}

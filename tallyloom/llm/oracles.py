@@ -121,6 +121,18 @@ SQL = {
         select d.doc_id, len(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
                sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last_, 0) + 1))) as kept_sha256
         from d left join k on k.doc_id = d.doc_id""",
+    "op11_hard_negatives": r"""
+        with v as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+            from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+            from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+        n as (
+            select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+            from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+        select * from n where rank <= 3""",
     "op13_secret_scan": r"""
         with d as (select row_number() over () as row, doc_id, source, lang, coalesce(text, '') as text from documents),
         m as (
