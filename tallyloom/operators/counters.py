@@ -264,6 +264,37 @@ def incoming_states(counted: DataFrame) -> DataFrame:
     return _in_order(effects, ["thread_id"], "_slot").mapInArrow(_chain, _INCOMING_DDL)
 
 
+def _chain_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_chain``, from the state before; a row without a slot ends each session with the state it leaves."""
+    thread = state = None
+
+    def left() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"thread_id": thread, "_slot": None, "_incoming": None if state is None else list(state)}], schema=_INCOMING)
+
+    for batch in batches:
+        rows, started = [], False
+        for row in batch.to_pylist():
+            if row["_n"] == 1:
+                if thread is not None:
+                    rows += left().to_pylist()
+                thread, state = row["thread_id"], None if row["_before"] is None else tuple(row["_before"])
+            rows.append({"thread_id": thread, "_slot": row["_slot"], "_incoming": None if state is None else list(state)})
+            entries = [(e["total"], e["input"], e["leaves"]) for e in row["entries"]]
+            state = apply_effect(state, entries, row["peak"], row["seen"])
+        yield pa.RecordBatch.from_pylist(rows, schema=_INCOMING)
+    if thread is not None:
+        yield left()
+
+
+def slot_states(counted: DataFrame, before: DataFrame) -> DataFrame:
+    """(thread_id, _slot, _incoming) of every slot, and with a null slot the state each session leaves behind.
+
+    ``before`` has thread_id and _before, the state of five numbers in which a session begins; none means a new session.
+    """
+    effects = _in_order(counted.select("thread_id", "_slot", "line_no", "cum"), ["thread_id", "_slot"], "line_no").mapInArrow(_effects, _EFFECT_DDL)
+    return _in_order(effects.join(before, "thread_id", "left"), ["thread_id"], "_slot").mapInArrow(_chain_on, _INCOMING_DDL)
+
+
 def counter_events(lines: DataFrame) -> DataFrame:
     """Lines that carry at least one of the two vectors."""
     return lines.where("line_type = 'token_count' and (cum is not null or last is not null)")
@@ -275,8 +306,17 @@ def normalise(lines: DataFrame, lines_per_slot: int = LINES_PER_SLOT) -> DataFra
     Input columns: thread_id, line_no, line_type, cum and last (structs of five
     nullable longs in the order of ``FIELDS``); all others pass through.
     """
-    counted = counter_events(lines).withColumn("_slot", line_slot("line_no", lines_per_slot))
-    ready = counted.join(incoming_states(counted), ["thread_id", "_slot"], "left")
+    counted = with_slots(lines, lines_per_slot)
+    return walked(counted.join(incoming_states(counted), ["thread_id", "_slot"], "left"))
+
+
+def with_slots(lines: DataFrame, lines_per_slot: int = LINES_PER_SLOT) -> DataFrame:
+    """Counted lines, each with the range of line numbers it lies in."""
+    return counter_events(lines).withColumn("_slot", line_slot("line_no", lines_per_slot))
+
+
+def walked(ready: DataFrame) -> DataFrame:
+    """Counted events of slots whose incoming state is known."""
     shape = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if f.name not in HELPERS]
         + [f"{name} bigint" for name in FIELDS]

@@ -939,26 +939,20 @@ def b06_attention(spark, d):
 
 @query
 def r01_live_state(spark, d):
-    """The notification stream folded into the state table, batch by batch."""
-    return jobs.run_live_state(spark, d).select("thread_id", "state", "name", "turn_id", "updated_at")
+    """Notifications, lists and connection rows as one stream: the records after a second list."""
+    return jobs.run_live_state(spark, d).where("phase = 'end'").select("thread_id", "state", "name", "turn_id", "updated_at", "is_realtime")
 
 
 @query
 def r02_list_replace(spark, d):
-    events = views.thread_events(spark, d)
-    stored = live.fold_events(events.where("method <> 'thread/list'"))
-    listed = events.where("method = 'thread/list'").withColumn("hidden", F.col("event_seq") % 5 == 0)
-    latest = listed.groupBy("thread_id").agg(F.max_by(F.struct(*listed.columns), "event_seq").alias("r")).select("r.*")
-    return live.replace_list(stored, latest).select("thread_id", "state", "name", "turn_id", "updated_at")
+    """The same stream before the connection is lost: only listed threads, and those heard of since, are left."""
+    return jobs.run_live_state(spark, d).where("phase = 'listed'").select("thread_id", "state", "name", "turn_id", "updated_at", "is_realtime")
 
 
 @query
 def r03_disconnect(spark, d):
-    events = views.thread_events(spark, d)
-    control = events.where("event_seq % 997 = 0").select(
-        F.lit(None).cast("string").alias("thread_id"), "event_seq", F.lit(live.DISCONNECT).alias("method"), F.lit(None).cast("string").alias("status"),
-        F.lit(None).cast("string").alias("flag"), F.lit(None).cast("string").alias("turn_id"), F.lit(None).cast("string").alias("name"), "ts")
-    return live.fold_with_connection(events.unionByName(control)).select("thread_id", "state", "is_realtime")
+    """The same stream around a loss: nothing is real time until the list after the reconnect."""
+    return jobs.run_live_state(spark, d).select("phase", "thread_id", "state", "is_realtime")
 
 
 @query
@@ -973,6 +967,16 @@ def r05_daily_mart(spark, d):
     return jobs.run_daily(spark, d).select("day", "tokens", "cost_usd")
 
 
+#: The zone to which the mart changes half-way.
+REZONED = "America/Los_Angeles"
+
+
+@query
+def r05_rezoned_mart(spark, d):
+    """The mart when the zone changes half-way: days so far are rebuilt, later batches go on in the new zone."""
+    return jobs.run_daily(spark, d, zones=("UTC", REZONED)).select("day", "tokens", "cost_usd")
+
+
 @query
 def r06_discovered_files(spark, d):
     return jobs.run_discovery(spark, d)

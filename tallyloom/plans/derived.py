@@ -145,8 +145,8 @@ def file_manifest(spark: SparkSession, d: str) -> DataFrame:
         (F.col("doc_id") * 1000 + (F.col("doc_id") % 11 == 0).cast("bigint")).alias("modified_micros"))
 
 
-def notification_texts(spark: SparkSession, d: str) -> DataFrame:
-    """F7 as JSON notifications; every seventh line is a reply (it carries an id)."""
+def notification_texts(spark: SparkSession, d: str, step: int = 1) -> DataFrame:
+    """F7 as JSON notifications, numbered in steps; every seventh line is a reply (it carries an id)."""
     e = views.thread_events(spark, d)
     m = F.col("method")
     params = F.struct(
@@ -158,8 +158,36 @@ def notification_texts(spark: SparkSession, d: str) -> DataFrame:
         F.col("name").alias("name"),
         F.when(F.col("event_seq") % 11 == 0, "subagent").alias("threadSource"),
     )
-    value = _json(method=m, id=F.when(F.col("event_seq") % 7 == 0, "r1"), seq=F.col("event_seq"), at=_iso("ts"), params=params)
-    return e.select("event_seq", "thread_id", value.alias("value"))
+    value = _json(method=m, id=F.when(F.col("event_seq") % 7 == 0, "r1"), seq=F.col("event_seq") * step, at=_iso("ts"), params=params)
+    return e.select((F.col("event_seq") * step).alias("event_seq"), "thread_id", value.alias("value"))
+
+
+#: Phases of the connection fixture, and where in the log each but the last ends (in eighths).
+PHASES = ("listed", "lost", "opened", "end")
+PHASE_EIGHTHS = (3, 4, 5)
+
+#: Connection rows: what happens at which eighth of the log.
+CONNECTION = ((1, "thread/list/started"), (3, "connection/lost"), (4, "connection/opened"), (5, "thread/list/started"))
+
+
+def _eighth(count: int, eighth: int) -> int:
+    """Number of a connection row; events take the even numbers."""
+    return 2 * (count * eighth // 8) - 1
+
+
+def phase_edges(spark: SparkSession, d: str) -> list[int]:
+    """Last event number of every phase but the last: just before the next connection row."""
+    count = views.table(spark, d, "events").count()
+    return [_eighth(count, eighth) - 1 for eighth in PHASE_EIGHTHS]
+
+
+def connection_texts(spark: SparkSession, d: str) -> DataFrame:
+    """F7 as JSON notifications with a first list, a loss, a new connection and a second list among them."""
+    count = views.table(spark, d, "events").count()
+    texts = notification_texts(spark, d, 2).select("event_seq", "value")
+    at = views.table(spark, d, "events").where(F.col("event_id") == 0).select(F.explode(F.array(*[
+        F.struct(F.lit(_eighth(count, eighth)).cast("bigint").alias("event_seq"), F.lit(method).alias("method")) for eighth, method in CONNECTION])).alias("c")).select("c.*")
+    return texts.unionByName(at.select("event_seq", _json(method=F.col("method"), seq=F.col("event_seq")).alias("value")))
 
 
 # ---------------------------------------------------------------- varied values

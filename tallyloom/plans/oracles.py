@@ -1237,21 +1237,40 @@ twin(
 
 # ====================================================================== streaming
 
-twin("r01_live_state", "select thread_id, state, name, turn_id, updated_at from (" + FOLD.format(state=STATE, source="f7", extra="and event_seq % 7 <> 0 and method <> 'thread/list'") + ")", "f7")
-view("stored", FOLD.format(state=STATE, source="f7", extra="and method <> 'thread/list'"), "f7")
-twin(
-    "r02_list_replace",
-    """select l.thread_id, 'idle' as state, coalesce(l.name, s.name) as name, s.turn_id, coalesce(l.ts, s.updated_at) as updated_at
-    from (select *, row_number() over (partition by thread_id order by event_seq desc) as rn from f7 where method = 'thread/list') l left join stored s on s.thread_id = l.thread_id where l.rn = 1 and l.event_seq % 5 <> 0""",
-    "f7", "stored",
+# One row per phase of the connection, with the numbers of lists and losses known by its end.
+view(
+    "phases",
+    """select phase, cut, case when first_list < cut then first_list end as list_1, case when second_list < cut then second_list end as list_2, case when lost < cut then lost end as lost
+    from (select 2 * (n // 8) - 1 as first_list, 2 * (n * 3 // 8) - 1 as lost, 2 * (n * 5 // 8) - 1 as second_list,
+      unnest([{'phase': 'listed', 'cut': 2 * (n * 3 // 8) - 1}, {'phase': 'lost', 'cut': 2 * (n * 4 // 8) - 1}, {'phase': 'opened', 'cut': 2 * (n * 5 // 8) - 1}, {'phase': 'end', 'cut': 2 * n + 1}], recursive := true)
+      from (select count(*) as n from events))""",
 )
-view("folded", FOLD.format(state=STATE, source="f7", extra=""), "f7")
-twin(
-    "r03_disconnect",
-    """select thread_id, case when event_seq < lost and state in ('running', 'waitingInput') then 'disconnected' else state end as state, false as is_realtime
-    from folded, (select max(event_seq) as lost from f7 where event_seq % 997 = 0)""",
-    "folded", "f7",
+view(
+    "told",
+    "select * from (select phase, list_1, list_2, lost, thread_id, 2 * event_seq as seq, method, name, turn_id, ts, case when 2 * event_seq > list_2 then 2 when 2 * event_seq > list_1 then 1 else 0 end as gen, "
+    + STATE + """ as state from f7, phases where event_seq % 7 <> 0 and 2 * event_seq < cut and not (method = 'thread/list' and event_seq % 11 = 0)) where state is not null""",
+    "f7", "phases",
 )
+view(
+    "kept",
+    """select t.* from told t join (
+      select phase, thread_id, case when list_2 is not null and in_2 then case when in_1 then 0 else 1 end when list_2 is not null then 2 when in_1 then 0 else 1 end as since
+      from (select phase, thread_id, any_value(list_2) as list_2, bool_or(method = 'thread/list' and gen = 1) as in_1, bool_or(method = 'thread/list' and gen = 2) as in_2 from told group by phase, thread_id)) s
+      on s.phase = t.phase and s.thread_id = t.thread_id and t.gen >= s.since""",
+    "told",
+)
+view(
+    "seen",
+    """select phase, thread_id, name, turn_id, updated_at, case when seq < lost and state in ('running', 'waitingInput') then 'disconnected' else state end as state, on_line
+    from (select phase, thread_id, arg_max(state, seq) as state, arg_max(name, seq) filter (name is not null) as name, arg_max(turn_id, seq) filter (turn_id is not null) as turn_id, max(seq) as seq,
+      arg_max(ts, seq) as updated_at, any_value(lost) as lost, coalesce(greatest(any_value(list_1), any_value(list_2)) > coalesce(any_value(lost), -1), false) as on_line from kept group by phase, thread_id)""",
+    "kept",
+)
+twin("r01_live_state", "select thread_id, state, name, turn_id, updated_at, on_line and state not in ('recorded', 'disconnected') as is_realtime from seen where phase = 'end'", "seen")
+twin("r02_list_replace", "select thread_id, state, name, turn_id, updated_at, on_line and state not in ('recorded', 'disconnected') as is_realtime from seen where phase = 'listed'", "seen")
+twin("r03_disconnect", "select phase, thread_id, state, on_line and state not in ('recorded', 'disconnected') as is_realtime from seen", "seen")
 twin("r04_stream_counters", f"select thread_id, count(*) as deltas, {SUMS} from cdelta group by thread_id", "cdelta")
 twin("r05_daily_mart", f"select {day('day')} as day, {VISIBLE} as tokens, {micro('nano')} as cost_usd from daily", "daily")
+view("dailyz", f"select cast(timezone('America/Los_Angeles', timezone('UTC', ts)) as date) as day, {SUMS}, cast(sum(nano) as hugeint) as nano from f1p group by 1", "f1p")
+twin("r05_rezoned_mart", f"select {day('day')} as day, {VISIBLE} as tokens, {micro('nano')} as cost_usd from dailyz", "dailyz")
 twin("r06_discovered_files", "select role as line_type, count(*) as line_count from conversations group by role")

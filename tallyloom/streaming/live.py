@@ -62,52 +62,3 @@ def downgrade(states: DataFrame, connected: bool) -> DataFrame:
     seen = state if connected else F.when(state.isin("running", "waitingInput"), "disconnected").otherwise(state)
     out = states.withColumn("state", seen)
     return out.withColumn("is_realtime", is_realtime(F.col("state"), F.lit(connected)))
-
-
-def fold_with_connection(events: DataFrame) -> DataFrame:
-    """States with control rows in the same stream (``thread_id`` null).
-
-    The connection is lost when the last control row says so.  Events after the loss
-    cannot exist, so comparing sequence numbers gives each thread's final state.
-    """
-    seq, method = F.col("event_seq"), F.col("method")
-    control = events.where(method.isin(CONNECT, DISCONNECT)).agg(
-        F.struct(F.max(F.when(method == DISCONNECT, seq)).alias("lost"), F.max(F.when(method == CONNECT, seq)).alias("open"))
-    ).scalar()
-    lost_at, open_at = control["lost"], control["open"]
-    lost = F.coalesce(lost_at > F.coalesce(open_at, F.lit(-1)), F.lit(False))
-    states = fold_events(events.where("thread_id is not null"))
-    hit = F.coalesce(F.col("event_seq") < lost_at, F.lit(False)) & F.col("state").isin("running", "waitingInput")
-    out = states.withColumn("state", F.when(hit, "disconnected").otherwise(F.col("state")))
-    return out.withColumn("is_realtime", is_realtime(F.col("state"), ~lost))
-
-
-def replace_list(states: DataFrame, listed: DataFrame) -> DataFrame:
-    """A full list replaces all records: subagents are hidden, name, turn and time survive.
-
-    ``listed`` has thread_id, event_seq, status, flag, name, ts, hidden; one row per thread.
-    """
-    old = states.select("thread_id", F.struct(*CARRIED, *CARRIED.values()).alias("old"))
-    seq = F.col("event_seq")
-
-    def kept(column: str, value: Column) -> list[Column]:
-        number = CARRIED[column]
-        return [
-            F.coalesce(value, F.col(f"old.{column}")).alias(column),
-            F.when(value.isNotNull(), seq).otherwise(F.col(f"old.{number}")).alias(number),
-        ]
-
-    return listed.where("not coalesce(hidden, false) and thread_id is not null").join(old, "thread_id", "left").select(
-        "thread_id", runtime_state(F.col("status"), F.col("flag")).alias("state"), "event_seq",
-        *kept("name", F.col("name")), *kept("turn_id", F.lit(None).cast("string")), *kept("updated_at", F.col("ts")),
-    )
-
-
-def combine_states(partials: DataFrame) -> DataFrame:
-    """Any number of folded states per thread to one, by the event numbers they carry."""
-    carried = []
-    for column, number in CARRIED.items():
-        carried += [F.max_by(column, number).alias(column), F.max(number).alias(number)]
-    return partials.groupBy("thread_id").agg(
-        F.max_by("state", "event_seq").alias("state"), F.max("event_seq").alias("event_seq"), *carried
-    )

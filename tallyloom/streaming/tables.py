@@ -1,118 +1,69 @@
 """Tables that streaming queries keep current through ``foreachBatch``.
 
-A batch only writes its own small partial result, under its batch number; readers
-combine the partial results.  All combinations are order-free and a batch that is
-run again overwrites its own files, so neither retries nor the order of batches
-change a table, and no batch rewrites what earlier batches wrote.
+A batch only writes its own small partial result, under its batch number; levels of partial
+results are merged as they fill up (``levels``).  A batch that is run again overwrites its own
+files, so retries change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import tokens as tok
 from tallyloom.functions.times import local_day
 from tallyloom.operators import usage
-from tallyloom.streaming import live
+from tallyloom.streaming.levels import FAN, LevelledTable
 
-STATE = (
-    "thread_id string, state string, event_seq bigint, name string, name_seq bigint, "
-    "turn_id string, turn_seq bigint, updated_at timestamp, updated_seq bigint"
+DAY_PARTIAL = (
+    "zone string, day date, from_batch bigint, is_base boolean, input_tokens bigint, cached_input_tokens bigint, output_tokens bigint, "
+    "reasoning_output_tokens bigint, total_tokens bigint, cost_usd decimal(38,9)"
 )
 
 
-class StateTable:
-    """Latest state per thread: a base version plus the partial states of later batches."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _numbers(self, folder: str) -> list[int]:
-        """Batch numbers whose write was completed (Spark leaves _SUCCESS last)."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        done = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(p.getName().partition("=")[2]) for p in done if p.getName().startswith("batch="))
-
-    def _read(self, folder: str, numbers: list[int]) -> DataFrame:
-        if not numbers:
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(*[f"{self.path}/{folder}/batch={n}" for n in numbers])
-
-    def append(self, batch: int, partial: DataFrame) -> None:
-        """Add the folded states of one batch."""
-        partial.select(*_columns()).write.mode("overwrite").parquet(f"{self.path}/partial/batch={batch}")
-
-    def before(self, batch: int) -> DataFrame:
-        """States as of all batches before a number."""
-        bases = [n for n in self._numbers("base") if n < batch]
-        start = bases[-1] if bases else -1
-        later = [n for n in self._numbers("partial") if start < n < batch]
-        rows = self._read("base", bases[-1:])
-        return live.combine_states(rows.unionByName(self._read("partial", later))) if later else rows
-
-    def current(self) -> DataFrame:
-        return self.before(1 << 62)
-
-    def replace(self, batch: int, states: DataFrame) -> None:
-        """A new base: everything up to and including this batch."""
-        states.select(*_columns()).write.mode("overwrite").parquet(f"{self.path}/base/batch={batch}")
-
-    def compact(self, batch: int) -> None:
-        """Fold all partial states up to a batch into a new base, once."""
-        if batch not in self._numbers("base"):
-            self.replace(batch, self.before(batch + 1))
-
-
-def _columns() -> list[str]:
-    return [part.split()[0] for part in STATE.split(", ")]
+def combine_days(partials: DataFrame) -> DataFrame:
+    """Per zone and day, the last rebuilt sums and what batches since then added."""
+    last = F.max(F.when(F.col("is_base"), F.col("from_batch"))).over(Window.partitionBy("zone", "day"))
+    valid = partials.withColumn("last_base", last).where("last_base is null or from_batch >= last_base")
+    return valid.groupBy("zone", "day").agg(
+        F.coalesce(F.max("last_base"), F.min("from_batch")).alias("from_batch"), F.max("last_base").isNotNull().alias("is_base"), *tok.sum_tokens(), tok.sum_cost().cast("decimal(38,9)").alias("cost_usd"))
 
 
-def keep_states(table: StateTable, listing: bool = False, compact_every: int | None = None) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: fold notifications into the state table.
+class DailyMart:
+    """Daily usage in one zone: sums that batches add, and sums of days that were counted anew.
 
-    With ``listing`` a batch is a full thread list and replaces the table.
-    ``compact_every`` bounds the number of partial results a reader combines.
+    A day's rows are ordered by batch number.  A *base* row holds all of its day up to and including its batch and hides
+    earlier rows, so a correction or another zone costs the touched days only, not the mart.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        if listing:
-            latest = batch.groupBy("thread_id").agg(F.max_by(F.struct(*batch.columns), "event_seq").alias("r")).select("r.*")
-            table.replace(number, live.replace_list(table.before(number), latest))
-            return
-        table.append(number, live.fold_events(batch))
-        if compact_every and number % compact_every == compact_every - 1:
-            table.compact(number)
-
-    return run
-
+    def __init__(self, spark: SparkSession, path: str, tz: str = "UTC", fan: int = FAN) -> None:
+        self.tz = tz
+        self.table = LevelledTable(spark, path, DAY_PARTIAL, lambda rows: combine_days(rows.where(F.col("zone") == self.tz)), fan)
 
-DAY_PARTIAL = (
-    "day date, input_tokens bigint, cached_input_tokens bigint, output_tokens bigint, "
-    "reasoning_output_tokens bigint, total_tokens bigint, cost_usd decimal(38,9)"
-)
+    def _partial(self, days: DataFrame, batch: int, is_base: bool) -> DataFrame:
+        return days.withColumns({"zone": F.lit(self.tz), "from_batch": F.lit(batch).cast("bigint"), "is_base": F.lit(is_base)})
 
+    def append(self, batch: int, events: DataFrame) -> None:
+        """Add a batch's daily sums."""
+        self.table.append(batch, self._partial(usage.daily(events, self.tz), batch, False))
 
-def keep_daily(path: str, tz: str = "UTC") -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: add a batch's daily sums to a mart."""
+    def rebuild(self, batch: int, ledger: DataFrame, touched: DataFrame) -> None:
+        """Count the days of the touched events anew, from the ledger as of this batch."""
+        self.table.append(batch, self._partial(rebuild_days(ledger, touched, self.tz), batch, True))
 
-    def run(batch: DataFrame, number: int) -> None:
-        partial = usage.daily(batch, tz).drop("tokens")
-        partial.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+    def rezone(self, batch: int, ledger: DataFrame, tz: str) -> None:
+        """Another zone moves every day's bounds: all days so far are rebuilt, rows of the old zone go with the next merge."""
+        self.tz = tz
+        self.rebuild(batch, ledger, ledger)
 
-    return run
+    def keep(self) -> Callable[[DataFrame, int], None]:
+        """A ``foreachBatch`` function."""
+        return lambda batch, number: self.append(number, batch)
 
-
-def read_daily(spark: SparkSession, path: str) -> DataFrame:
-    """The mart: partial rows summed per day, with the visible total."""
-    rows = spark.read.schema(DAY_PARTIAL + ", batch bigint").option("basePath", path).parquet(path)
-    return rows.groupBy("day").agg(*tok.sum_tokens(), tok.sum_cost()).withColumn("tokens", tok.visible_total())
+    def current(self) -> DataFrame:
+        return self.table.current().drop("zone", "from_batch", "is_base").withColumn("tokens", tok.visible_total())
 
 
 def rebuild_days(ledger: DataFrame, touched: DataFrame, tz: str = "UTC") -> DataFrame:

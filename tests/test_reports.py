@@ -10,7 +10,7 @@ from tallyloom.functions import names as nm
 from tallyloom.functions import times as tm
 from tallyloom.functions import tokens as tok
 from tallyloom.operators import board, quota, trend, usage
-from tallyloom.streaming import live
+from tallyloom.streaming import connection, live
 
 WINDOW = "struct<used_percent:double,window_mins:int,resets_at:timestamp>"
 SNAP = f"runtime string, snapshot_id bigint, captured_at timestamp, primary {WINDOW}, secondary {WINDOW}"
@@ -143,29 +143,20 @@ def test_live_states_and_disconnect(spark, rows):
         ("a", "failed", "t1", True), ("b", "waitingInput", None, True), ("c", "failed", "t2", True), ("e", "recorded", None, False)]
     assert rows(live.downgrade(states, False), "thread_id", "state", "is_realtime") == [
         ("a", "failed", False), ("b", "disconnected", False), ("c", "failed", False), ("e", "recorded", False)]
-    lost = events.unionByName(spark.createDataFrame([(None, 7, live.DISCONNECT, None, None, None, None, T0)], EVENT))
-    assert rows(live.fold_with_connection(lost), "thread_id", "state") == [("a", "failed"), ("b", "disconnected"), ("c", "failed"), ("e", "recorded")]
-
-
-def test_list_replaces_all_records(spark, rows):
-    stored = live.fold_events(spark.createDataFrame([("a", 1, "turn/started", None, None, "t1", "old", T0), ("gone", 2, "turn/started", None, None, "t2", None, T0)], EVENT))
-    listed = spark.createDataFrame(
-        [("a", 9, "active", None, None, None, False), ("new", 9, "active", "unknownFlag", "n", T0, False), ("sub", 9, "active", None, None, T0, True)],
-        "thread_id string, event_seq bigint, status string, flag string, name string, ts timestamp, hidden boolean")
-    assert rows(live.replace_list(stored, listed), "thread_id", "state", "name", "turn_id", "updated_at") == [
-        ("a", "running", "old", "t1", T0), ("new", "running", "n", None, T0)]
 
 
 def test_merge_order_does_not_matter(spark, rows):
     data = [("a", 1, "turn/started", None, None, "t1", None, T0), ("a", 2, "turn/completed", "completed", None, "t2", "n", T0),
             ("a", 3, "thread/status/changed", "idle", None, None, None, T0), ("b", 2, "turn/started", None, None, "x", None, T0)]
-    parts = [live.fold_events(spark.createDataFrame([r], EVENT)) for r in data]
-    whole = rows(live.fold_events(spark.createDataFrame(data, EVENT)), "thread_id", "state", "name", "turn_id", "event_seq")
+    fold = lambda part: connection.fold(spark.createDataFrame(part, EVENT).withColumns({"generation": F.lit(0), "hidden": F.lit(False)}))
+    parts, columns = [fold([r]) for r in data], ("thread_id", "state", "name", "turn_id", "event_seq", "listed_to")
+    whole = rows(fold(data), *columns)
+    assert whole == rows(live.fold_events(spark.createDataFrame(data, EVENT)).withColumn("listed_to", F.lit(None)), *columns)
     for order in ((0, 1, 2, 3), (3, 2, 1, 0), (2, 0, 3, 1)):
         out = parts[order[0]]
         for i in order[1:]:
-            out = live.combine_states(out.unionByName(parts[i]))
-        assert rows(out, "thread_id", "state", "name", "turn_id", "event_seq") == whole
+            out = connection.combine(out.unionByName(parts[i]))
+        assert rows(out, *columns) == whole
 
 
 def test_board_attention_order(spark, one):
