@@ -10,10 +10,15 @@ The window follows from the triangle inequality on symmetric differences: a set
 ``n - ceil(t n)`` shingles of this one, so a boundary document is replicated to that many regions and one more, and to
 no others.  Linked documents meet in a region.
 
-*Document pivots.*  Inside a region distances are informative.  Each round takes one document of every region as pivot
-and measures its distance exactly to the members whose sizes the window admits: those in its ball are linked, share its
-label, and are not compared with each other any more.  The rest recurses with the next pivot; when rounds stop
-paying, what is left (members of different components, admitted by size and place windows) is compared directly.
+*Document pivots.*  Groups of near copies fill whole regions, and most of their members are near, but not near enough, to each
+other: comparing them pair by pair grows with the square of the group.  So a region that holds many documents with the same
+few smallest hashes gets a document as pivot, the one in their middle.  The *exact difference* of every member to it is
+measured and kept.  Members in its ball are linked to it.  The others of its cell recurse: they are joined as sets of
+their differences, since what two documents share with the pivot cancels out.  By the triangle inequality their distance is
+at most the sum of their differences, and it is small enough for a link only if the differences share a known number of
+shingles; so the join takes prefixes of differences, the rarest shingles first, and copies with edits of their own meet
+nowhere.  Boundary documents, outside the cell but within the radius of it, take part on one side.  A cell's documents have
+then found all their links in that region and leave it.  This goes on until no region holds such a group; what is left is compared directly.
 
 The same inequality spares most distances: the hash slices of the universe are pivots too, and the difference of two
 documents' distances to them, summed up (the difference of their shingle counts by slice), is at most the size of their
@@ -35,7 +40,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .repeats import AnchorFilter, repeated_anchors
 from .tables import Scratch, filter_by_key, row_key, text_mark
-from .texts import LOWER, mix, prefix_hash, row_of, slices, substring_hash, words
+from .texts import LOWER, block_hash, mix, slices, words
 
 #: Words of a shingle, and the similarity in percent from which two documents link.
 SHINGLE, PERCENT = 3, 90
@@ -46,15 +51,21 @@ FREQUENT_SHARE = 0.001
 #: Hash slices whose shingles are counted per document: as 64 bytes, and as 16 bytes for the join of a region.
 SLICES, FEW = 64, 16
 
-#: Rounds with a document pivot per region before the rest is compared directly.
-ROUNDS = 3
+#: Members of a region with one likeness key from which they get a document as pivot; smallest hashes in the key.
+CROWD, SMALLEST = 16, 4
+
+#: Differences to a pivot are kept up to this share of both sets, in percent.
+WINDOW = 60
+
+
+_ODDS = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, 64-bit hash) of every n-gram of lower-cased words; a shorter text is one gram, one without words none."""
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
-    hashes = substring_hash(prefix_hash(data), starts, ends)
+    hashes = block_hash(data, starts, ends)
     counts = np.diff(first)
     size = np.minimum(counts, n)
     grams = np.maximum(counts - n + 1, counts > 0)
@@ -103,11 +114,13 @@ def _assign(texts: DataFrame, size: int, percent: int, frequent: AnchorFilter, r
                 rows = len(offsets) - 1
                 place, index, n = _first(row, rows, percent)
                 some = np.flatnonzero(n)
-                marks = np.zeros((2, rows), np.uint64)
+                marks, likeness = np.zeros((2, rows), np.uint64), np.zeros(rows, np.uint64)
                 if len(some):
                     heads = (np.cumsum(n) - n)[some]
                     for k in (0, 1):
                         marks[k, some] = np.add.reduceat(mix(gram ^ np.uint64(0x1234567 + 0x9E3779B97F4A7C15 * k)), heads)
+                    for odd in _ODDS[:SMALLEST]:
+                        likeness[some] = mix(likeness[some] + np.minimum.reduceat(gram * odd, heads))
                 slices_ = np.bincount(row * SLICES + (gram >> np.uint64(58)).astype(np.int64), minlength=rows * SLICES).reshape(rows, SLICES)
                 counts = np.minimum(slices_, 255).astype(np.uint8)
                 few = np.minimum(slices_.reshape(rows, FEW, -1).sum(2), 255).astype(np.uint8).view(np.int64)
@@ -116,11 +129,11 @@ def _assign(texts: DataFrame, size: int, percent: int, frequent: AnchorFilter, r
                 place, index = place[passes], index[passes]
                 ends = pa.array(np.append(0, np.cumsum(np.bincount(row[place], minlength=rows))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(1).slice(at, rows), batch.column(2).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists, pa.array(few[:, 0].copy()), pa.array(few[:, 1].copy()),
+                    batch.column(1).slice(at, rows), batch.column(2).slice(at, rows), pa.array(n.astype(np.int64)), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists, pa.array(few[:, 0].copy()), pa.array(few[:, 1].copy()), pa.array(likeness.view(np.int64)),
                     pa.ListArray.from_arrays(ends, pa.array(gram[place].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(index.astype(np.int32)))],
-                    ["doc", "mark", "n", "low", "high", "counts", "few_0", "few_1", "regions", "places"])
+                    ["doc", "mark", "n", "low", "high", "counts", "few_0", "few_1", "likeness", "regions", "places"])
 
-    return texts.select("text", "doc", "mark").mapInArrow(assign, "doc bigint, mark bigint, n bigint, low bigint, high bigint, counts binary, few_0 bigint, few_1 bigint, regions array<bigint>, places array<int>")
+    return texts.select("text", "doc", "mark").mapInArrow(assign, "doc bigint, mark bigint, n bigint, low bigint, high bigint, counts binary, few_0 bigint, few_1 bigint, likeness bigint, regions array<bigint>, places array<int>")
 
 
 def _close(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
@@ -137,35 +150,111 @@ def _close(pairs: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _sets(part: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of the texts of a column, each shingle of a row once, in order."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at, data, offsets in slices(part.column(column)):
+        row, gram = shingles(data, offsets, size)
+        row, gram = distinct_in_order(row, gram, np.zeros(len(row), bool))
+        found.append((row + at, gram))
+    row, gram = (np.concatenate(x) for x in zip(*found))
+    return row, gram
+
+
+def _differences(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles in both texts of a row and in either, and (row, shingle) of what only one of them has."""
+    row, gram = (np.concatenate(x) for x in zip(*(_sets(part, column, size) for column in (2, 3))))
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    twice = np.zeros(len(row) + 1, bool)
+    twice[1:-1] = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1])
+    both = np.bincount(row[twice[:-1]], minlength=part.num_rows)
+    alone = ~(twice[:-1] | twice[1:])
+    return both, np.bincount(row, minlength=part.num_rows) - both, row[alone], gram[alone]
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
+    # Pivots (a) are few and may be hot; the other side is fetched first, so that only ids cross before texts do.
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those (a, b) whose texts reach the similarity, measured on their whole sets."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sides = []
-                for column in (2, 3):
-                    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
-                    for at, data, offsets in slices(part.column(column)):
-                        row, gram = shingles(data, offsets, size)
-                        row, gram = distinct_in_order(row, gram, np.zeros(len(row), bool))
-                        found.append((row + at, gram))
-                    sides.append([np.concatenate(x) for x in zip(*found)])
-                row, gram = (np.concatenate(x) for x in zip(*sides))
-                order = np.lexsort((gram, row))
-                row, gram = row[order], gram[order]
-                both = np.bincount(row[1:][(row[1:] == row[:-1]) & (gram[1:] == gram[:-1])], minlength=part.num_rows)
-                every = np.bincount(row, minlength=part.num_rows) - both
+                both, every, _, _ = _differences(part, size)
                 keep = pa.array((100 * both >= percent * every) & (every > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    # Pivots (a) are few and may be hot; the other side is fetched first, so that only ids cross before texts do.
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(measure, "a bigint, b bigint")
+    return _with_texts(pairs, texts).mapInArrow(measure, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def _apart(pairs: DataFrame, texts: DataFrame, size: int, listed: bool) -> DataFrame:
+    """a, b, n_a, n_b, apart (size of the symmetric difference) and, if asked for, its shingles; pairs beyond the window go."""
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                both, every, row, gram = _differences(part, size)
+                apart, total = every - both, every + both
+                near = 100 * apart <= WINDOW * total
+                only = near[row] & listed
+                counts = np.bincount(row[only], minlength=part.num_rows)[near]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(gram[only].view(np.int64)))
+                keep = pa.array(near)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(total[near]), pa.array(apart[near]), lists], ["a", "b", "total", "apart", "difference"])
+
+    return _with_texts(pairs, texts).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
+
+
+def _middles(active: DataFrame, sets: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """rep of the pivots: of each crowd, the document nearest to one drawn from it.  Copies of one origin, each with edits of
+    its own, lie about the origin, so the nearest one has the fewest edits."""
+    crowds = active.groupBy("region", "likeness").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("rep").alias("draw"), "rep")).alias("drawn"))
+    crowds = scratch.keep(crowds.where(F.col("rows") >= CROWD).select("region", "likeness", F.col("drawn.rep").alias("a")))
+    pairs = scratch.keep(active.join(crowds, ["region", "likeness"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
+    nearest = _apart(pairs, sets, size, False).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("nearest"))
+    return scratch.keep(nearest.select(F.col("nearest.b").alias("rep")).distinct())
+
+
+def _cells(active: DataFrame, middles: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round: links to pivots, candidate pairs inside the cells, and (region, rep) of the documents that are done there."""
+    pivots = active.join(middles, "rep").select("region", F.col("rep").alias("p"), F.col("n").alias("n_p"))
+    met = scratch.keep(active.join(pivots, "region").where(f"rep <> p and least(n, n_p) * {100 + WINDOW} >= greatest(n, n_p) * {100 - WINDOW}").select("region", "p", "rep"))
+    measured = scratch.keep(_apart(met.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), sets, size, True))
+    # x in the cell (apart_x <= C (n_x + n_p)) and y linked to it: apart_y <= apart_x + (n_x + n_y) (1 - t) / (1 + t), and n_x <= n_y / t.
+    # With C = t W - (1 - t) that is within the window W (n_y + n_p), for a similarity of t.
+    cell = f"100 * 100 * apart <= {percent * WINDOW - 100 * (100 - percent)} * total"
+    known = measured.withColumnRenamed("a", "p").join(pivots.select("p", "n_p").distinct(), "p").withColumn("n", F.col("total") - F.col("n_p")).select(
+        "p", "b", "n", "apart", "difference", F.expr(f"{100 + percent} * apart <= {100 - percent} * total").alias("ball"), F.expr(cell).alias("cell"))
+    known = scratch.keep(known)
+
+    # Differences as sets of their own, rarest shingles first; those of one document only come before all others.
+    shingle = known.select("p", "b", F.explode("difference").alias("shingle"))
+    common = shingle.groupBy("p", "shingle").agg(F.count("*").alias("held")).where("held > 1")
+    ordered = shingle.join(common, ["p", "shingle"]).groupBy("p", "b").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    bounds = known.groupBy("p").agg(F.min("apart").alias("least"), F.max("n").alias("most"))
+    need = f"greatest(1, ceil(({100 + percent} * (apart + least) - {100 - percent} * (n + most)) / (2 * {100 + percent})))"
+    entries = known.drop("difference").join(ordered, ["p", "b"]).join(bounds, "p").withColumn("alone", F.col("apart") - F.size("shared"))
+    entries = entries.withColumn("take", F.expr(f"cast(greatest(0, least(size(shared), apart - {need} + 1 - alone)) as int)")).where("take > 0")
+    entries = scratch.keep(entries.select("p", "b", "n", "apart", "ball", "cell", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "s"), "alone").select(
+        "p", "b", "n", "apart", "ball", "cell", (F.col("at") + F.col("alone")).alias("at"), F.col("s.shingle").alias("shingle")))
+    other = entries.select("p", "shingle", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "apart", "ball", "cell", "at")))
+    # What follows the shingle where two differences meet first must still hold the shingles that a link needs them to share.
+    reach = f"2 * {100 + percent} * (1 + least(apart - at - 1, apart_2 - at_2 - 1)) >= {100 + percent} * (apart + apart_2) - {100 - percent} * (n + n_2)"
+    found = entries.where("cell").join(other, ["p", "shingle"]).where(f"b <> b_2 and (b < b_2 or not cell_2) and not (ball and ball_2) and {reach}")
+    pairs = found.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct()
+    links = known.where("ball").select(F.col("p").alias("a"), "b")
+    done = met.join(known.where("cell").select("p", F.col("b").alias("rep")), ["p", "rep"]).select("region", "rep")
+    own = pivots.select("region", F.col("p").alias("rep"))
+    return links, pairs, scratch.keep(done.unionByName(own).distinct())
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row (the smallest id reachable by links, itself included), mark and kept.
 
     A document's set holds the distinct n-grams of its words (A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+`` of the
@@ -198,11 +287,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min(key).alias("head")))
     # Sets are numbered in the order of their first documents, so that the smallest number has the smallest id.
     classes = scratch.keep(classes.sort("head").withColumn("rep", F.monotonically_increasing_id()))
-    known = scratch.keep(rows.where("n > 0").join(classes, ["n", "low", "high"]).select("doc", "mark", "n", "rep", "head", "counts", "few_0", "few_1", "regions", "places"))
+    known = scratch.keep(rows.where("n > 0").join(classes, ["n", "low", "high"]).select("doc", "mark", "n", "rep", "head", "counts", "few_0", "few_1", "likeness", "regions", "places"))
     heads = known.where(key == F.col("head"))
 
-    members = heads.select("n", "rep", "few_0", "few_1", F.explode(F.arrays_zip("regions", "places")).alias("r"))
-    members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n", "few_0", "few_1").agg(F.min("r.places").alias("place"))
+    members = heads.select("n", "rep", "few_0", "few_1", "likeness", F.explode(F.arrays_zip("regions", "places")).alias("r"))
+    members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n", "few_0", "few_1", "likeness").agg(F.min("r.places").alias("place"))
     active = scratch.keep(_several(members.withColumn("component", F.col("rep")), "rep", scratch))
     links: list[DataFrame] = []
     wanted = scratch.keep(active.select(F.col("rep").alias("doc")).distinct())
@@ -213,36 +302,27 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     admitted = f"least(n, n_p) * 100 >= {percent} * greatest(n, n_p) and (100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n_p)"
     counts = scratch.keep(heads.select(F.col("rep").alias("doc"), "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
     ours = [F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("few_0").alias("few_0_p"), F.col("few_1").alias("few_1_p"), F.col("component").alias("component_p")]
-    for step in range(rounds + 1):
-        if active.isEmpty():
+    while not active.isEmpty():
+        middles = _middles(active, sets, size, scratch)
+        if middles.isEmpty():
             break
-        if step < rounds:
-            drawn = active.withColumn("draw", F.xxhash64(F.lit(step), "rep"))
-            least = scratch.keep(drawn.groupBy("region").agg(F.min("draw").alias("draw")))
-            pivots = scratch.keep(drawn.join(least, ["region", "draw"]).select("region", *ours).dropDuplicates(["region"]))
-            near = active.join(pivots, "region").where(f"component <> component_p and {admitted}")
-        else:
-            # All links so far, joined up, so that what they connect is not compared again.
-            reached = components(reduce(DataFrame.unionByName, links), scratch) if links else active.select(F.col("rep").alias("node"), "component").limit(0)
-            active = active.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            active = scratch.keep(_several(active, "component", scratch))
-            other = active.select("region", *ours, F.col("place").alias("place_p"))
-            # In the first region two linked sets share, what follows must still hold the intersection they need.
-            reach = f"(100 + {percent}) * (1 + least(n - place - 1, n_p - place_p - 1)) >= {percent} * (n + n_p)"
-            near = active.join(other, "region").where(f"component < component_p and {admitted} and {reach}")
-        pairs = scratch.keep(near.groupBy(F.col("p").alias("a"), F.col("rep").alias("b")).agg(F.min("component").alias("component"), F.min("component_p").alias("component_p")))
+        to_pivots, pairs, done = _cells(active, middles, sets, size, percent, scratch)
+        links += [scratch.keep(to_pivots), scratch.keep(_linked(_close(pairs, counts, percent), sets, size, percent))]
+        active = scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
+
+    if not active.isEmpty():
+        # All links so far, joined up, so that what they connect is not compared again.
+        reached = components(reduce(DataFrame.unionByName, links), scratch) if links else active.select(F.col("rep").alias("node"), "component").limit(0)
+        active = active.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        active = scratch.keep(_several(active, "component", scratch))
+        other = active.select("region", *ours, F.col("place").alias("place_p"))
+        # In the first region two linked sets share, what follows must still hold the intersection they need.
+        reach = f"(100 + {percent}) * (1 + least(n - place - 1, n_p - place_p - 1)) >= {percent} * (n + n_p)"
+        near = active.join(other, "region").where(f"component < component_p and {admitted} and {reach}")
+        pairs = scratch.keep(near.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct())
         many = pairs.count()
-        close = scratch.keep(_close(pairs.select("a", "b"), counts, percent).distinct(), many)
-        found = scratch.keep(_linked(close, sets, size, percent).distinct(), many)
-        links.append(found)
-        if step < rounds:
-            # A document in a pivot's ball takes the pivot's label; the links themselves are joined up at the end.
-            ball = found.join(pairs, ["a", "b"]).groupBy(F.col("b").alias("rep")).agg(F.min("component_p").alias("nearer"))
-            relabelled = active.join(scratch.keep(ball, many), "rep", "left").withColumn("component", F.least("component", "nearer")).drop("nearer")
-            after = scratch.keep(_several(relabelled, "component", scratch))
-            scratch.free(active)
-            active = after
-        scratch.free(pairs)
+        close = scratch.keep(_close(pairs, counts, percent).distinct(), many)
+        links.append(scratch.keep(_linked(close, sets, size, percent).distinct(), many))
 
     if links:
         joined = components(reduce(DataFrame.unionByName, links), scratch)

@@ -2,8 +2,8 @@
 
 The minimiser of a window of words is the smallest hash of the word 3-grams in it.  Consecutive windows sharing a
 minimiser travel as one packed string (words joined by a space) to the minimiser's bucket.  There the words of all
-strings get integer names by content, and the windows are sorted as rows of names: equal windows become neighbours,
-exactly, whatever the hashes were.
+strings get integer names by content, and the windows are sorted as rows of names: equal windows become neighbours by
+content.  Only whole packed strings are united by hash (128 bits of their anchor and their bytes).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .repeats import Runs, anchor_hash, context_runs, passing_runs, remove_repeats
-from .texts import IS_BLANK, mix, prefix_hash, row_of, substring_hash, words
+from .texts import IS_BLANK, block_hash, mix, row_of, words
 
 #: Words of a window, and of the grams whose smallest hash is the minimiser.
 WINDOW, GRAM = 13, 3
@@ -31,7 +31,7 @@ def _windows(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     starts, ends, first = words(data, offsets)
     if len(starts) < window:
         return None
-    hashes = substring_hash(prefix_hash(data), starts, ends)
+    hashes = block_hash(data, starts, ends)
     row = row_of(np.arange(len(starts) - window + 1), first)
     at = np.flatnonzero(np.arange(len(row)) + window <= first[row + 1])
     row = row[at]
@@ -89,7 +89,7 @@ def remove_repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 
 def _fingerprint(runs: Runs) -> np.ndarray:
-    return substring_hash(prefix_hash(runs.data), runs.begin, runs.end)
+    return block_hash(runs.data, runs.begin, runs.end)
 
 
 def _lowest(offsets: np.ndarray, data: np.ndarray, n: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:

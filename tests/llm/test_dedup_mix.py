@@ -9,8 +9,10 @@ import pytest
 import corpus_pipeline
 from tallyloom.llm.components import components
 from tallyloom.llm.exact_dedup import exact_duplicates
+from tallyloom.llm import jaccard_join
 from tallyloom.llm.jaccard_join import jaccard_components
 from tallyloom.llm.mixing import mix, targets
+from tallyloom.llm.substring_dedup import remove_repeated_words
 from tallyloom.llm.tables import Scratch, decided
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -70,9 +72,10 @@ def brute_jaccard(rows, percent=90):
     return sorted((i, len(sets[i]), find(i)) for i in sets)
 
 
-@pytest.mark.parametrize("seed, rounds", [(0, 4), (1, 0), (2, 1)])
-def test_jaccard_against_brute_force(spark, seed, rounds):
-    """Chains of edits, copies, short texts and a passage in many texts; with any number of pivot rounds."""
+@pytest.mark.parametrize("seed, crowd", [(0, 2), (1, 16), (2, 3)])
+def test_jaccard_against_brute_force(spark, monkeypatch, seed, crowd):
+    """Chains of edits, copies, short texts and a passage in many texts; with pivots for tiny groups too."""
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
     r = random.Random(seed)
     word = lambda: f"W{r.randint(0, 400)}"
     common = [word() for _ in range(25)]
@@ -87,11 +90,68 @@ def test_jaccard_against_brute_force(spark, seed, rounds):
     rows += ["", " \n", None, "ONE", "one", "a b", "A B"]
     rows = list(zip(r.sample(range(1000), len(rows)), rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(docs, rounds=rounds).collect())
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(docs).collect())
     assert got == brute_jaccard(rows)
     assert any(a != c for a, _, c in got)
 
 
+@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch, size, percent):
+    """Copies of one text with none to many edits of their own: links on both sides of the limit, few pairs compared."""
+    r = random.Random(size)
+    base = [f"w{r.randint(0, 2000)}" for _ in range(150)]
+    texts = []
+    for k in range(500):
+        text = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5, 8, 12])):
+            text[r.randrange(150)] = f"e{r.randint(0, 10**9)}"
+        texts.append(text)
+        if k % 10 == 0:
+            texts.append([*text[:-1], f"e{k}"])  # a near copy of an edited copy
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    compared = []
+    for name in ("_linked", "_apart"):
+        def spied(pairs, *rest, inner=getattr(jaccard_join, name)):
+            compared.append(pairs.count())
+            return inner(pairs, *rest)
+
+        monkeypatch.setattr(jaccard_join, name, spied)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.component_id for x in jaccard_components(docs, size=size, percent=percent).collect()}
+    sets = [frozenset(tuple(t[k : k + size]) for k in range(len(t) - size + 1)) for t in texts]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for a, one in enumerate(sets):
+        for b in range(a):
+            if 100 * len(one & sets[b]) >= percent * len(one | sets[b]):
+                links += one != sets[b]
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert got == {k: find(k) for k in range(len(rows))} and 100 < len(set(got.values())) < 450
+    assert links > 3_000 and sum(compared) < 10 * len(rows), compared
+
+
+def test_jaccard_of_long_words_made_to_collide(spark):
+    """Two words of 1,024 letters, each the other's complement, have one hash in any polynomial modulo 2**64."""
+    bits = ["a"]
+    for _ in range(10):
+        bits.append("".join("b" if c == "a" else "a" for c in "".join(bits)))
+    one = "".join(bits)
+    other = "".join("b" if c == "a" else "a" for c in one)
+    assert len(one) == 1024
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+    tail = " " + " ".join(f"t{k}" for k in range(12))
+    got = {x.doc_id: x.n_removed for x in remove_repeated_words(spark.createDataFrame([(1, one + tail), (2, other + tail), (3, one + tail)], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
 def test_jaccard_null_ids_and_empty(spark):
     text = " ".join(map(str, range(50)))
     docs = spark.createDataFrame([(None, text, 1), (9, text, 2), (9, text, 3), (4, "", 4)], "doc_id long, text string, component_id long")
