@@ -18,7 +18,7 @@ from tallyloom.functions import tokens as tok
 from tallyloom.operators import (
     board, counters, intervals, lineage, ordered, quota, rankings, scoring, skills, transcripts, trend, usage, worktime,
 )
-from tallyloom.plans import derived, ledger, views
+from tallyloom.plans import derived, ledger, rounds, views
 from tallyloom.plans.views import EVENTS_AS_OF, ORDERS_AS_OF
 from tallyloom.schemas import TOKEN_COLUMNS
 from tallyloom.session import materialise, prepare
@@ -137,6 +137,13 @@ def s08_changed_files(spark, d):
     )
 
 
+@query
+def s08_refreshed_store(spark, d):
+    """Rows kept by the store after files were added, replaced, deleted and put back; equals a full parse."""
+    return rounds.refreshed_transcripts(spark, d).groupBy("message_id", "model").agg(
+        F.count("*").alias("line_count"), F.sum("input").alias("input"), F.sum("output").alias("output"), F.sum("cache_read").alias("cache_read"))
+
+
 @query
 def s09_pruned_threads(spark, d):
     return thread_source.updated_since(views.threads(spark, d), ORDERS_AS_OF).select("thread_id", "updated_at")
@@ -189,6 +196,12 @@ def s12_notifications(spark, d):
     return notifications.notification_rows(parsed).select("thread_id", "event_seq", "method", "status", "flag", "turn_id", "name", "hidden")
 
 
+@query
+def s12_tailed_notifications(spark, d):
+    """The notifications again, from files that grow between two runs: every line once."""
+    return rounds.tailed_notifications(spark, d).select("thread_id", "event_seq", "method", "status", "flag", "turn_id", "name", "hidden")
+
+
 # =================================================================== projections
 
 

@@ -16,7 +16,7 @@ from tallyloom.operators import (
 )
 from tallyloom.schemas import TOKEN_COLUMNS
 from tallyloom.session import materialise
-from tallyloom.sources import logs, sinks, threads as thread_source
+from tallyloom.sources import increments, logs, sinks, threads as thread_source
 
 LEDGER_COLUMNS = (
     "runtime", "thread_id", "seq", "project_path", "model", "ts", *TOKEN_COLUMNS, "cost_usd", "source_quality",
@@ -127,12 +127,18 @@ def snapshot(
     )
 
 
-def read_everything(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame) -> DataFrame:
-    """Ledger of both runtimes from their files, however old."""
-    log, _ = log_ledger(logs.scan_session_logs(spark, log_path), threads)
+def read_everything(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame, store: str | None = None) -> DataFrame:
+    """Ledger of both runtimes from their files, however old.
+
+    With a ``store`` folder the parsed records are kept between runs, and only new and changed files are read.
+    """
+    def records(path: str, scan: increments.Scan, name: str) -> DataFrame:
+        return increments.FileStore(spark, f"{store.rstrip('/')}/{name}").refresh(path, scan) if store else scan(spark, path)
+
+    log, _ = log_ledger(records(log_path, logs.scan_session_logs, "logs"), threads)
     frames = [log]
     if transcript_path:
-        frames.append(transcript_ledger(logs.scan_transcripts(spark, transcript_path)))
+        frames.append(transcript_ledger(records(transcript_path, logs.scan_transcripts, "transcripts")))
     return thread_source.union_runtimes(frames)
 
 

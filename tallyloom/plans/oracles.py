@@ -572,6 +572,11 @@ twin(
     """select 'd/' || doc_id as file_path, 'changed' as state from documents where doc_id % 7 <> 0 and (doc_id % 3 = 0 or doc_id % 5 = 0 or doc_id % 11 = 0)
     union all select 'd/' || doc_id, 'live' from documents where doc_id % 7 <> 0 and doc_id % 3 <> 0""",
 )
+twin(
+    "s08_refreshed_store",
+    "select message_id, model, count(*) as line_count, cast(sum(input) as bigint) as input, cast(sum(output) as bigint) as output, cast(sum(cache_read) as bigint) as cache_read from f6 where conv_id % 5 <> 1 group by 1, 2",
+    "f6",
+)
 twin("s09_pruned_threads", "select thread_id, updated_at from f3 where updated_at >= timestamp '2001-08-01' - interval 34 day", "f3")
 twin(
     "s10_runtime_union",
@@ -594,6 +599,12 @@ twin(
     "f7",
 )
 
+twin(
+    "s12_tailed_notifications",
+    "select thread_id, event_seq, method, status, flag, turn_id, name, event_seq % 11 = 0 as hidden from f7 where event_seq % 7 <> 0",
+    "f7",
+)
+
 # =================================================================== projections
 
 twin(

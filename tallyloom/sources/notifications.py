@@ -1,4 +1,4 @@
-"""Thread notifications as a stream of JSON files."""
+"""Thread notifications as a stream of JSON lines."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import names as nm
+from tallyloom.sources.tail import appended_lines
 
 NOTIFICATION = (
     "method string, id string, seq bigint, at timestamp, params struct<"
@@ -32,7 +33,11 @@ def notification_rows(raw: DataFrame) -> DataFrame:
     )
 
 
-def stream_notifications(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_notifications(spark: SparkSession, path: str, growing: bool = False, max_files: int | None = None) -> DataFrame:
+    """Notifications of a folder as a stream: whole new files, or with ``growing`` the lines appended to any file."""
+    if growing:
+        lines = appended_lines(spark, path)
+        return notification_rows(lines.select(F.from_json("value", NOTIFICATION).alias("n")).select("n.*"))
     reader = spark.readStream.schema(NOTIFICATION)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)

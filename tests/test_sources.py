@@ -235,34 +235,64 @@ def test_a_huge_skill_file_is_listed_only(spark, tmp_path, rows):
 
 
 def test_refresh_reads_changed_files_only(spark, tmp_path, rows):
-    """Append, change, delete, a file put back with an old time, and nothing at all; each equals a full parse."""
-    root, store = tmp_path / "day 1", str(tmp_path / "store")
+    """Append, change, delete, a file put back with an old time, odd names, and nothing at all; each equals a full parse."""
+    root, store = tmp_path / "day 1", increments.FileStore(spark, str(tmp_path / "store"), buckets=8)
     line = lambda m: {"timestamp": "2026-07-01T01:00:00Z", "type": "turn_context", "payload": {"model": m}}
     opened = []
 
     def scan(session, path, **options):
-        opened.append(options.get("modified_after"))
+        opened.append(sorted(os.path.basename(p) for p in path) if isinstance(path, list) else path)
         return logs.scan_session_logs(session, path, **options)
 
     def check():
-        got = rows(increments.refresh(spark, str(root), store, scan), "file_path", "line_no", "payload.model")
+        opened.clear()
+        # Line numbers only order the lines of a file.
+        lines = lambda df: [(f, m) for f, _, m in sorted(map(tuple, df.select("file_path", "line_no", "payload.model").collect()))]
+        got = lines(store.refresh(str(root), scan))
         full = logs.scan_session_logs(spark, str(root)).withColumn("file_path", logs.plain_path("file_path"))
-        assert got == rows(full, "file_path", "line_no", "payload.model")
-        return [m for _, _, m in got]
+        assert got == lines(full) == lines(store.current())
+        return [m for _, m in got]
 
     def put(name, models, at):
         write(root / name, [line(m) for m in models])
         os.utime(root / name, (at, at))
 
+    def written(version):
+        folder = tmp_path / "store" / "rows" / f"version={version}"
+        return {d for d in os.listdir(folder) if d.startswith("bucket=")} if folder.exists() else set()
+
     put("a.jsonl", ["a"], 1_780_000_000)
     put("b.jsonl", ["b"], 1_780_000_000)
-    assert check() == ["a", "b"]
-    put("c.jsonl", ["c", "d"], 1_780_000_100)
-    assert check() == ["a", "b", "c", "d"] and opened[-1] is not None
+    for k in range(12):
+        put(f"x{k}.jsonl", ["x"], 1_780_000_000)
+    assert check() == ["a", "b", *["x"] * 12]
+    put("c[1].jsonl", ["c", "d"], 1_780_000_100)
+    assert check() == ["a", "b", "c", "d", *["x"] * 12] and opened == [["c\\[1\\].jsonl"]] and len(written(1)) == 1
     put("a.jsonl", ["a2", "a3"], 1_780_000_200)
     (root / "b.jsonl").unlink()
-    assert check() == ["a2", "a3", "c", "d"] and opened[-1] is not None
-    put("c.jsonl", ["old"], 1_770_000_000)
-    assert check() == ["a2", "a3", "old"] and opened[-1] is None
-    assert check() == ["a2", "a3", "old"]
-    assert len([d for d in os.listdir(store) if d.isdigit()]) == 2
+    assert check() == ["a2", "a3", "c", "d", *["x"] * 12] and opened == [["a.jsonl"]] and len(written(2)) <= 2
+    put("c[1].jsonl", ["old"], 1_770_000_000)
+    assert check() == ["a2", "a3", "old", *["x"] * 12] and opened == [["c\\[1\\].jsonl"]]
+    before = store.versions()
+    assert check() == ["a2", "a3", "old", *["x"] * 12] and opened == [] and store.versions() == before and len(before) == 2
+    named = store._parts(store.manifest(before[-1])) | store._parts(store.manifest(before[-2]))
+    assert all((v, int(d[7:])) in named for v in range(4) for d in written(v))  # nothing else is left
+    for name in list(os.listdir(root)):
+        (root / name).unlink()
+    assert check() == []
+
+
+def test_a_failed_refresh_leaves_the_last_version(spark, tmp_path, rows):
+    store = increments.FileStore(spark, str(tmp_path / "store"), buckets=4)
+    write(tmp_path / "in" / "a.jsonl", [{"type": "turn_context", "payload": {"model": "a"}}])
+    store.refresh(str(tmp_path / "in"), logs.scan_session_logs)
+    write(tmp_path / "in" / "b.jsonl", [{"type": "turn_context", "payload": {"model": "b"}}])
+
+    def broken(session, path):
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        store.refresh(str(tmp_path / "in"), broken)
+    assert rows(store.current(), "payload.model") == [("a",)]
+    assert rows(store.refresh(str(tmp_path / "in"), logs.scan_session_logs), "payload.model") == [("a",), ("b",)]
+
