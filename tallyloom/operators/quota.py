@@ -167,14 +167,20 @@ def status(as_of: str | Column, has_quota: Column, has_usage: Column, exists: Co
     )
 
 
-def latest_status(committed: DataFrame, as_of: str) -> DataFrame:
-    """Status of every runtime from its latest snapshot."""
+def latest_status(committed: DataFrame, as_of: str | Column, runtimes: DataFrame | None = None) -> DataFrame:
+    """Status of every runtime from its latest snapshot.
+
+    ``runtimes`` names all runtimes with ``exists`` (its status file is there) and ``has_usage`` (local usage was found);
+    ``as_of`` may be one of its columns.  Without it only runtimes that have a snapshot are reported, whose file then exists.
+    """
     latest = committed.groupBy("runtime").agg(
         F.max_by(F.struct("captured_at", _any_window().alias("has_quota")), F.struct("captured_at", "snapshot_id")).alias("s")
     )
-    return latest.select(
+    known = latest.withColumns({"exists": F.lit(True), "has_usage": F.lit(True)}) if runtimes is None else runtimes.join(latest, "runtime", "left")
+    held = F.coalesce("s.has_quota", F.lit(False))
+    return known.select(
         "runtime", F.col("s.captured_at").alias("captured_at"),
-        status(as_of, F.col("s.has_quota"), F.lit(True), F.lit(True), F.col("s.captured_at")).alias("status"),
+        status(as_of, held, F.col("has_usage"), F.col("exists"), F.col("s.captured_at")).alias("status"),
     )
 
 

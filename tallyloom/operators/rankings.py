@@ -9,6 +9,7 @@ from tallyloom.functions import names as nm
 from tallyloom.functions import tokens as tok
 from tallyloom.functions.measures import bar_ratio
 from tallyloom.functions.times import as_instant, day_start, local_day
+from tallyloom.operators import transcripts
 from tallyloom.schemas import MONEY, TOKEN_COLUMNS
 
 RECENT_THREADS = {"log": 5, "transcript": 12, "all": 12}
@@ -27,13 +28,36 @@ def recent_threads(threads: DataFrame, k: int = RECENT_THREADS["log"]) -> DataFr
     return threads.orderBy(F.desc_nulls_last("updated_at"), "thread_id").limit(k)
 
 
-def transcript_threads(ledger: DataFrame, k: int = RECENT_THREADS["transcript"]) -> DataFrame:
+def transcript_sessions(lines: DataFrame) -> DataFrame:
+    """Every transcript file as a thread: (thread_id, title, tokens_used, updated_at, model, cwd, archived).
+
+    ``lines`` are scanned transcript lines.  A file's tokens are its own: of lines with one message id the first with
+    usage counts, messages that another file holds too count here as well, and a file without usage stays with zero.
+    The last line that names a model or a folder decides, also one without usage; the time is the latest of its lines and,
+    where the lines carry it (``modified_at``), of the file.
+    """
+    own = F.coalesce("message_id", F.concat(F.lit("#"), F.col("line_no").cast("string")))
+    used = transcripts.usage_vector(lines).groupBy("file_path", own.alias("message")).agg(F.min_by(tok.visible_total(), "line_no").alias("tokens"))
+    tokens = used.groupBy("file_path").agg(F.sum("tokens").alias("tokens_used"))
+    latest = F.max("ts") if "modified_at" not in lines.columns else F.greatest(F.max("ts"), F.max("modified_at"))
+    last = lambda c: F.max_by(c, F.when(F.col(c) != "", F.col("line_no")))
+    files = lines.groupBy("file_path").agg(
+        F.min("session_id").alias("thread_id"), latest.alias("updated_at"), last("model").alias("model"),
+        F.coalesce(last("cwd"), F.min("seed_project"), F.lit("")).alias("cwd"))
+    title = F.when(F.col("cwd") == "", TRANSCRIPT_PROJECT).otherwise(F.coalesce(F.nullif(nm.last_component("cwd"), F.lit("")), "cwd"))
+    return files.join(tokens, "file_path", "left").select(
+        "thread_id", title.alias("title"), F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), "updated_at", "model", "cwd",
+        F.lit(False).alias("archived"), "file_path")
+
+
+def transcript_threads(lines: DataFrame, k: int = RECENT_THREADS["transcript"]) -> DataFrame:
     """Transcript sessions as recent threads."""
-    per_session = ledger.groupBy("thread_id").agg(
-        F.sum(tok.visible_total()).alias("tokens_used"), F.max("ts").alias("updated_at"),
-        F.max_by("project_path", F.struct("ts", "seq")).alias("cwd"),
-    )
-    return recent_threads(per_session, k)
+    return recent_threads(transcript_sessions(lines), k)
+
+
+def merge_threads(threads: DataFrame, k: int = RECENT_THREADS["all"]) -> DataFrame:
+    """The recent threads of all runtimes, each already a short list, as one."""
+    return threads.orderBy(F.desc_nulls_last("updated_at"), "runtime", "thread_id").limit(k)
 
 
 # ------------------------------------------------------------------- projects
@@ -151,15 +175,19 @@ def tools_by_share(calls: DataFrame, ledger: DataFrame) -> DataFrame:
     joined = per_tool.join(per_session, "thread_id").join(usage, "thread_id", "left")
     share = F.col("calls").cast("double") / F.col("all_calls")
     used = F.col("session_tokens") > 0
-    # The exact share of the cost is calls * cost / all_calls; twelve decimals are summed.
-    cost = (F.col("cost_usd").cast("decimal(24,9)") * F.col("calls").cast("decimal(10,0)") / F.col("all_calls").cast("decimal(10,0)"))
+    # The share of the cost is calls * cost / all_calls.  Whole nano dollars are divided by all calls first, so that neither
+    # the product nor the quotient of the rest leaves 38 digits, whatever the number of calls.
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    nano = joined.withColumn("nano", (F.col("cost_usd") * 1_000_000_000).cast("bigint"))
+    joined = nano.withColumns({"each": F.expr("nano div all_calls"), "rest": F.expr("nano % all_calls")})
+    cost = whole("each") * whole("calls") + whole("rest") * whole("calls") / whole("all_calls")
     spread = joined.select(
         "tool_name", "calls",
         F.when(used, F.round(F.col("session_tokens") * share).cast("bigint")).otherwise(0).alias("tokens"),
-        F.when(used, cost.cast("decimal(38,12)")).otherwise(F.lit(0).cast("decimal(38,12)")).alias("cost"),
+        F.when(used, cost.cast("decimal(32,6)")).otherwise(F.lit(0).cast("decimal(32,6)")).alias("nano"),
     )
     return spread.groupBy("tool_name").agg(
-        F.sum("calls").alias("call_count"), F.sum("tokens").alias("_t"), F.sum("cost").alias("_c")
+        F.sum("calls").alias("call_count"), F.sum("tokens").alias("_t"), (F.sum("nano") / F.lit(1_000_000_000).cast("decimal(10,0)")).alias("_c")
     ).select(
         "tool_name", nm.tool_category("tool_name", "log").alias("category"), "call_count",
         F.when(F.col("_t") > 0, F.col("_t")).alias("estimated_tokens"),

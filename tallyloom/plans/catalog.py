@@ -554,7 +554,19 @@ def a06_recent_threads(spark, d):
 
 @query
 def a06_recent_transcripts(spark, d):
-    return rankings.transcript_threads(transcripts.ledger(views.transcript_lines(spark, d)))
+    """Every file's own usage, resumed sessions and files without usage included."""
+    return rankings.transcript_threads(derived.resumed_lines(spark, d)).drop("file_path")
+
+
+@query
+def a14_recent_threads(spark, d):
+    """The recent threads of both runtimes in one list."""
+    columns = ("thread_id", "title", "tokens_used", "updated_at", "cwd", "archived")
+    log = rankings.recent_threads(views.threads(spark, d)).select(F.lit("log").alias("runtime"), *columns)
+    # Both fixtures end on the same day.
+    moved = F.col("updated_at") + F.make_dt_interval(days=F.lit(derived.DAYS_APART))
+    other = rankings.transcript_threads(derived.resumed_lines(spark, d)).select(F.lit("transcript").alias("runtime"), *columns).withColumn("updated_at", moved)
+    return rankings.merge_threads(log.unionByName(other))
 
 
 @query
@@ -907,7 +919,7 @@ def q06_reset_credits(spark, d):
 
 @query
 def q07_runtime_status(spark, d):
-    return quota.latest_status(quota.understand(views.quota_documents(spark, d)), EVENTS_AS_OF)
+    return quota.latest_status(quota.understand(derived.quota_of_some(spark, d)), F.col("checked_at"), derived.runtimes(spark, d))
 
 
 # ========================================================================== board
@@ -943,7 +955,7 @@ def b05_column_summary(spark, d):
 @query
 def b06_attention(spark, d):
     merged = board.merge_live(_board(spark, d), _live(spark, d), derived.BOARD_AS_OF)
-    statuses = quota.latest_status(quota.understand(views.quota_documents(spark, d)), EVENTS_AS_OF).withColumnRenamed("captured_at", "since")
+    statuses = quota.latest_status(quota.understand(derived.quota_of_some(spark, d)), F.col("checked_at"), derived.runtimes(spark, d)).withColumnRenamed("captured_at", "since")
     return board.attention(merged, statuses)
 
 

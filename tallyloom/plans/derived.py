@@ -366,6 +366,34 @@ def live_events(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("thread_id", (F.col("event_seq") * 2 % many).cast("string")).withColumn("ts", at)
 
 
+#: Moves transcripts to the days of the thread table, so that a list of both mixes them.
+DAYS_APART = -8193
+
+
+def runtimes(spark: SparkSession, d: str) -> DataFrame:
+    """Every user as a runtime: whether its status file exists, whether it has usage, and when it is looked at."""
+    n = F.col("user_id")
+    last = views.events(spark, d).groupBy("user_id").agg(F.max("ts").alias("last_ts"))
+    soon = F.col("last_ts") + F.expr("interval 10 minutes")
+    return last.select(n.cast("string").alias("runtime"), (n % 3 != 0).alias("exists"), (n % 2 == 0).alias("has_usage"),
+                       F.when(n % 4 == 0, F.to_timestamp(F.lit(views.EVENTS_AS_OF))).otherwise(soon).alias("checked_at"))
+
+
+def quota_of_some(spark: SparkSession, d: str) -> DataFrame:
+    """Quota snapshots of the runtimes that wrote any: all but every fifth."""
+    return views.quota_documents(spark, d).where(F.col("runtime").cast("bigint") % 5 != 0)
+
+
+def resumed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """F6 and, of every fourth conversation, a file that resumes it: the same messages a minute later, every third of those files without usage."""
+    lines = views.transcript_lines(spark, d)
+    number = F.col("session_id").cast("bigint")
+    used = {c: F.when(number % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col(c)) for c in ("input", "cache_read", "cache_create", "output")}
+    again = lines.where(number % 4 == 0).withColumns(used).withColumns({
+        "file_path": F.concat(F.lit("d"), F.substring("file_path", 2, 100)), "session_id": F.concat(F.lit("r"), "session_id"), "ts": F.col("ts") + F.expr("interval 1 minute")})
+    return lines.unionByName(again)
+
+
 def limit_documents(spark: SparkSession, d: str) -> DataFrame:
     """Rate-limit responses: named and default entries, malformed slots, credits."""
     e = views.events(spark, d)

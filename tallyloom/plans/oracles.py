@@ -417,9 +417,11 @@ view(
 )
 view(
     "lastq",
-    f"""select runtime, captured_at, case when {EVENTS_NOW} - captured_at > interval 900 second then 'stale' when coalesce("fiveHour_used", "sevenDay_used", monthly_used) is not null then 'available' else 'localOnly' end as status
-    from (select *, row_number() over (partition by runtime order by captured_at desc, snapshot_id desc) as rn from commit0) where rn = 1""",
-    "commit0",
+    f"""select runtime, captured_at, case when looked_at - captured_at > interval 900 second then 'stale' when has_quota then 'available' when n % 3 <> 0 then 'localOnly' when n % 2 = 0 then 'snapshotNeeded' else 'unavailable' end as status
+    from (select user_id as n, cast(user_id as varchar) as runtime, case when user_id % 4 = 0 then {EVENTS_NOW} else max(ts) + interval 10 minute end as looked_at from ev group by user_id)
+    left join (select runtime, captured_at, coalesce("fiveHour_used", "sevenDay_used", monthly_used) is not null as has_quota from (
+      select *, row_number() over (partition by runtime order by captured_at desc, snapshot_id desc) as rn from commit0) where rn = 1 and cast(runtime as bigint) % 5 <> 0) using (runtime)""",
+    "commit0", "ev",
 )
 
 # ------------------------------------------------------------------ F5, F6, F7
@@ -897,10 +899,26 @@ view(
 )
 twin("a05_thread_totals", "select * from tot3", "tot3")
 twin("a06_recent_threads", "select thread_id, title, tokens_used, updated_at, cwd, archived from f3 order by updated_at desc, thread_id limit 5", "f3")
-twin(
-    "a06_recent_transcripts",
-    """select thread_id, cast(sum(total_tokens) as bigint) as tokens_used, max(ts) as updated_at, arg_max(project_path, (ts, seq)) as cwd from f6l group by thread_id order by max(ts) desc, thread_id limit 12""",
-    "f6l",
+view(
+    "resumed",
+    """select file_path, session_id, line_no, ts, message_id, model, cwd, seed_project, input + cache_create + cache_read + output as used from f6
+    union all select 'd' || substr(file_path, 2), 'r' || session_id, line_no, ts + interval 1 minute, message_id, model, cwd, seed_project, case when conv_id % 3 = 0 then 0 else input + cache_create + cache_read + output end from f6 where conv_id % 4 = 0""",
+    "f6",
+)
+view(
+    "sessions6",
+    """select session_id as thread_id, coalesce(nullif(regexp_extract(folder, '([^/]+)/*$', 1), ''), folder) as title, cast(coalesce(own, 0) as bigint) as tokens_used, updated_at, model, folder as cwd, false as archived
+    from (select file_path, any_value(session_id) as session_id, max(ts) as updated_at, arg_max(model, line_no) filter (model is not null) as model, coalesce(arg_max(cwd, line_no) filter (cwd is not null), any_value(seed_project)) as folder from resumed group by file_path)
+    left join (select file_path, sum(used) as own from (select *, row_number() over (partition by file_path, coalesce(message_id, '#' || line_no) order by line_no) as nth from resumed where used > 0) where nth = 1 group by file_path) using (file_path)""",
+    "resumed",
+)
+RECENT6 = "select * from sessions6 order by updated_at desc, thread_id limit 12"
+twin("a06_recent_transcripts", RECENT6, "sessions6")
+twin(
+    "a14_recent_threads",
+    f"""select * from (select 'log' as runtime, thread_id, title, tokens_used, updated_at, cwd, archived from (select * from f3 order by updated_at desc, thread_id limit 5)
+      union all select 'transcript', thread_id, title, tokens_used, updated_at - interval 8193 day, cwd, archived from ({RECENT6})) order by updated_at desc, runtime, thread_id limit 12""",
+    "f3", "sessions6",
 )
 PROJECTS7 = f"""select project_path as project_id, substr(project_path, 4) as name, project_path as full_path, cast(sum(total_tokens) as bigint) as tokens, sum(nano) as nano, count(distinct thread_id) as thread_count,
   max(ts) as last_active_at, 'detailed' as source_quality from f1p where ts >= timestamp '2024-01-24' group by project_path having sum(total_tokens) > 0"""
