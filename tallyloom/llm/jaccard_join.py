@@ -173,8 +173,8 @@ def _differences(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
     return both, np.bincount(row, minlength=part.num_rows) - both, row[alone], gram[alone]
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+def _with_texts(pairs: DataFrame, texts: DataFrame, texts_a: DataFrame | None = None) -> DataFrame:
+    left = (texts if texts_a is None else texts_a).select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
     # Pivots (a) are few and may be hot; the other side is fetched first, so that only ids cross before texts do.
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -193,8 +193,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return _with_texts(pairs, texts).mapInArrow(measure, "a bigint, b bigint")
 
 
-def _apart(pairs: DataFrame, texts: DataFrame, size: int, listed: bool) -> DataFrame:
-    """a, b, n_a, n_b, apart (size of the symmetric difference) and, if asked for, its shingles; pairs beyond the window go."""
+def _apart(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a (a pivot), b, total (sizes of both), apart (size of the symmetric difference) and its shingles; pairs beyond the window go."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -202,30 +202,38 @@ def _apart(pairs: DataFrame, texts: DataFrame, size: int, listed: bool) -> DataF
                 both, every, row, gram = _differences(part, size)
                 apart, total = every - both, every + both
                 near = 100 * apart <= WINDOW * total
-                only = near[row] & listed
+                only = near[row]
                 counts = np.bincount(row[only], minlength=part.num_rows)[near]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(gram[only].view(np.int64)))
                 keep = pa.array(near)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(total[near]), pa.array(apart[near]), lists], ["a", "b", "total", "apart", "difference"])
 
-    return _with_texts(pairs, texts).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
+    # The texts of the pivots are few: filtered first, they are joined without moving the other side's texts again.
+    own = texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
+    return _with_texts(pairs, texts, own).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
 
 
-def _middles(active: DataFrame, sets: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """rep of the pivots: of each crowd, the document nearest to one drawn from it.  Copies of one origin, each with edits of
-    its own, lie about the origin, so the nearest one has the fewest edits."""
-    crowds = active.groupBy("region", "likeness").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("rep").alias("draw"), "rep")).alias("drawn"))
-    crowds = scratch.keep(crowds.where(F.col("rows") >= CROWD).select("region", "likeness", F.col("drawn.rep").alias("a")))
-    pairs = scratch.keep(active.join(crowds, ["region", "likeness"]).where("rep <> a").select("a", F.col("rep").alias("b")).distinct())
-    nearest = _apart(pairs, sets, size, False).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("nearest"))
-    return scratch.keep(nearest.select(F.col("nearest.b").alias("rep")).distinct())
+def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
+    """region, p, n_p: for the largest crowd of every region that has one, the document in its middle.
 
-
-def _cells(active: DataFrame, middles: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    Copies of one origin, each with edits of its own, lie about the origin, so the mean of their counts by slice is near the
+    origin's, and so is the document whose counts are nearest to it.  Any choice gives the same links.
+    """
+    crowds = active.groupBy("region", "likeness").agg(F.count("*").alias("rows")).where(F.col("rows") >= CROWD)
+    largest = scratch.keep(crowds.groupBy("region").agg(F.max(F.struct("rows", "likeness")).alias("most")).select("region", F.col("most.likeness").alias("likeness")))
+    members = active.join(largest, ["region", "likeness"])
+    slices_ = [F.expr(f"(few_{k} >> {8 * b}) & 255") for k in (0, 1) for b in range(8)]
+    means = members.groupBy("region").agg(*(F.avg(x).alias(f"mean_{i}") for i, x in enumerate(slices_)))
+    off = F.round(reduce(lambda x, y: x + y, (F.abs(x - F.col(f"mean_{i}")) for i, x in enumerate(slices_))))
+    # Whole numbers, and equal ones by one hash, so that the regions of a group mostly agree on its middle.
+    near = members.join(means, "region").groupBy("region").agg(F.min(F.struct(off.alias("off"), F.xxhash64("rep").alias("draw"), "rep", "n")).alias("middle"))
+    return scratch.keep(near.select("region", F.col("middle.rep").alias("p"), F.col("middle.n").alias("n_p")))
+
+
+def _cells(active: DataFrame, pivots: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: links to pivots, candidate pairs inside the cells, and (region, rep) of the documents that are done there."""
-    pivots = active.join(middles, "rep").select("region", F.col("rep").alias("p"), F.col("n").alias("n_p"))
     met = scratch.keep(active.join(pivots, "region").where(f"rep <> p and least(n, n_p) * {100 + WINDOW} >= greatest(n, n_p) * {100 - WINDOW}").select("region", "p", "rep"))
-    measured = scratch.keep(_apart(met.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), sets, size, True))
+    measured = scratch.keep(_apart(met.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), sets, size))
     # x in the cell (apart_x <= C (n_x + n_p)) and y linked to it: apart_y <= apart_x + (n_x + n_y) (1 - t) / (1 + t), and n_x <= n_y / t.
     # With C = t W - (1 - t) that is within the window W (n_y + n_p), for a similarity of t.
     cell = f"100 * 100 * apart <= {percent * WINDOW - 100 * (100 - percent)} * total"
@@ -303,10 +311,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     counts = scratch.keep(heads.select(F.col("rep").alias("doc"), "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
     ours = [F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("few_0").alias("few_0_p"), F.col("few_1").alias("few_1_p"), F.col("component").alias("component_p")]
     while not active.isEmpty():
-        middles = _middles(active, sets, size, scratch)
-        if middles.isEmpty():
+        pivots = _pivots(active, scratch)
+        if pivots.isEmpty():
             break
-        to_pivots, pairs, done = _cells(active, middles, sets, size, percent, scratch)
+        to_pivots, pairs, done = _cells(active, pivots, sets, size, percent, scratch)
         links += [scratch.keep(to_pivots), scratch.keep(_linked(_close(pairs, counts, percent), sets, size, percent))]
         active = scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
 
