@@ -87,7 +87,7 @@ def s13_ledger_by_path(spark, d):
     path = F.regexp_replace("file_path", "^/logs/(.*)[.]jsonl$", "/logs/day 1/rollout-2024-$1-x.jsonl")
     named = lines.select("file_path").distinct().select(
         logs.thread_of("file_path").alias("thread_id"), path.alias("log_path"), F.lit("/w").alias("cwd"), F.lit("gpt-5").alias("model"),
-        F.lit(1).alias("tokens_used"), F.current_timestamp().alias("updated_at"))
+        F.lit(1).alias("tokens_used"), F.to_timestamp(F.lit(EVENTS_AS_OF)).alias("updated_at"))
     uri = F.concat(F.lit("file://"), F.replace(path, F.lit(" "), F.lit("%20")))
     kept, _, events = ledger.log_usage(logs.parse_session_logs(lines.withColumn("file_path", uri)), materialise(named))
     sums = kept.groupBy("thread_id").agg(F.count("*").alias("kept_deltas"), F.sum("total_tokens").alias("kept_tokens"))
@@ -427,6 +427,16 @@ def t12_distinct_work(spark, d):
         i.select(F.lit("interval").alias("what"), F.col("interval_id").alias("id"), "project_id", F.lit(None).cast("string").alias("parent_id"), "start_at"))
 
 
+@query
+def t12_transcript_work(spark, d):
+    """Intervals and workers of transcript files: sessions with duration marks, and subagents below the session they belong to."""
+    work, workers = ledger.transcript_work(derived.worked_lines(spark, d))
+    # Ids of projects are hashes; an interval's project is told by the names of the workers with its id.
+    names = workers.select("project_id", "project_name").distinct()
+    return workers.select(F.lit("worker").alias("what"), F.col("worker_id").alias("id"), "worker_kind", "project_name", "parent_id", F.lit(None).cast("timestamp").alias("start_at"), F.lit(None).cast("timestamp").alias("end_at")).unionByName(
+        work.join(names, "project_id", "left").select(F.lit("interval").alias("what"), F.col("interval_id").alias("id"), "worker_kind", F.coalesce("project_name", F.lit("uncategorized")).alias("project_name"), F.col("worker_id").alias("parent_id"), "start_at", "end_at"))
+
+
 # ========================================================================== joins
 
 

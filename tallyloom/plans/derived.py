@@ -366,6 +366,18 @@ def live_events(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("thread_id", (F.col("event_seq") * 2 % many).cast("string")).withColumn("ts", at)
 
 
+def worked_lines(spark: SparkSession, d: str) -> DataFrame:
+    """F6 as files of work: every third conversation is a subagent of the one before; assistant lines of the others end a turn."""
+    number = F.col("session_id").cast("bigint")
+    sub = number % 3 == 1
+    path = F.when(sub, F.concat(F.lit("/t/p/"), (number - 1).cast("string"), F.lit("/subagents/agent-"), "session_id", F.lit(".jsonl"))).otherwise(
+        F.concat(F.lit("/t/p/"), "session_id", F.lit(".jsonl")))
+    ends = F.col("role") == "assistant"
+    lines = views.transcript_lines(spark, d).withColumns({
+        "file_path": path, "subtype": F.when(ends, "turn_duration"), "duration_ms": F.when(ends, (F.col("line_no") + 1) * 1500.5)})
+    return lines.withColumn("cwd", F.when((number % 5 != 0) & (F.col("line_no") > 0), F.col("cwd")))
+
+
 #: Moves transcripts to the days of the thread table, so that a list of both mixes them.
 DAYS_APART = -8193
 

@@ -93,34 +93,42 @@ def log_work(records: DataFrame, threads: DataFrame, edges: DataFrame, as_of: st
     return first, worktime.distinct_workers(workers)
 
 
-def transcript_work(lines: DataFrame) -> DataFrame:
-    """Transcript lines (scanned with the pattern ``timestamp``) to intervals:
-    duration marks of main sessions and lifetimes of subagents."""
+def transcript_work(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Transcript lines (scanned with the pattern ``timestamp``) to (intervals, workers).
+
+    Main sessions give an interval per duration mark, subagents one for their lifetime.  Every file is a worker, also one
+    without intervals; a subagent's parent is the session whose folder holds it.  A file's project is the first folder it
+    names; marks before that line have none.
+    """
     path = F.col("file_path")
     subagent = nm.is_subagent_file(path)
     file_id = F.replace(logs.thread_of(path), F.lit("agent-"), F.lit(""))
-    first_cwd = lines.where("cwd is not null").groupBy("file_path").agg(F.min_by("cwd", "line_no").alias("cwd"))
-    named = lines.drop("cwd").join(first_cwd, "file_path", "left").withColumns(
-        {
-            "file_id": file_id, "worker_kind": F.when(subagent, "subagent").otherwise("main"),
-            "project_id": nm.project_id("cwd", F.lit("transcript")),
-        }
-    ).withColumn("worker_id", F.concat_ws(":", F.lit("transcript"), "worker_kind", "file_id"))
+    files = lines.groupBy("file_path").agg(
+        F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("cwd"), F.min(F.when(F.col("cwd").isNotNull(), F.col("line_no"))).alias("named_at"))
+    files = files.withColumns({"file_id": file_id, "worker_kind": F.when(subagent, "subagent").otherwise("main")}).withColumn(
+        "worker_id", F.concat_ws(":", F.lit("transcript"), "worker_kind", "file_id"))
+    session = F.regexp_extract("file_path", "([^/]+)/[^/]+/[^/]+$", 1)
+    workers = files.select(
+        "worker_id", "worker_kind", nm.project_id("cwd", F.lit("transcript")).alias("project_id"), nm.project_name("cwd").alias("project_name"),
+        F.when(F.col("worker_kind") == "subagent", F.concat(F.lit("transcript:main:"), session)).alias("parent_id"), F.col("file_path").alias("load_order"))
+
     columns = ("interval_id", "worker_id", "worker_kind", "project_id", "start_at", "end_at", "quality", "is_autonomous")
-    marks = worktime.duration_marks(named.where("subtype = 'turn_duration'")).select(*columns)
-    owners = named.where("worker_kind = 'subagent'").select("file_path", "worker_id", "worker_kind", "project_id").distinct()
+    named = lines.drop("cwd").join(files, "file_path")
+    known = F.when(F.col("line_no") >= F.col("named_at"), F.col("cwd"))
+    marks = worktime.duration_marks(named.where("subtype = 'turn_duration'").withColumn("project_id", nm.project_id(known, F.lit("transcript")))).select(*columns)
+    owners = files.where("worker_kind = 'subagent'").select("file_path", "worker_id", "worker_kind", nm.project_id("cwd", F.lit("transcript")).alias("project_id"))
     lives = worktime.lifetimes(named.where("worker_kind = 'subagent'")).join(owners, "file_path").select(*columns)
-    return marks.unionByName(lives)
+    return marks.unionByName(lives), worktime.distinct_workers(workers)
 
 
 def snapshot(
     ledger: DataFrame, calls: DataFrame, loads: DataFrame, catalog: DataFrame, work: DataFrame, as_of: str,
-    tz: str = "UTC", board: DataFrame | None = None, quota: DataFrame | None = None,
+    tz: str = "UTC", board: DataFrame | None = None, quota: DataFrame | None = None, events: DataFrame | None = None,
 ) -> DataFrame:
-    """The snapshot document from the canonical tables."""
+    """The snapshot document from the canonical tables; ``events`` has the counter events per thread (``log_usage``)."""
     dense = materialise(usage.daily_dense(ledger, as_of, tz))
     return sinks.snapshot_document(
-        usage.rollup_windows(ledger, as_of, tz), trend.select_window(dense, as_of, 7, tz).select("day", "tokens"),
+        usage.rollup_windows(ledger, as_of, tz, events), trend.select_window(dense, as_of, 7, tz).select("day", "tokens"),
         rankings.recent_projects(ledger, as_of, tz), rankings.tools_by_share(calls, ledger),
         skills.skill_usage(loads, catalog), scoring.report(work, as_of, tz), as_of,
         trend=trend.summary(dense, as_of, tz), board=board, quota=quota,
@@ -142,13 +150,14 @@ def read_everything(spark: SparkSession, log_path: str, transcript_path: str | N
     return thread_source.union_runtimes(frames)
 
 
-def read_work(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame, edges: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
-    """Work intervals of both runtimes; threads and files too old for the longest period are left out."""
+def read_work(spark: SparkSession, log_path: str, transcript_path: str | None, threads: DataFrame, edges: DataFrame, as_of: str, tz: str = "UTC") -> tuple[DataFrame, DataFrame]:
+    """Work intervals and workers of both runtimes; threads and files too old for the longest period are left out."""
     bound = thread_source.prune_after(spark, as_of, tz)
-    work, _ = log_work(logs.scan_session_logs(spark, log_path, logs.WORK_TYPES), thread_source.updated_since(threads, as_of, tz), edges, as_of)
+    work, workers = log_work(logs.scan_session_logs(spark, log_path, logs.WORK_TYPES), thread_source.updated_since(threads, as_of, tz), edges, as_of)
     if transcript_path:
-        work = work.unionByName(transcript_work(logs.scan_transcripts(spark, transcript_path, pattern='"timestamp"', modified_after=bound)))
-    return work
+        more, others = transcript_work(logs.scan_transcripts(spark, transcript_path, pattern='"timestamp"', modified_after=bound))
+        work, workers = work.unionByName(more), workers.unionByName(others.select(*workers.columns))
+    return work, workers
 
 
 __all__ = [

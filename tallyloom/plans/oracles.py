@@ -764,6 +764,27 @@ twin(
     "f2",
 )
 
+view(
+    "worked",
+    """select *, sub and 1 = 1 as is_sub, min(case when folder is not null then line_no end) over (partition by session_id) as named_at, first_value(folder ignore nulls) over (partition by session_id order by line_no rows between unbounded preceding and unbounded following) as home
+    from (select *, conv_id % 3 = 1 as sub, case when conv_id % 5 <> 0 and line_no > 0 then cwd end as folder from f6)""",
+    "f6",
+)
+view(
+    "worker6",
+    """select session_id, is_sub, any_value(conv_id) as conv_id, any_value(home) as home, min(ts) as first_at, max(ts) as last_at,
+      'transcript:' || case when is_sub then 'subagent' else 'main' end || ':' || session_id as worker_id, case when is_sub then 'subagent' else 'main' end as worker_kind, coalesce(substr(any_value(home), 4), 'uncategorized') as project_name
+    from worked group by session_id, is_sub""",
+    "worked",
+)
+twin(
+    "t12_transcript_work",
+    """select 'worker' as what, worker_id as id, worker_kind, project_name, case when is_sub then 'transcript:main:' || (conv_id - 1) end as parent_id, null::timestamp as start_at, null::timestamp as end_at from worker6
+    union all select 'interval', session_id || ':' || epoch_us(ts), 'main', case when line_no >= named_at then substr(home, 4) else 'uncategorized' end, 'transcript:main:' || session_id, ts - to_microseconds(cast(round((line_no + 1) * 1500.5 * 1000) as bigint)), ts from worked where not is_sub and role = 'assistant'
+    union all select 'interval', '/t/p/' || (conv_id - 1) || '/subagents/agent-' || session_id || '.jsonl:lifecycle', worker_kind, project_name, worker_id, first_at, last_at from worker6 where is_sub and last_at >= first_at + interval 1 second""",
+    "worked", "worker6",
+)
+
 # ========================================================================== joins
 
 twin("j01_thread_parents", "select thread_id, case when n % 5 = 0 then cast(n - 1 as varchar) end as parent_id from f3", "f3")

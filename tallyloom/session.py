@@ -55,7 +55,8 @@ def work_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir is not set: name a folder every executor can reach")
         application = spark.sparkContext.applicationId
         if application not in _LOCAL_FOLDERS:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom import session
-from tallyloom.operators import board, quota, usage
+from tallyloom.operators import board, intervals, quota, usage
 from tallyloom.plans import ledger
 from tallyloom.sources import logs, sinks
 
@@ -56,6 +56,20 @@ def test_ledger_drops_inherited_usage(spark, files, threads, rows):
     assert rows(both.groupBy("runtime").agg(F.sum("total_tokens"))) == [("log", 3800), ("transcript", 15)]
 
 
+def test_ledger_from_a_store_of_parsed_files(spark, files, threads, rows, tmp_path):
+    """A second run reads the changed file only and gives what reading everything gives."""
+    def both(store=None):
+        out = ledger.read_everything(spark, str(files / "logs"), str(files / "tr"), threads, store)
+        return rows(out, "runtime", "thread_id", "total_tokens", "model", "project_path", "ts")
+
+    store = str(tmp_path / "store")
+    assert both(store) == both()
+    with open(files / "tr/-w-app/s.jsonl", "a") as file:
+        file.write(json.dumps({"timestamp": "2026-07-01T07:00:00Z", "message": {"id": "n", "usage": {"input_tokens": 4, "output_tokens": 2}}}) + "\n")
+    after = both(store)
+    assert after == both() and ("transcript", "s", 6) in {r[:3] for r in after}
+
+
 def test_snapshot_from_files(spark, files, threads, rows, tmp_path):
     records = logs.scan_session_logs(spark, str(files / "logs"))
     events, _ = ledger.log_ledger(records, threads)
@@ -65,9 +79,12 @@ def test_snapshot_from_files(spark, files, threads, rows, tmp_path):
     edges = spark.createDataFrame([("parent", "child")], "parent_thread_id string, child_thread_id string")
     work, workers = ledger.log_work(logs.scan_session_logs(spark, str(files / "logs"), logs.WORK_TYPES), threads, edges, AS_OF)
     assert rows(workers, "worker_id", "worker_kind", "parent_id") == [("log:main:parent", "main", None), ("log:subagent:child", "subagent", "log:main:parent")]
-    more = ledger.transcript_work(logs.scan_transcripts(spark, str(files / "tr"), pattern='"timestamp"'))
+    more, others = ledger.transcript_work(logs.scan_transcripts(spark, str(files / "tr"), pattern='"timestamp"'))
     assert rows(more, "worker_id", "quality", "start_at") == [
         ("transcript:main:s", "fact", dt.datetime(2026, 7, 1, 5, 59)), ("transcript:subagent:x", "derived", dt.datetime(2026, 7, 1, 5))]
+    assert rows(others, "worker_id", "worker_kind", "parent_id") == [("transcript:main:s", "main", None), ("transcript:subagent:x", "subagent", "transcript:main:s")]
+    whole = intervals.project_contributions(work.unionByName(more).withColumn("period", F.lit("all")), workers.select("worker_id", "project_name").unionByName(others.select("worker_id", "project_name")))
+    assert {r.project_name for r in whole.collect()} >= {r.project_name for r in others.collect()}
     items = board.schedule_items(spark.createDataFrame([("a", "n", "cron", None)], "schedule_id string, name string, kind string, rrule string"), AS_OF)
     snaps = quota.understand(spark.createDataFrame(
         [("log", 1, dt.datetime(2026, 7, 1), (25.0, 300, None), None)],
@@ -136,4 +153,4 @@ def test_old_transcripts_count(spark, dated, rows):
 def test_work_leaves_old_files_out(spark, dated):
     folder, threads = dated
     edges = spark.createDataFrame([], "parent_thread_id string, child_thread_id string")
-    assert ledger.read_work(spark, str(folder / "logs"), str(folder / "tr"), threads, edges, AS_OF).count() == 0
+    assert ledger.read_work(spark, str(folder / "logs"), str(folder / "tr"), threads, edges, AS_OF)[0].count() == 0
