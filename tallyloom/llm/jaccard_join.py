@@ -29,7 +29,7 @@ and null ids say nothing about likeness, so the sets are numbered and the number
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -173,14 +173,20 @@ def _differences(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
     return both, np.bincount(row, minlength=part.num_rows) - both, row[alone], gram[alone]
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame, texts_a: DataFrame | None = None) -> DataFrame:
-    left = (texts if texts_a is None else texts_a).select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
+#: (ids as ``doc``) -> text, doc of those sets
+Texts = Callable[[DataFrame], DataFrame]
+
+
+def _with_texts(pairs: DataFrame, texts_of: Texts) -> DataFrame:
+    """a, b, text_a, text_b; only texts of sets that are in a pair are moved."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+    left = texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
     # Pivots (a) are few and may be hot; the other side is fetched first, so that only ids cross before texts do.
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts_of: Texts, size: int, percent: int) -> DataFrame:
     """Those (a, b) whose texts reach the similarity, measured on their whole sets."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +196,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 keep = pa.array((100 * both >= percent * every) & (every > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    return _with_texts(pairs, texts).mapInArrow(measure, "a bigint, b bigint")
+    return _with_texts(pairs, texts_of).mapInArrow(measure, "a bigint, b bigint")
 
 
-def _apart(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
     """a (a pivot), b, total (sizes of both), apart (size of the symmetric difference) and its shingles; pairs beyond the window go."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,9 +214,7 @@ def _apart(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 keep = pa.array(near)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(total[near]), pa.array(apart[near]), lists], ["a", "b", "total", "apart", "difference"])
 
-    # The texts of the pivots are few: filtered first, they are joined without moving the other side's texts again.
-    own = texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi")
-    return _with_texts(pairs, texts, own).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
+    return _with_texts(pairs, texts_of).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
 
 
 def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
@@ -230,10 +234,10 @@ def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(near.select("region", F.col("middle.rep").alias("p"), F.col("middle.n").alias("n_p")))
 
 
-def _cells(active: DataFrame, pivots: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: links to pivots, candidate pairs inside the cells, and (region, rep) of the documents that are done there."""
     met = scratch.keep(active.join(pivots, "region").where(f"rep <> p and least(n, n_p) * {100 + WINDOW} >= greatest(n, n_p) * {100 - WINDOW}").select("region", "p", "rep"))
-    measured = scratch.keep(_apart(met.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), sets, size))
+    measured = scratch.keep(_apart(met.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct(), texts_of, size))
     # x in the cell (apart_x <= C (n_x + n_p)) and y linked to it: apart_y <= apart_x + (n_x + n_y) (1 - t) / (1 + t), and n_x <= n_y / t.
     # With C = t W - (1 - t) that is within the window W (n_y + n_p), for a similarity of t.
     cell = f"100 * 100 * apart <= {percent * WINDOW - 100 * (100 - percent)} * total"
@@ -298,12 +302,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     known = scratch.keep(rows.where("n > 0").join(classes, ["n", "low", "high"]).select("doc", "mark", "n", "rep", "head", "counts", "few_0", "few_1", "likeness", "regions", "places"))
     heads = known.where(key == F.col("head"))
 
-    members = heads.select("n", "rep", "few_0", "few_1", "likeness", F.explode(F.arrays_zip("regions", "places")).alias("r"))
-    members = members.groupBy(F.col("r.regions").alias("region"), "rep", "n", "few_0", "few_1", "likeness").agg(F.min("r.places").alias("place"))
+    # One row per set, however often its first document is repeated, so a region has a set once.
+    members = heads.select("n", "rep", "few_0", "few_1", "likeness", "regions", "places").dropDuplicates(["rep"])
+    members = members.select("n", "rep", "few_0", "few_1", "likeness", F.explode(F.arrays_zip("regions", "places")).alias("r"))
+    members = members.select(F.col("r.regions").alias("region"), "rep", "n", "few_0", "few_1", "likeness", F.col("r.places").alias("place"))
     active = scratch.keep(_several(members.withColumn("component", F.col("rep")), "rep", scratch))
     links: list[DataFrame] = []
     wanted = scratch.keep(active.select(F.col("rep").alias("doc")).distinct())
-    sets = scratch.keep(_texts_of(heads.select("head", "rep").join(wanted.withColumnRenamed("doc", "rep"), "rep", "left_semi"), texts.select("text", key.alias("head")), scratch))
+
+    def sets(ids: DataFrame) -> DataFrame:
+        some = heads.select("head", "rep").join(ids.withColumnRenamed("doc", "rep"), "rep", "left_semi")
+        return scratch.keep(_texts_of(some, texts.select("text", key.alias("head")), scratch))
 
     # Sizes, and counts by slice: both differ by no more than the symmetric difference of linked sets.
     apart = " + ".join(f"abs(((few_{k} >> {8 * b}) & 255) - ((few_{k}_p >> {8 * b}) & 255))" for k in (0, 1) for b in range(8))
@@ -315,7 +324,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         if pivots.isEmpty():
             break
         to_pivots, pairs, done = _cells(active, pivots, sets, size, percent, scratch)
-        links += [scratch.keep(to_pivots), scratch.keep(_linked(_close(pairs, counts, percent), sets, size, percent))]
+        close = scratch.keep(_close(pairs, counts, percent))
+        links += [scratch.keep(to_pivots), scratch.keep(_linked(close, sets, size, percent))]
         active = scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
 
     if not active.isEmpty():
