@@ -76,10 +76,17 @@ def s01_session_log_scan(spark, d):
         F.count("*").alias("line_count"), F.sum("line_no").alias("line_no_sum"),
         F.sum("cum.total_tokens").alias("cum_total"), F.sum("last.input_tokens").alias("last_input"),
         F.count_if(F.col("cum").isNotNull()).alias("with_cum"), F.max("ts").alias("last_ts"),
-        F.max("forked_from_id").alias("parent"),
+        F.max("forked_from_id").alias("parent"), F.max("model").alias("model"),
     )
 
 
+@query
+def s01_tool_calls(spark, d):
+    """Tool calls of the same lines, of both kinds."""
+    calls = logs.call_lines(logs.parse_session_logs(derived.session_log_lines(spark, d)))
+    return calls.groupBy("thread_id", "tool_name").agg(F.count("*").alias("call_count"), F.sum("seq").alias("seq_sum"), F.max("ts").alias("last_ts"))
+
+
 @query
 def s13_ledger_by_path(spark, d):
     """The whole log ledger from raw lines whose file names are not the thread's id; the thread table names the files."""

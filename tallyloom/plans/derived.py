@@ -44,7 +44,7 @@ def _iso(ts: str | Column) -> Column:
 
 
 def session_log_lines(spark: SparkSession, d: str) -> DataFrame:
-    """F1f as raw log lines: counters, turn contexts, metadata, noise and broken JSON."""
+    """F1f as raw log lines: counters, metadata, turn contexts, tool calls of both kinds, noise and broken JSON."""
     log = views.fork_log(spark, d)
     stamp = _iso("ts")
     # Counters as text here and there: readers must accept both.
@@ -58,13 +58,19 @@ def session_log_lines(spark: SparkSession, d: str) -> DataFrame:
                   payload=F.struct(F.lit("token_count").alias("type"), info.alias("info")))
     meta = _json(timestamp=stamp, type=F.lit("session_meta"),
                  payload=F.struct(F.col("thread_id").alias("id"), F.col("forked_from_id").alias("forked_from_id")))
+    n = F.col("line_no")
+    context = _json(timestamp=stamp, type=F.lit("turn_context"), payload=F.struct(F.concat(F.lit("gpt-5."), (n % 3).cast("string")).alias("model")))
+    call = _json(timestamp=stamp, type=F.lit("response_item"), payload=F.struct(
+        F.when(n % 2 == 0, "function_call").otherwise("custom_tool_call").alias("type"), pick(views.TOOLS, n).alias("name"), F.lit("{}").alias("arguments")))
     noise = F.when(F.col("line_no") % 3 == 0, '{"type":"response_item","payload":{"type":"message"}}').otherwise('{"type":"token_count", broken')
     texts = log.select(
         F.concat(F.lit("/logs/"), "thread_id", F.lit(".jsonl")).alias("file_path"),
         F.explode(F.array(
-            F.struct((F.col("line_no") * 3).alias("line_no"), token.alias("value")),
-            F.struct((F.col("line_no") * 3 + 1).alias("line_no"), F.when(F.col("line_no") % 5 == 0, meta).alias("value")),
-            F.struct((F.col("line_no") * 3 + 2).alias("line_no"), noise.alias("value")),
+            F.struct((n * 5).alias("line_no"), token.alias("value")),
+            F.struct((n * 5 + 1).alias("line_no"), F.when(n % 5 == 0, meta).alias("value")),
+            F.struct((n * 5 + 2).alias("line_no"), noise.alias("value")),
+            F.struct((n * 5 + 3).alias("line_no"), F.when(n % 7 == 0, context).alias("value")),
+            F.struct((n * 5 + 4).alias("line_no"), F.when(n % 4 < 2, call).alias("value")),
         )).alias("l"),
     )
     return texts.select("file_path", "l.line_no", "l.value").where("value is not null")

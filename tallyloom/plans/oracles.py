@@ -520,9 +520,15 @@ view(
 twin(
     "s01_session_log_scan",
     """select thread_id, line_type, count(*) as line_count, cast(sum(line_no) as bigint) as line_no_sum, cast(sum(cum) as bigint) as cum_total, cast(sum(li) as bigint) as last_input,
-      count(case when has_cum then 1 end) as with_cum, max(ts) as last_ts, max(parent) as parent from (
-      select thread_id, 'token_count' as line_type, line_no * 3 as line_no, s_t as cum, l_i as li, has_cum, ts, null as parent from forkline
-      union all select thread_id, 'session_meta', line_no * 3 + 1, null, null, false, ts, parent from forkline where line_no % 5 = 0) group by thread_id, line_type""",
+      count(case when has_cum then 1 end) as with_cum, max(ts) as last_ts, max(parent) as parent, max(model) as model from (
+      select thread_id, 'token_count' as line_type, line_no * 5 as line_no, s_t as cum, l_i as li, has_cum, ts, null as parent, null as model from forkline
+      union all select thread_id, 'session_meta', line_no * 5 + 1, null, null, false, ts, parent, null from forkline where line_no % 5 = 0
+      union all select thread_id, 'turn_context', line_no * 5 + 3, null, null, false, ts, null, 'gpt-5.' || (line_no % 3) from forkline where line_no % 7 = 0) group by thread_id, line_type""",
+    "forkline",
+)
+twin(
+    "s01_tool_calls",
+    f"select thread_id, {pick(TOOLS, 'line_no')} as tool_name, count(*) as call_count, cast(sum(line_no * 5 + 4) as bigint) as seq_sum, max(ts) as last_ts from forkline where line_no % 4 < 2 group by 1, 2",
     "forkline",
 )
 twin(
