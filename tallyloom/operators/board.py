@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from zoneinfo import available_timezones
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +91,8 @@ def _local_to_instant(local: Column, zone: Column) -> Column:
 def parse_rules(schedules: DataFrame) -> DataFrame:
     """Recurrence text to zone, start, frequency, interval, time of day and weekdays."""
     text = F.coalesce(nm.strip("rrule"), F.lit(""))
-    zones = sorted(available_timezones())
+    # The zones that the JVM, which converts the times, knows.
+    zones = sorted(schedules.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds())
     start_line = F.regexp_extract(text, r"(?im)^(DTSTART[^\n]*)$", 1)
     zone = F.regexp_extract(start_line, r"(?i)TZID=(.*):[^:]*$", 1)
     stamp = F.regexp_extract(start_line, r":([^:]*)$", 1)

@@ -134,6 +134,15 @@ def s07_skill_catalog(spark, d):
     return views.skill_catalog(spark, d)
 
 
+@query
+def s07_skill_files(spark, d):
+    """Pages as skill files in the shape of a binary scan; some are too long to be read."""
+    files = views.table(spark, d, "pages").select(
+        F.concat(F.lit("file:///home/u/.agent/skills/"), "page_id", F.lit("/SKILL.md")).alias("path"), F.to_timestamp(F.lit(EVENTS_AS_OF)).alias("modificationTime"),
+        F.when(F.col("page_id") % 11 == 7, documents.MAX_SKILL_BYTES + F.col("page_id") + 1).otherwise(F.octet_length("html")).cast("bigint").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    return documents.skill_files(files.where("html is not null")).select("skill_path", "byte_count", "token_estimate")
+
+
 @query
 def s08_changed_files(spark, d):
     listing, manifest = derived.file_listing(spark, d), derived.file_manifest(spark, d)

@@ -575,6 +575,10 @@ twin(
     "f8s",
 )
 twin("s07_skill_catalog", "select page_id, skill_path, byte_count, token_estimate from cat", "cat")
+twin(
+    "s07_skill_files",
+    f"select '/home/u/.agent/skills/' || page_id || '/SKILL.md' as skill_path, case when page_id % 11 <> 7 then cast(octet_length(encode(html)) as bigint) end as byte_count, case when page_id % 11 <> 7 then {text_tokens('html')} end as token_estimate from pages where html is not null",
+)
 twin(
     "s08_changed_files",
     """select 'd/' || doc_id as file_path, 'changed' as state from documents where doc_id % 7 <> 0 and (doc_id % 3 = 0 or doc_id % 5 = 0 or doc_id % 11 = 0)

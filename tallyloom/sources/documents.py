@@ -192,7 +192,11 @@ def scan_skill_files(spark: SparkSession, path: str | list[str], glob: str = "*.
     Spark skips hidden folders below a root, so a root (or glob) names them itself,
     such as ``/home/*/.claude``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return skill_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path))
+
+
+def skill_files(files: DataFrame) -> DataFrame:
+    """Rows of a binary scan (path, modificationTime, length, content) as skill files."""
     path, modified = F.regexp_replace("path", "^file:/*", "/").alias("skill_path"), F.col("modificationTime").alias("modified_at")
     none = F.lit(None).cast("bigint")
     read = files.where(F.col("length") <= MAX_SKILL_BYTES).select(

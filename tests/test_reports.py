@@ -159,6 +159,26 @@ def test_merge_order_does_not_matter(spark, rows):
         assert rows(out, *columns) == whole
 
 
+def test_tool_estimates_go_with_rejected_usage(spark, rows):
+    tools = spark.createDataFrame([("shell", 3, 40, 0.5), ("other", 1, None, None)], "tool_name string, call_count bigint, estimated_tokens bigint, estimated_cost_usd double")
+    choice = lambda *flags: spark.createDataFrame([(f,) for f in flags], "suspicious boolean")
+    assert rows(usage.null_tool_estimates(tools, choice(False, True))) == [("other", 1, None, None), ("shell", 3, None, None)]
+    assert rows(usage.null_tool_estimates(tools, choice(False, False))) == rows(tools) == rows(usage.null_tool_estimates(tools, choice()))
+
+
+def test_statuses_of_all_runtimes(spark, rows):
+    """Every status in its precedence: with and without snapshot, file and usage."""
+    slot = "struct<used_percent:double,window_mins:int,resets_at:timestamp>"
+    snaps = quota.understand(spark.createDataFrame(
+        [("old", 1, T0 - dt.timedelta(hours=1), (25.0, 300, None), None), ("good", 2, T0, (25.0, 300, None), None), ("good", 1, T0 - dt.timedelta(hours=9), None, None), ("empty", 3, T0, None, None)],
+        f"runtime string, snapshot_id bigint, captured_at timestamp, primary {slot}, secondary {slot}"))
+    runtimes = spark.createDataFrame([("old", True, True), ("good", True, True), ("empty", True, False), ("usage", False, True), ("nothing", False, False), ("file", True, False)], "runtime string, exists boolean, has_usage boolean")
+    now = str(T0 + dt.timedelta(minutes=15))
+    assert rows(quota.latest_status(snaps, now, runtimes), "runtime", "status") == [
+        ("empty", "localOnly"), ("file", "localOnly"), ("good", "available"), ("nothing", "unavailable"), ("old", "stale"), ("usage", "snapshotNeeded")]
+    assert rows(quota.latest_status(snaps, now), "runtime", "status") == [("empty", "localOnly"), ("good", "available"), ("old", "stale")]
+
+
 def test_board_attention_order(spark, one):
     items = spark.createDataFrame([("i1", "t1", "late", T0 + dt.timedelta(hours=1), "failed"), ("i2", "t2", "early", T0, "failed"), ("i3", "t3", "wait", T0, "waitingInput")],
                                   "item_id string, thread_id string, title string, updated_at timestamp, runtime_state string")
