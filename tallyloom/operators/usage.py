@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import tokens as tok
 from tallyloom.functions.times import as_instant, day_start, local_day, window_starts
-from tallyloom.schemas import TOKEN_COLUMNS
+from tallyloom.schemas import MONEY, TOKEN_COLUMNS
 
 WINDOWS = ("today", "seven_day", "month", "lifetime")
 TREND_DAYS = {"log": 190, "transcript": 179}
@@ -47,6 +47,29 @@ def rollup_windows(ledger: DataFrame, as_of: str, tz: str = "UTC", events: DataF
     )
 
 
+def cached_windows(stats: DataFrame) -> DataFrame:
+    """Totals of stats caches (``documents.parse_stats_cache``) as a window roll-up: no row without a cache.
+
+    A cache has no split and no month, so everything counts as input, the month is the lifetime, and only these two cost.
+    """
+    sums = stats.agg(F.count("*").alias("parsed_files"), *(F.sum(c).alias(c) for c in ("today_tokens", "seven_day_tokens", "lifetime_tokens", "cost_usd"))).where("parsed_files > 0")
+    held = {"today": "today_tokens", "seven_day": "seven_day_tokens", "month": "lifetime_tokens", "lifetime": "lifetime_tokens"}
+    rows = [F.struct(F.lit(name).alias("usage_window"), F.col(c).alias("tokens"), (F.col("cost_usd") if c == "lifetime_tokens" else F.lit(0.0)).alias("cost")) for name, c in held.items()]
+    zero = F.lit(0).cast("bigint")
+    counts = {c: F.col("tokens") if c in ("input_tokens", "total_tokens") else zero for c in TOKEN_COLUMNS}
+    return sums.select("parsed_files", F.inline(F.array(*rows))).select(
+        "parsed_files", zero.alias("token_events"), "usage_window", *(v.alias(c) for c, v in counts.items()), F.col("cost").cast(MONEY).alias("cost_usd")).withColumn("visible_tokens", tok.visible_total())
+
+
+def or_cached(rollup: DataFrame, stats: DataFrame) -> DataFrame:
+    """The roll-up, or that of the stats caches if no usage event was found and there is a cache."""
+    columns = [c for c in rollup.columns if c != "usage_window"]
+    cached = cached_windows(stats).select("usage_window", F.struct(*columns).alias("cached"))
+    missing = (F.col("token_events") == 0) & F.col("cached").isNotNull()
+    both = rollup.join(cached, "usage_window", "left")
+    return both.select(*(c if c == "usage_window" else F.when(missing, F.col(f"cached.{c}")).otherwise(F.col(c)).alias(c) for c in rollup.columns))
+
+
 def daily(ledger: DataFrame, tz: str = "UTC", by: tuple[str, ...] = ()) -> DataFrame:
     """Usage per civil day and the extra keys, with the visible total."""
     return (

@@ -129,6 +129,15 @@ def s06_schedule_files(spark, d):
     return documents.parse_schedules(derived.schedule_files(spark, d)).drop("path")
 
 
+@query
+def s04_stats_fallback(spark, d):
+    """Window roll-ups with stats caches at hand: taken where no usage was found, left alone where it was."""
+    caches = documents.parse_stats_cache(derived.stats_documents(spark, d))
+    used = transcripts.ledger(views.transcript_lines(spark, d))
+    cases = [usage.or_cached(usage.rollup_windows(rows, EVENTS_AS_OF), caches).withColumn("usage", F.lit(name)) for name, rows in (("none", used.where(F.lit(False))), ("some", used))]
+    return cases[0].unionByName(cases[1])
+
+
 @query
 def s07_skill_catalog(spark, d):
     return views.skill_catalog(spark, d)

@@ -106,6 +106,15 @@ def task_documents(spark: SparkSession, d: str) -> DataFrame:
                     (F.col("ts") + F.expr("interval 1 hour")).alias("modified_at"), value.alias("value"))
 
 
+def stats_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One stats cache per customer: both spellings, numbers as text, empty and broken ones."""
+    n = F.col("c_custkey")
+    camel = _json(todayTokens=n % 7, sevenDayTokens=n % 50)
+    snake = _json(today_tokens=(n % 5).cast("string"), total_tokens=n * 3, total_cost_usd=(n % 100) / 4)
+    value = F.when(n % 4 == 0, camel).when(n % 4 == 1, snake).when(n % 4 == 2, "{}").otherwise("[")
+    return views.table(spark, d, "customer").select(F.concat(F.lit("/home/"), n, F.lit("/stats-cache.json")).alias("path"), F.lit(None).cast("timestamp").alias("modified_at"), value.alias("value"))
+
+
 def skill_counter_documents(spark: SparkSession, d: str) -> DataFrame:
     """Maps whose values are numbers, objects or other kinds: one document per event."""
     e = views.events(spark, d)

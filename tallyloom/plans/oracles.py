@@ -905,6 +905,18 @@ view("roll", _rollup("f1p", *UTC_STARTS), "f1p")
 view("rollz", _rollup("f1p", *LA_STARTS), "f1p")
 view("roll6", _rollup("f6l", *UTC_STARTS), "f6l")
 ROLL = f"parsed_files, token_events, usage_window, {', '.join(TOKENS)}, {micro('nano')} as cost_usd, visible_tokens"
+view(
+    "caches",
+    """select * from (select c_custkey as n, case when c_custkey % 4 = 0 then c_custkey % 7 else c_custkey % 5 end as today, case when c_custkey % 4 = 0 then c_custkey % 50 else 0 end as week,
+      case when c_custkey % 4 = 0 then greatest(c_custkey % 7, c_custkey % 50) else c_custkey * 3 end as whole, case when c_custkey % 4 = 1 then (c_custkey % 100) / 4.0 else 0 end as cost from customer where c_custkey % 4 < 2) where whole > 0""",
+)
+twin(
+    "s04_stats_fallback",
+    f"""select 'some' as usage, {ROLL} from roll6
+    union all select 'none', count(*), 0, w, cast(sum(v) as bigint), 0, 0, 0, cast(sum(v) as bigint), cast(case when w in ('month', 'lifetime') then sum(cost) else 0 end as double), cast(sum(v) as bigint)
+      from (select unnest(['today', 'seven_day', 'month', 'lifetime']) as w, unnest([today, week, whole, whole]) as v, cost from caches) group by w""",
+    "roll6", "caches",
+)
 twin("a01_window_rollup", f"select {ROLL} from roll", "roll")
 twin("a01_window_rollup_la", f"select {ROLL} from rollz", "rollz")
 view("daily", f"select cast(ts as date) as day, {SUMS}, cast(sum(nano) as hugeint) as nano from f1p group by 1", "f1p")
