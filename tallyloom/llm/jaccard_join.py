@@ -218,20 +218,20 @@ def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
 
 
 def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
-    """region, p, n_p: for the largest crowd of every region that has one, the document in its middle.
+    """region, p, n_p: for the largest crowd of every region that has one, the document in the middle of all with its key.
 
     Copies of one origin, each with edits of its own, lie about the origin, so the mean of their counts by slice is near the
-    origin's, and so is the document whose counts are nearest to it.  Any choice gives the same links.
+    origin's, and so is the document whose counts are nearest to it.  Crowds of one key have one pivot in all regions, so
+    that a group is measured once; it need not lie in the region.  Any choice gives the same links.
     """
     crowds = active.groupBy("region", "likeness").agg(F.count("*").alias("rows")).where(F.col("rows") >= CROWD)
     largest = scratch.keep(crowds.groupBy("region").agg(F.max(F.struct("rows", "likeness")).alias("most")).select("region", F.col("most.likeness").alias("likeness")))
-    members = active.join(largest, ["region", "likeness"])
+    members = active.join(largest.select("likeness").distinct(), "likeness", "left_semi").select("likeness", "rep", "n", "few_0", "few_1").distinct()
     slices_ = [F.expr(f"(few_{k} >> {8 * b}) & 255") for k in (0, 1) for b in range(8)]
-    means = members.groupBy("region").agg(*(F.avg(x).alias(f"mean_{i}") for i, x in enumerate(slices_)))
-    off = F.round(reduce(lambda x, y: x + y, (F.abs(x - F.col(f"mean_{i}")) for i, x in enumerate(slices_))))
-    # Whole numbers, and equal ones by one hash, so that the regions of a group mostly agree on its middle.
-    near = members.join(means, "region").groupBy("region").agg(F.min(F.struct(off.alias("off"), F.xxhash64("rep").alias("draw"), "rep", "n")).alias("middle"))
-    return scratch.keep(near.select("region", F.col("middle.rep").alias("p"), F.col("middle.n").alias("n_p")))
+    means = members.groupBy("likeness").agg(*(F.avg(x).alias(f"mean_{i}") for i, x in enumerate(slices_)))
+    off = reduce(lambda x, y: x + y, (F.abs(x - F.col(f"mean_{i}")) for i, x in enumerate(slices_)))
+    near = members.join(means, "likeness").groupBy("likeness").agg(F.min(F.struct(off.alias("off"), "rep", "n")).alias("middle"))
+    return scratch.keep(largest.join(near, "likeness").select("region", F.col("middle.rep").alias("p"), F.col("middle.n").alias("n_p")))
 
 
 def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -262,7 +262,7 @@ def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, per
     pairs = found.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct()
     links = known.where("ball").select(F.col("p").alias("a"), "b")
     done = met.join(known.where("cell").select("p", F.col("b").alias("rep")), ["p", "rep"]).select("region", "rep")
-    own = pivots.select("region", F.col("p").alias("rep"))
+    own = pivots.select("region", F.col("p").alias("rep"))  # where the pivot is a member, it is done
     return links, pairs, scratch.keep(done.unionByName(own).distinct())
 
 
@@ -326,7 +326,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         to_pivots, pairs, done = _cells(active, pivots, sets, size, percent, scratch)
         close = scratch.keep(_close(pairs, counts, percent))
         links += [scratch.keep(to_pivots), scratch.keep(_linked(close, sets, size, percent))]
-        active = scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
+        before, active = active.count(), scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
+        if 100 * (before - active.count()) < before:  # such a round costs more than comparing what it settles
+            break
 
     if not active.isEmpty():
         # All links so far, joined up, so that what they connect is not compared again.
