@@ -18,7 +18,8 @@ their differences, since what two documents share with the pivot cancels out.  B
 at most the sum of their differences, and it is small enough for a link only if the differences share a known number of
 shingles; so the join takes prefixes of differences, the rarest shingles first, and copies with edits of their own meet
 nowhere.  Boundary documents, outside the cell but within the radius of it, take part on one side.  A cell's documents have
-then found all their links in that region and leave it.  This goes on until no region holds such a group; what is left is compared directly.
+then found all their links in that region and leave it.  This goes on until no region holds such a group
+or a round settles next to nothing; what is left is compared directly.
 
 The same inequality spares most distances: the hash slices of the universe are pivots too, and the difference of two
 documents' distances to them, summed up (the difference of their shingle counts by slice), is at most the size of their
