@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import names as nm
 from tallyloom.functions.measures import text_tokens
+from tallyloom.functions.rows import once
 from tallyloom.functions.times import parse_instant
 
 MAX_SKILL_BYTES = 4 * 1024 * 1024
@@ -25,7 +26,7 @@ def scan_files(spark: SparkSession, path: str | list[str], glob: str = "*.json")
 
 
 def _documents(files: DataFrame) -> DataFrame:
-    return files.withColumn("doc", F.try_parse_json("value")).where("doc is not null")
+    return once(files, doc=F.try_parse_json("value")).where("doc is not null")
 
 
 def _first(doc: str, kind: str, *paths: str) -> Column:
@@ -83,11 +84,12 @@ def read_limit_documents(docs: DataFrame, preferred: str, text: str = "value") -
     default one.  Adds has_fields (one of the slots is named), malformed (a slot is
     there but has no percentage), available_count and credits.
     """
-    parsed = docs.withColumn("_d", F.try_parse_json(text))
+    parsed = once(docs, _d=F.try_parse_json(text))
     named = F.try_variant_get("_d", f"$.rateLimitsByLimitId['{preferred}']", "variant")
     default = F.try_variant_get("_d", "$.rateLimits", "variant")
-    limits = F.when(_is_object(named), named).otherwise(default)
-    staged = parsed.withColumn("_l", F.when(_is_object(limits), limits))
+    read = once(parsed, _named=named, _default=default)
+    limits = F.when(_is_object(F.col("_named")), F.col("_named")).when(_is_object(F.col("_default")), F.col("_default"))
+    staged = once(read, _l=limits)
 
     def slot(name: str) -> tuple[Column, Column]:
         raw = F.try_variant_get("_l", f"$.{name}", "variant")
@@ -144,10 +146,8 @@ def parse_stats_cache(files: DataFrame) -> DataFrame:
 def parse_skill_counters(files: DataFrame) -> DataFrame:
     """Global skill counters: a value is a number or an object with count and time; other kinds are dropped."""
     docs, spark = _documents(files), files.sparkSession
-    counters = docs.select(
-        "path",
-        F.coalesce(F.try_variant_get("doc", "$.skillUsage", "variant"), F.try_variant_get("doc", "$.skill_usage", "variant")).alias("m"),
-    ).where(_is_object(F.col("m")))
+    held = F.coalesce(F.try_variant_get("doc", "$.skillUsage", "variant"), F.try_variant_get("doc", "$.skill_usage", "variant"))
+    counters = once(docs, m=held).select("path", "m").where(_is_object(F.col("m")))
     rows = counters.lateralJoin(spark.tvf.variant_explode(F.col("m").outer())).select("path", F.col("key").alias("skill_name"), "value")
     kind = F.schema_of_variant("value")
     is_object = kind.startswith("OBJECT")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import names as nm
+from tallyloom.functions.rows import once
 from tallyloom.functions.times import parse_instant
 from tallyloom.schemas import LOG_LINE, TOKEN_COLUMNS, TRANSCRIPT_LINE
 
@@ -56,7 +57,7 @@ def parse_session_logs(lines: DataFrame, types: tuple[str, ...] = LOG_TYPES) ->
 
     Lines that are no JSON, lines without payload and other record types are skipped.
     """
-    parsed = lines.withColumn("r", F.from_json("value", LOG_LINE))
+    parsed = once(lines, r=F.from_json("value", LOG_LINE))
     kind = F.when(F.col("r.type").isin("session_meta", "turn_context"), F.col("r.type")).otherwise(F.col("r.payload.type"))
     return parsed.where("r.payload is not null").select(
         "file_path", "line_no", parse_instant("r.timestamp").alias("ts"), kind.alias("type"), F.col("r.payload").alias("payload")
@@ -168,7 +169,7 @@ def parse_transcripts(lines: DataFrame) -> DataFrame:
     The session is the file stem; a line without a readable time takes the file's
     modification time; the project starts from the decoded directory name.
     """
-    parsed = lines.withColumn("r", F.from_json("value", TRANSCRIPT_LINE))
+    parsed = once(lines, r=F.from_json("value", TRANSCRIPT_LINE))
     usage = "r.message.usage"
     directory = F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)
     return parsed.where("r is not null").select(
