@@ -45,7 +45,7 @@ def log_usage(records: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFr
     """As ``log_ledger``, and the counter events of each thread for ``usage.rollup_windows``."""
     records, thread = owned_records(records, threads)
     lines = materialise(logs.counter_lines(records, thread))
-    numbered = materialise(lineage.number_deltas(counters.normalise(lines).drop("model")))
+    numbered = materialise(lineage.number_deltas(materialise(counters.normalise(lines).drop("model"))))
     prefixes = materialise(lineage.inherited_prefix(numbered, lineage.fork_parents(lines.where("line_type = 'session_meta'"))))
     models = lineage.carry_model(lines.select("thread_id", "line_no", "line_type", "model"), threads).where(
         "line_type = 'token_count'"
