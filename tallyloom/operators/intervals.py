@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.times import as_instant, day_start, local_day, micros_between
 from tallyloom.operators import ordered
+from tallyloom.session import materialise
 
 # Fixed values.
 PERIODS = {"today": 1, "sevenDays": 7, "twentyEightDays": 28}
@@ -73,7 +74,8 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     an island when it starts after everything before it has ended; touching merges.
     """
     slot = ordered.hour_slot("start_at")
-    reach = ordered.running(rows, keys, ["start_at"], slot, reach=ordered.highest_before(F.col("end_at")))
+    # An ordered step reads its input twice, two of them four times.
+    reach = materialise(ordered.running(materialise(rows), keys, ["start_at"], slot, reach=ordered.highest_before(F.col("end_at"))))
     opens = F.when(F.col("reach").isNull() | (F.col("start_at") > F.col("reach")), F.col("start_at"))
     return ordered.running(reach, keys, ["start_at"], slot, island=ordered.highest(opens))
 

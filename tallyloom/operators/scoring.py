@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators import intervals as iv
+from tallyloom.session import materialise
 
 # References, weights and bounds of the score.
 WEIGHTS = {"span": 0.30, "leverage": 0.30, "orchestration": 0.25, "autonomy": 0.15}
@@ -31,7 +32,8 @@ def _bounded(value: Column) -> Column:
 
 def metrics(intervals: DataFrame, as_of: str, tz: str = "UTC") -> DataFrame:
     """Every measure the scores need: one row per period that exists, work or not."""
-    return metrics_of(iv.islands(intervals, as_of, tz), as_of, tz)
+    # Seven measures read the islands, some of them several times.
+    return metrics_of(materialise(iv.islands(intervals, as_of, tz)), as_of, tz)
 
 
 def metrics_of(islands_df: DataFrame, as_of: str, tz: str = "UTC", points: DataFrame | None = None) -> DataFrame:

@@ -190,7 +190,7 @@ def s10_runtime_union(spark, d):
 @query
 def s11_snapshot_document(spark, d):
     """The nested snapshot, compared by a few values read back from the JSON."""
-    events = views.usage_events(spark, d)
+    events = materialise(views.usage_events(spark, d))
     rollup = usage.rollup_windows(events, EVENTS_AS_OF)
     loads, catalog = views.skill_loads(spark, d), views.skill_catalog(spark, d)
     document = sinks.snapshot_document(

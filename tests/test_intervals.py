@@ -139,3 +139,15 @@ def test_turn_pairs(spark, rows):
         "*", "timestamp'2026-07-21 00:00:00' as created_at", "'automation' as worker_kind", "cast(null as string) as automation_id")
     out = worktime.pair_turns(events, AS_OF, ordered.line_slot("line_no"), ["line_no"])
     assert rows(out, "turn_id", "start_at", "end_at", "quality") == [("x", t(20), t(50), "derived"), ("y", t(55), t(60), "derived")]
+
+
+def test_measures_read_islands_once(spark):
+    """The intervals are read for the islands alone; every measure reads the written islands."""
+    work = spark.range(40).select(
+        F.col("id").cast("string").alias("interval_id"), (F.col("id") % 4).cast("string").alias("worker_id"), F.lit("main").alias("worker_kind"),
+        F.lit("p").alias("project_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("start_at"),
+        F.timestamp_seconds(F.lit(1_700_000_090) + F.col("id") * 60).alias("end_at"), F.lit("fact").alias("quality"), F.lit(False).alias("is_autonomous"))
+    measures = scoring.metrics(work, "2023-11-14 23:30:00")
+    assert "(0, 40, step=1" not in measures._jdf.queryExecution().optimizedPlan().toString()
+    # One minute apart and a minute and a half long: two at a time.
+    assert {r.period: r.peak for r in measures.collect()} == {"today": 2, "sevenDays": 2, "twentyEightDays": 2}
