@@ -223,22 +223,23 @@ _INCOMING_DDL = "thread_id string, _slot bigint, _incoming array<bigint>"
 def _effects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = effect = None
 
-    def finished() -> pa.RecordBatch:
+    def finished() -> dict:
         entries = [{"total": t, "input": i, "leaves": leaves} for t, i, leaves in effect.rows()]
-        row = {"thread_id": key[0], "_slot": key[1], "entries": entries,
-               "peak": list(effect.peak), "seen": effect.seen}
-        return pa.RecordBatch.from_pylist([row], schema=_EFFECT)
+        return {"thread_id": key[0], "_slot": key[1], "entries": entries, "peak": list(effect.peak), "seen": effect.seen}
 
     for batch in batches:
+        # One batch out for one batch in: short slots would cost a batch each.
+        rows = []
         columns = (batch.column(name).to_pylist() for name in ("thread_id", "_slot", "_n"))
         for thread, slot, number, sample in zip(*columns, _vectors(batch, "cum")):
             if number == 1:
                 if key is not None:
-                    yield finished()
+                    rows.append(finished())
                 key, effect = (thread, slot), SlotEffect()
             effect.add(sample)
+        yield pa.RecordBatch.from_pylist(rows, schema=_EFFECT)
     if key is not None:
-        yield finished()
+        yield pa.RecordBatch.from_pylist([finished()], schema=_EFFECT)
 
 
 def _chain(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,22 +269,22 @@ def _chain_on(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As ``_chain``, from the state before; a row without a slot ends each session with the state it leaves."""
     thread = state = None
 
-    def left() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"thread_id": thread, "_slot": None, "_incoming": None if state is None else list(state)}], schema=_INCOMING)
+    def left() -> dict:
+        return {"thread_id": thread, "_slot": None, "_incoming": None if state is None else list(state)}
 
     for batch in batches:
-        rows, started = [], False
+        rows = []
         for row in batch.to_pylist():
             if row["_n"] == 1:
                 if thread is not None:
-                    rows += left().to_pylist()
+                    rows.append(left())
                 thread, state = row["thread_id"], None if row["_before"] is None else tuple(row["_before"])
             rows.append({"thread_id": thread, "_slot": row["_slot"], "_incoming": None if state is None else list(state)})
             entries = [(e["total"], e["input"], e["leaves"]) for e in row["entries"]]
             state = apply_effect(state, entries, row["peak"], row["seen"])
         yield pa.RecordBatch.from_pylist(rows, schema=_INCOMING)
     if thread is not None:
-        yield left()
+        yield pa.RecordBatch.from_pylist([left()], schema=_INCOMING)
 
 
 def slot_states(counted: DataFrame, before: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Counter normaliser: literal cases, slot independence and the brute-force walk."""
 
+import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import counters, lineage
 from tallyloom.operators.counters import FIELDS, step
+from tallyloom.plans import derived, views
 
 SAMPLE = "struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint,reasoning_output_tokens:bigint,total_tokens:bigint>"
 LINE = f"thread_id string, line_no bigint, line_type string, cum {SAMPLE}, last {SAMPLE}"
@@ -176,3 +179,27 @@ def test_many_long_sessions_do_not_depend_on_slots(spark):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert len(seen) == 1
+
+
+def test_short_slots_share_batches():
+    """As many batches leave the slot step as come in, however short the slots are."""
+    vector = {n: 5 for n in counters.FIELDS}
+    rows = [{"thread_id": f"t{n}", "_slot": 0, "_n": 1, "cum": vector} for n in range(50)]
+    kind = pa.struct([(n, pa.int64()) for n in counters.FIELDS])
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("thread_id", pa.string()), ("_slot", pa.int64()), ("_n", pa.int32()), ("cum", kind)]))
+    out = list(counters._effects([batch, batch]))
+    assert len(out) <= 3 and [r["thread_id"] for b in out for r in b.to_pylist()] == [r["thread_id"] for r in rows] * 2
+    assert all(r["peak"] == [5] * 5 for b in out for r in b.to_pylist())
+
+
+def test_fixture_log_reads_events_once(spark, tmp_path):
+    """The log is built from stages that are written, not from events scanned again for every ordered step."""
+    data = [(n, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), n % 3, "signup" if n % 9 == 0 else "click", 1.5, '{"k": %d}' % (n % 20)) for n in range(60)]
+    spark.createDataFrame(data, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    log = views.counter_log(spark, str(tmp_path))
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "props" not in plan
+    lines = derived.session_log_lines(spark, str(tmp_path))
+    assert lines._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    # Lines of k = 3 and 13 are written twice.
+    assert log.where("line_type = 'token_count'").count() == 60 + 3 + 3
