@@ -363,7 +363,7 @@ def _lines(spark, d):
 
 def _numbered_forks(spark, d):
     log = materialise(views.fork_log(spark, d))
-    numbered = materialise(lineage.number_deltas(counters.normalise(log)))
+    numbered = materialise(lineage.number_deltas(materialise(counters.normalise(log))))
     meta = log.where("forked_from_id is not null")
     return log, numbered, lineage.fork_parents(meta)
 
