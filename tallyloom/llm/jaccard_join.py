@@ -23,8 +23,9 @@ or a round settles next to nothing; what is left is compared directly.
 
 The same inequality spares most distances: the hash slices of the universe are pivots too, and the difference of two
 documents' distances to them, summed up (the difference of their shingle counts by slice), is at most the size of their
-symmetric difference.  Regions hold ids, sizes and 16 such counts, a list of 64 is compared next, and only what is left is
-measured on the texts.  Copies with one set are one document from the start.  A document is a text under an id; repeated
+symmetric difference.  Regions hold ids, sizes and 16 such counts, a list of 64 is compared next, then the parities of
+the shingles by slot, four slots and more a shingle: as many bits differ as slots hold an odd number of the symmetric
+difference, which is nearly its size and never more.  Only what is left is measured on the texts.  Copies with one set are one document from the start.  A document is a text under an id; repeated
 and null ids say nothing about likeness, so the sets are numbered and the numbers are joined, never the ids.
 """
 
@@ -55,6 +56,9 @@ SLICES, FEW = 64, 16
 #: Members of a region with one likeness key from which they get a document as pivot; smallest hashes in the key.
 CROWD, SMALLEST = 16, 4
 
+#: Slots of a set's parities per shingle at least (a power of two), and at most for one set.
+SLOTS, MOST_SLOTS = 4, 1 << 20
+
 #: Differences to a pivot are kept up to this share of both sets, in percent.
 WINDOW = 60
 
@@ -178,16 +182,65 @@ def _differences(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
 Texts = Callable[[DataFrame], DataFrame]
 
 
-def _with_texts(pairs: DataFrame, texts_of: Texts) -> DataFrame:
-    """a, b, text_a, text_b; only texts of sets that are in a pair are moved."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct())
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, text_a, text_b."""
     left = texts.join(pairs.select(F.col("a").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
     # Pivots (a) are few and may be hot; the other side is fetched first, so that only ids cross before texts do.
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
 
-def _linked(pairs: DataFrame, texts_of: Texts, size: int, percent: int) -> DataFrame:
+def parities(row: np.ndarray, gram: np.ndarray, rows: int) -> list[bytes]:
+    """A bit per slot of each row's set: whether an odd number of its shingles fall there."""
+    n = np.bincount(row, minlength=rows)
+    slots = np.minimum(1 << np.ceil(np.log2(np.maximum(SLOTS * n, 64))).astype(np.int64), MOST_SLOTS)
+    end = np.cumsum(slots)
+    place = (end - slots)[row] + (gram & (slots[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(place, minlength=slots.sum()) & 1).astype(bool), bitorder="little").tobytes()
+    return [odd[e - k : e] for e, k in zip((end // 8).tolist(), (slots // 8).tolist())]
+
+
+def least_apart(one: bytes, other: bytes) -> int:
+    """Slots in which the parities differ, at most the size of the symmetric difference; the longer list is folded to the shorter."""
+    if len(one) < len(other):
+        one, other = other, one
+    a, b, half = int.from_bytes(one, "little"), int.from_bytes(other, "little"), 4 * len(one)
+    while half >= 8 * len(other):
+        a, half = (a >> half) ^ (a & ((1 << half) - 1)), half // 2
+    return (a ^ b).bit_count()
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """doc, n, odd: the parities of each set."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in slices(batch.column(0)):
+                rows = len(offsets) - 1
+                row, gram = shingles(data, offsets, size)
+                row, gram = distinct_in_order(row, gram, np.zeros(len(row), bool))
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, rows), pa.array(np.bincount(row, minlength=rows)), pa.array(parities(row, gram, rows), pa.binary())], ["doc", "n", "odd"])
+
+    return texts.select("text", "doc").mapInArrow(sketch, "doc bigint, n bigint, odd binary")
+
+
+def _nearly(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) whose parities do not rule a link out; the parities travel, not the texts."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = np.fromiter(map(least_apart, batch.column(4).to_pylist(), batch.column(5).to_pylist()), np.int64, batch.num_rows)
+            keep = pa.array((100 + percent) * apart <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    left, right = (sketches.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}")) for x in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _linked(pairs: DataFrame, texts_of: Texts, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those (a, b) whose texts reach the similarity, measured on their whole sets."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +250,13 @@ def _linked(pairs: DataFrame, texts_of: Texts, size: int, percent: int) -> DataF
                 keep = pa.array((100 * both >= percent * every) & (every > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
-    return _with_texts(pairs, texts_of).mapInArrow(measure, "a bigint, b bigint")
+    texts = texts_of(_ids(pairs))
+    sketches = scratch.keep(_sketches(texts, size))
+    near = scratch.keep(_nearly(pairs, sketches, percent))
+    some = texts.join(_ids(near), "doc", "left_semi").select("text", "doc")
+    links = scratch.keep(_with_texts(near, some).mapInArrow(measure, "a bigint, b bigint").distinct(), near.count())
+    scratch.free(texts, sketches, near)
+    return links
 
 
 def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
@@ -215,7 +274,7 @@ def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
                 keep = pa.array(near)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(total[near]), pa.array(apart[near]), lists], ["a", "b", "total", "apart", "difference"])
 
-    return _with_texts(pairs, texts_of).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
+    return _with_texts(pairs, texts_of(_ids(pairs))).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
 
 
 def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
@@ -297,10 +356,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     frequent = repeated_anchors(texts, regions_by(None), FREQUENT_SHARE)
     repeated = repeated_anchors(texts, regions_by(frequent), FREQUENT_SHARE)
     rows = scratch.keep(_assign(texts, size, percent, frequent, repeated))
-    classes = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min(key).alias("head")))
+    empty = scratch.keep(rows.where("n = 0").select("doc", "mark", "n"))
+    heads = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min(key).alias("head")))
     # Sets are numbered in the order of their first documents, so that the smallest number has the smallest id.
-    classes = scratch.keep(classes.sort("head").withColumn("rep", F.monotonically_increasing_id()))
+    classes = scratch.keep(heads.sort("head").withColumn("rep", F.monotonically_increasing_id()))
     known = scratch.keep(rows.where("n > 0").join(classes, ["n", "low", "high"]).select("doc", "mark", "n", "rep", "head", "counts", "few_0", "few_1", "likeness", "regions", "places"))
+    scratch.free(rows, heads)
     heads = known.where(key == F.col("head"))
 
     # One row per set, however often its first document is repeated, so a region has a set once.
@@ -310,15 +371,17 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     active = scratch.keep(_several(members.withColumn("component", F.col("rep")), "rep", scratch))
     links: list[DataFrame] = []
     wanted = scratch.keep(active.select(F.col("rep").alias("doc")).distinct())
+    counts = scratch.keep(heads.select(F.col("rep").alias("doc"), "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
+    whole, known = known, scratch.keep(known.select("doc", "mark", "n", "rep", "head"))
+    scratch.free(whole, wanted)
 
     def sets(ids: DataFrame) -> DataFrame:
-        some = heads.select("head", "rep").join(ids.withColumnRenamed("doc", "rep"), "rep", "left_semi")
+        some = known.where(key == F.col("head")).select("head", "rep").join(ids.withColumnRenamed("doc", "rep"), "rep", "left_semi")
         return scratch.keep(_texts_of(some, texts.select("text", key.alias("head")), scratch))
 
     # Sizes, and counts by slice: both differ by no more than the symmetric difference of linked sets.
     apart = " + ".join(f"abs(((few_{k} >> {8 * b}) & 255) - ((few_{k}_p >> {8 * b}) & 255))" for k in (0, 1) for b in range(8))
     admitted = f"least(n, n_p) * 100 >= {percent} * greatest(n, n_p) and (100 + {percent}) * ({apart}) <= (100 - {percent}) * (n + n_p)"
-    counts = scratch.keep(heads.select(F.col("rep").alias("doc"), "n", "counts").join(wanted, "doc", "left_semi").dropDuplicates(["doc", "n", "counts"]))
     ours = [F.col("rep").alias("p"), F.col("n").alias("n_p"), F.col("few_0").alias("few_0_p"), F.col("few_1").alias("few_1_p"), F.col("component").alias("component_p")]
     while not active.isEmpty():
         pivots = _pivots(active, scratch)
@@ -326,16 +389,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             break
         to_pivots, pairs, done = _cells(active, pivots, sets, size, percent, scratch)
         close = scratch.keep(_close(pairs, counts, percent))
-        links += [scratch.keep(to_pivots), scratch.keep(_linked(close, sets, size, percent))]
-        before, active = active.count(), scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
+        links += [scratch.keep(to_pivots), _linked(close, sets, size, percent, scratch)]
+        before, last, active = active.count(), active, scratch.keep(_several(active.join(done, ["region", "rep"], "left_anti"), "component", scratch))
+        scratch.free(last)
         if 100 * (before - active.count()) < before:  # such a round costs more than comparing what it settles
             break
 
     if not active.isEmpty():
         # All links so far, joined up, so that what they connect is not compared again.
         reached = components(reduce(DataFrame.unionByName, links), scratch) if links else active.select(F.col("rep").alias("node"), "component").limit(0)
-        active = active.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        last, active = active, active.drop("component").join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         active = scratch.keep(_several(active, "component", scratch))
+        scratch.free(last)
         other = active.select("region", *ours, F.col("place").alias("place_p"))
         # In the first region two linked sets share, what follows must still hold the intersection they need.
         reach = f"(100 + {percent}) * (1 + least(n - place - 1, n_p - place_p - 1)) >= {percent} * (n + n_p)"
@@ -343,7 +408,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         pairs = scratch.keep(near.select(F.col("p").alias("a"), F.col("rep").alias("b")).distinct())
         many = pairs.count()
         close = scratch.keep(_close(pairs, counts, percent).distinct(), many)
-        links.append(scratch.keep(_linked(close, sets, size, percent).distinct(), many))
+        links.append(_linked(close, sets, size, percent, scratch))
 
     if links:
         joined = components(reduce(DataFrame.unionByName, links), scratch)
@@ -351,7 +416,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     else:
         joined = classes.select("rep", F.col("head").alias("first")).limit(0)
     final = known.join(joined, "rep", "left").select("doc", "mark", "n", F.coalesce("first", "head").alias("first"))
-    final = final.unionByName(rows.where("n = 0").select("doc", "mark", "n", key.alias("first")))
+    final = final.unionByName(empty.select("doc", "mark", "n", key.alias("first")))
     return final.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~F.col("first.none"), F.col("first.id")).alias("component_id"), "mark", (key == F.col("first")).alias("kept"))
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -137,6 +138,52 @@ def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch, size, perce
     assert links > 3_000 and sum(compared) < 10 * len(rows), compared
 
 
+def test_parities_bound_the_symmetric_difference():
+    """Never above it, and near it, also between lists of different lengths."""
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (10, 40), (300, 300), (300, 330), (511, 520), (1000, 1300), (3, 5000)):
+        for share in (0, 0.5, 0.95):
+            both = r.integers(0, 1 << 63, int(share * min(n, m)), dtype=np.uint64)
+            one, other = (np.concatenate((both, r.integers(0, 1 << 63, k - len(both), dtype=np.uint64))) for k in (n, m))
+            row = np.repeat([0, 1, 2], [n, m, 0])
+            odd = jaccard_join.parities(row, np.concatenate((one, other)), 3)
+            apart = n + m - 2 * len(both)
+            low = jaccard_join.least_apart(odd[0], odd[1])
+            assert low == jaccard_join.least_apart(odd[1], odd[0]) <= apart and len(odd[2]) == 8 and not any(odd[2])
+            assert share < 0.9 or low >= 0.85 * apart or apart > n
+    assert jaccard_join.least_apart(odd[0], odd[0]) == 0
+
+
+def test_texts_of_pairs_that_cannot_link_stay_where_they_are(spark, monkeypatch):
+    """Copies with three edits each pass the counts, but fail the limit: only what the parities leave has its texts moved."""
+    r = random.Random(11)
+    rows, sets = [], []
+    for _ in range(12):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(200)]
+        for _ in range(12):
+            text = list(base)
+            for _ in range(r.choice([2, 3, 3, 3])):
+                text[r.randrange(200)] = f"e{r.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(text)))
+            sets.append(frozenset(tuple(text[k : k + 5]) for k in range(196)))
+    asked, moved = [], []
+    for name, seen in (("_linked", asked), ("_with_texts", moved)):
+        def spied(pairs, *rest, inner=getattr(jaccard_join, name), seen=seen):
+            seen.append(pairs.count())
+            return inner(pairs, *rest)
+
+        monkeypatch.setattr(jaccard_join, name, spied)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in jaccard_components(docs, size=5, percent=80).collect()}
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    first = list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            first[a] = first[b] = min(first[a], first[b])
+    assert got == dict(enumerate(first))
+    assert sum(asked) > 5 * len(links) and sum(moved) < 2 * len(links), (asked, moved, len(links))
+
+
 def test_jaccard_of_long_words_made_to_collide(spark):
     """Two words of 1,024 letters, each the other's complement, have one hash in any polynomial modulo 2**64."""
     bits = ["a"]
