@@ -294,6 +294,18 @@ def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(largest.join(near, "likeness").select("region", F.col("middle.rep").alias("p"), F.col("middle.n").alias("n_p")))
 
 
+def _asked(known: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Documents whose prefix holds shingles of others, with ``alone`` (shingles of their own) and ``take`` (those of others).
+
+    The rest meet nobody, and two in the ball need not meet, as the pivot links them.
+    """
+    alone = held.where("held = 1").groupBy("p", "b").agg(F.count("*").alias("alone"))
+    bounds = known.groupBy("p").agg(F.min("over").alias("least"), F.min(F.when(~F.col("ball"), F.col("over"))).alias("least_far"))
+    need = f"greatest(1, ceil((over + if(ball, least_far, least)) / (2 * {100 + percent})))"
+    asked = known.join(bounds, "p").where("not ball or least_far is not null").join(alone, ["p", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return asked.withColumn("take", F.expr(f"cast(apart - {need} + 1 - alone as int)")).where("take > 0").drop("least", "least_far")
+
+
 def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round: links to pivots, candidate pairs inside the cells, and (region, rep) of the documents that are done there."""
     met = scratch.keep(active.join(pivots, "region").where(f"rep <> p and least(n, n_p) * {100 + WINDOW} >= greatest(n, n_p) * {100 - WINDOW}").select("region", "p", "rep"))
@@ -301,23 +313,24 @@ def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, per
     # x in the cell (apart_x <= C (n_x + n_p)) and y linked to it: apart_y <= apart_x + (n_x + n_y) (1 - t) / (1 + t), and n_x <= n_y / t.
     # With C = t W - (1 - t) that is within the window W (n_y + n_p), for a similarity of t.
     cell = f"100 * 100 * apart <= {percent * WINDOW - 100 * (100 - percent)} * total"
+    # Two documents link if 2 (100 + percent) times what their differences share is at least the sum of ``over``.
     known = measured.withColumnRenamed("a", "p").join(pivots.select("p", "n_p").distinct(), "p").withColumn("n", F.col("total") - F.col("n_p")).select(
-        "p", "b", "n", "apart", "difference", F.expr(f"{100 + percent} * apart <= {100 - percent} * total").alias("ball"), F.expr(cell).alias("cell"))
+        "p", "b", "apart", F.expr(f"{100 + percent} * apart - {100 - percent} * n").alias("over"), "difference", F.expr(f"{100 + percent} * apart <= {100 - percent} * total").alias("ball"), F.expr(cell).alias("cell"))
     known = scratch.keep(known)
 
     # Differences as sets of their own, rarest shingles first; those of one document only come before all others.
-    shingle = known.select("p", "b", F.explode("difference").alias("shingle"))
-    common = shingle.groupBy("p", "shingle").agg(F.count("*").alias("held")).where("held > 1")
-    ordered = shingle.join(common, ["p", "shingle"]).groupBy("p", "b").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
-    bounds = known.groupBy("p").agg(F.min("apart").alias("least"), F.max("n").alias("most"))
-    need = f"greatest(1, ceil(({100 + percent} * (apart + least) - {100 - percent} * (n + most)) / (2 * {100 + percent})))"
-    entries = known.drop("difference").join(ordered, ["p", "b"]).join(bounds, "p").withColumn("alone", F.col("apart") - F.size("shared"))
-    entries = entries.withColumn("take", F.expr(f"cast(greatest(0, least(size(shared), apart - {need} + 1 - alone)) as int)")).where("take > 0")
-    entries = scratch.keep(entries.select("p", "b", "n", "apart", "ball", "cell", F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "s"), "alone").select(
-        "p", "b", "n", "apart", "ball", "cell", (F.col("at") + F.col("alone")).alias("at"), F.col("s.shingle").alias("shingle")))
-    other = entries.select("p", "shingle", *(F.col(c).alias(f"{c}_2") for c in ("b", "n", "apart", "ball", "cell", "at")))
+    held = known.select("p", "b", F.explode("difference").alias("shingle")).groupBy("p", "shingle").agg(F.count("*").alias("held"), F.min("b").alias("b"))
+    held = scratch.keep(held)
+    asked = scratch.keep(_asked(known, held, percent))
+    each = ["p", "b", "apart", "over", "ball", "cell", "alone", "take"]
+    shared = asked.select(*each, F.explode("difference").alias("shingle")).join(held.where("held > 1").drop("b"), ["p", "shingle"])
+    ordered = shared.groupBy(*each).agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
+    entries = scratch.keep(ordered.select(*each, F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "s")).select(
+        "p", "b", "apart", "over", "ball", "cell", (F.col("at") + F.col("alone")).alias("at"), F.col("s.shingle").alias("shingle")))
+    scratch.free(held, asked)
+    other = entries.select("p", "shingle", *(F.col(c).alias(f"{c}_2") for c in ("b", "apart", "over", "ball", "cell", "at")))
     # What follows the shingle where two differences meet first must still hold the shingles that a link needs them to share.
-    reach = f"2 * {100 + percent} * (1 + least(apart - at - 1, apart_2 - at_2 - 1)) >= {100 + percent} * (apart + apart_2) - {100 - percent} * (n + n_2)"
+    reach = f"2 * {100 + percent} * (1 + least(apart - at - 1, apart_2 - at_2 - 1)) >= over + over_2"
     found = entries.where("cell").join(other, ["p", "shingle"]).where(f"b <> b_2 and (b < b_2 or not cell_2) and not (ball and ball_2) and {reach}")
     pairs = found.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct()
     links = known.where("ball").select(F.col("p").alias("a"), "b")

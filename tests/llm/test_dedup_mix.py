@@ -184,6 +184,29 @@ def test_texts_of_pairs_that_cannot_link_stay_where_they_are(spark, monkeypatch)
     assert sum(asked) > 5 * len(links) and sum(moved) < 2 * len(links), (asked, moved, len(links))
 
 
+def test_copies_with_edits_of_their_own_ask_for_nobody(spark, monkeypatch):
+    """Differences to the pivot that are a document's own cover its prefix: what it shares with the crowd is not joined."""
+    r = random.Random(3)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(200)]
+    rows = []
+    for k in range(400):
+        text = list(base)
+        for place in r.sample(range(200), 8):
+            text[place] = f"e{r.randint(0, 10**9)}"
+        rows.append((k, " ".join(text)))
+    seen = []
+
+    def spied(known, held, percent, inner=jaccard_join._asked):
+        out = inner(known, held, percent)
+        seen.append((known.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_asked", spied)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert all(x.doc_id == x.component_id for x in jaccard_components(docs).collect())
+    assert sum(k for k, _ in seen) >= 390 and sum(x for _, x in seen) < 0.05 * sum(k for k, _ in seen), seen
+
+
 def test_jaccard_of_long_words_made_to_collide(spark):
     """Two words of 1,024 letters, each the other's complement, have one hash in any polynomial modulo 2**64."""
     bits = ["a"]
