@@ -260,7 +260,10 @@ def _linked(pairs: DataFrame, texts_of: Texts, size: int, percent: int, scratch:
 
 
 def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
-    """a (a pivot), b, total (sizes of both), apart (size of the symmetric difference) and its shingles; pairs beyond the window go."""
+    """a (a pivot), b, total (sizes of both), apart (size of the symmetric difference) and its shingles; pairs beyond the window go.
+
+    A difference is packed, eight bytes a shingle, and its shingles are named anew for each pivot, one to one.
+    """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -270,11 +273,13 @@ def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
                 near = 100 * apart <= WINDOW * total
                 only = near[row]
                 counts = np.bincount(row[only], minlength=part.num_rows)[near]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(gram[only].view(np.int64)))
+                names = mix(gram[only] ^ mix(part.column(0).to_numpy().view(np.uint64))[row[only]])
+                ends = np.append(0, np.cumsum(8 * counts)).astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(names.tobytes())])
                 keep = pa.array(near)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), pa.array(total[near]), pa.array(apart[near]), lists], ["a", "b", "total", "apart", "difference"])
 
-    return _with_texts(pairs, texts_of(_ids(pairs))).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference array<bigint>")
+    return _with_texts(pairs, texts_of(_ids(pairs))).mapInArrow(measure, "a bigint, b bigint, total bigint, apart bigint, difference binary")
 
 
 def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
@@ -294,16 +299,53 @@ def _pivots(active: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(largest.join(near, "likeness").select("region", F.col("middle.rep").alias("p"), F.col("middle.n").alias("n_p")))
 
 
-def _asked(known: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+def _packed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of packed differences."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // 8), np.frombuffer(data.tobytes(), np.uint64)
+
+
+def _met(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """``own`` (how many shingles of a difference surely no other difference to the pivot holds) and ``shared`` (the others)."""
+    repeated = repeated_anchors(known.select(F.col("difference").alias("text")), _packed)
+    state = known.sparkSession.sparkContext.broadcast(repeated.state)
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = AnchorFilter(state.value)
+        for batch in batches:
+            for at, data, offsets in slices(batch.column(0)):
+                rows = len(offsets) - 1
+                row, gram = _packed(data, offsets)
+                passes = others.passes(gram)
+                counts = np.bincount(row[passes], minlength=rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(gram[passes].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, rows) for c in batch.columns[1:]), pa.array(np.diff(offsets) // 8 - counts), lists], [*batch.schema.names[1:], "own", "shared"])
+
+    out = scratch.keep(known.select("difference", "p", "b", "apart", "over", "ball", "cell").mapInArrow(
+        divide, "p bigint, b bigint, apart bigint, over bigint, ball boolean, cell boolean, own bigint, shared array<bigint>"))
+    state.destroy()
+    return out
+
+
+def _asked(known: DataFrame, held: DataFrame | None, percent: int) -> DataFrame:
     """Documents whose prefix holds shingles of others, with ``alone`` (shingles of their own) and ``take`` (those of others).
 
-    The rest meet nobody, and two in the ball need not meet, as the pivot links them.
+    The rest meet nobody.  Two in the ball need not meet, as the pivot links them, nor two outside the cell, as neither is
+    done here.  Linked documents are no farther from each other than a link allows, so one of them is too near the pivot,
+    or too far from it, if no possible other is as far (``far``: the largest ``over`` that one linked to it can have).
     """
-    alone = held.where("held = 1").groupBy("p", "b").agg(F.count("*").alias("alone"))
-    bounds = known.groupBy("p").agg(F.min("over").alias("least"), F.min(F.when(~F.col("ball"), F.col("over"))).alias("least_far"))
-    need = f"greatest(1, ceil((over + if(ball, least_far, least)) / (2 * {100 + percent})))"
-    asked = known.join(bounds, "p").where("not ball or least_far is not null").join(alone, ["p", "b"], "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    return asked.withColumn("take", F.expr(f"cast(apart - {need} + 1 - alone as int)")).where("take > 0").drop("least", "least_far")
+    far = f"{2 * (100 + percent)} * apart - over"
+    bounds = known.groupBy("p").agg(
+        F.min("over").alias("least"), F.min(F.when(~F.col("ball"), F.col("over"))).alias("least_out"), F.min(F.when(F.col("cell"), F.col("over"))).alias("least_in"),
+        F.max(F.expr(far)).alias("most"), F.max(F.when(~F.col("ball"), F.expr(far))).alias("most_out"), F.max(F.when(F.col("cell"), F.expr(far))).alias("most_in"))
+    low, high = (f"if(ball, {x}_out, if(cell, {x}, {x}_in))" for x in ("least", "most"))
+    asked = known.join(bounds, "p").where(f"{low} <= {far} and over <= {high}")
+    alone = F.col("own")
+    if held is not None:
+        asked = asked.join(held.where("held = 1").groupBy("p", "b").agg(F.count("*").alias("single")), ["p", "b"], "left")
+        alone = alone + F.coalesce("single", F.lit(0))
+    need = f"greatest(1, ceil((over + {low}) / (2 * {100 + percent})))"
+    asked = asked.withColumn("alone", alone).withColumn("take", F.expr(f"cast(apart - {need} + 1 - alone as int)"))
+    return asked.where("take > 0").select(*known.columns, "alone", "take")
 
 
 def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -319,15 +361,16 @@ def _cells(active: DataFrame, pivots: DataFrame, texts_of: Texts, size: int, per
     known = scratch.keep(known)
 
     # Differences as sets of their own, rarest shingles first; those of one document only come before all others.
-    held = known.select("p", "b", F.explode("difference").alias("shingle")).groupBy("p", "shingle").agg(F.count("*").alias("held"), F.min("b").alias("b"))
-    held = scratch.keep(held)
-    asked = scratch.keep(_asked(known, held, percent))
+    met_others = _met(known, scratch)
+    open_ = scratch.keep(_asked(met_others, None, percent).drop("alone", "take"))
+    held = scratch.keep(open_.select("p", "b", F.explode("shared").alias("shingle")).groupBy("p", "shingle").agg(F.count("*").alias("held"), F.min("b").alias("b")))
+    asked = scratch.keep(_asked(open_, held, percent))
     each = ["p", "b", "apart", "over", "ball", "cell", "alone", "take"]
-    shared = asked.select(*each, F.explode("difference").alias("shingle")).join(held.where("held > 1").drop("b"), ["p", "shingle"])
+    shared = asked.select(*each, F.explode("shared").alias("shingle")).join(held.where("held > 1").drop("b"), ["p", "shingle"])
     ordered = shared.groupBy(*each).agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("shared"))
     entries = scratch.keep(ordered.select(*each, F.posexplode(F.slice("shared", F.lit(1), F.col("take"))).alias("at", "s")).select(
         "p", "b", "apart", "over", "ball", "cell", (F.col("at") + F.col("alone")).alias("at"), F.col("s.shingle").alias("shingle")))
-    scratch.free(held, asked)
+    scratch.free(met_others, open_, held, asked)
     other = entries.select("p", "shingle", *(F.col(c).alias(f"{c}_2") for c in ("b", "apart", "over", "ball", "cell", "at")))
     # What follows the shingle where two differences meet first must still hold the shingles that a link needs them to share.
     reach = f"2 * {100 + percent} * (1 + least(apart - at - 1, apart_2 - at_2 - 1)) >= over + over_2"

@@ -207,6 +207,43 @@ def test_copies_with_edits_of_their_own_ask_for_nobody(spark, monkeypatch):
     assert sum(k for k, _ in seen) >= 390 and sum(x for _, x in seen) < 0.05 * sum(k for k, _ in seen), seen
 
 
+def test_differences_that_meet_nobody_are_not_spread_out(spark, monkeypatch):
+    """Rows made of differences: next to none for copies with edits of their own, and twice as many at most for twice the copies."""
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(400):
+        text = list(base)
+        for place in r.sample(range(200), r.choice([0, 8, 8, 8])):
+            text[place] = f"e{r.randint(0, 10**9)}"
+        texts.append([*text[:-1], f"z{k}"])
+    size, percent = 3, 90
+    made, inner = [], Scratch.keep
+
+    def spied(self, df, rows=None):
+        back = inner(self, df, rows)
+        if "held" in df.columns and "p" in df.columns:
+            made.append(back.agg({"held": "sum"}).first()[0] or 0)
+        return back
+
+    monkeypatch.setattr(Scratch, "keep", spied)
+    found = []
+    for n in (200, 400):
+        made.clear()
+        docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts[:n])], "doc_id long, text string").repartition(3)
+        got = {x.doc_id: x.component_id for x in jaccard_components(docs, size=size, percent=percent).collect()}
+        sets = [frozenset(tuple(t[k : k + size]) for k in range(len(t) - size + 1)) for t in texts[:n]]
+        first = list(range(n))
+        for _ in range(4):
+            for a in range(n):
+                for b in range(a):
+                    if first[a] != first[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        first[a] = first[b] = min(first[a], first[b])
+        assert got == dict(enumerate(first)) and made
+        found.append(sum(made))
+    assert found[1] < 30 * 400 and found[1] <= 3 * found[0] + 400, found
+
+
 def test_jaccard_of_long_words_made_to_collide(spark):
     """Two words of 1,024 letters, each the other's complement, have one hash in any polynomial modulo 2**64."""
     bits = ["a"]
