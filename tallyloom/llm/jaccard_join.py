@@ -36,13 +36,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import AnchorFilter, repeated_anchors
-from .tables import Scratch, filter_by_key, row_key, text_mark
-from .texts import LOWER, block_hash, mix, slices, words
+from .tables import Scratch, arrow_batches, filter_by_key, row_key, text_mark
+from .texts import LOWER, SLICE_BYTES, block_hash, mix, slices, words
 
 #: Words of a shingle, and the similarity in percent from which two documents link.
 SHINGLE, PERCENT = 3, 90
@@ -59,6 +61,9 @@ CROWD, SMALLEST = 16, 4
 #: Slots of a set's parities per shingle at least (a power of two), and at most for one set.
 SLOTS, MOST_SLOTS = 4, 1 << 20
 
+#: Bytes of an Arrow batch, which the JVM and a Python worker hold at once and more than once.
+BATCH_BYTES = 4 << 20
+
 #: Differences to a pivot are kept up to this share of both sets, in percent.
 WINDOW = 60
 
@@ -106,12 +111,10 @@ def _first(row: np.ndarray, rows: int, percent: int) -> tuple[np.ndarray, np.nda
     return np.repeat(begin, take) + index, index, n
 
 
-def _assign(texts: DataFrame, size: int, percent: int, frequent: AnchorFilter, repeated: AnchorFilter) -> DataFrame:
+def _assign(texts: DataFrame, size: int, percent: int, filters: Broadcast) -> DataFrame:
     """doc, mark, n, low, high (128 bits of the set), counts by slice, regions and places: the shingle pivots that others have too."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent.state, repeated.state))
-
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, known = (AnchorFilter(x) for x in shared.value)
+        late, known = (AnchorFilter(x) for x in filters.value)
         for batch in batches:
             for at, data, offsets in slices(batch.column(0)):
                 row, gram = shingles(data, offsets, size)
@@ -166,6 +169,19 @@ def _sets(part: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.
     return row, gram
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows (a, b, text_a, text_b) whose texts together stay below ``SLICE_BYTES``, unless one row alone holds more.
+
+    The rows of a pivot stand together, so if its text is long, those of all rows near it are.
+    """
+    ends = np.cumsum(sum(pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3)))
+    first, before = 0, 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first, before = last, int(ends[last - 1])
+
+
 def _differences(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles in both texts of a row and in either, and (row, shingle) of what only one of them has."""
     row, gram = (np.concatenate(x) for x in zip(*(_sets(part, column, size) for column in (2, 3))))
@@ -244,8 +260,7 @@ def _linked(pairs: DataFrame, texts_of: Texts, size: int, percent: int, scratch:
     """Those (a, b) whose texts reach the similarity, measured on their whole sets."""
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in _parts(batch):
                 both, every, _, _ = _differences(part, size)
                 keep = pa.array((100 * both >= percent * every) & (every > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
@@ -266,8 +281,7 @@ def _apart(pairs: DataFrame, texts_of: Texts, size: int) -> DataFrame:
     """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in _parts(batch):
                 both, every, row, gram = _differences(part, size)
                 apart, total = every - both, every + both
                 near = 100 * apart <= WINDOW * total
@@ -393,6 +407,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     all rows that repeat it.  Shingles are compared by 64-bit
     hashes; documents with one set (128 bits and its size) are one document, the first of them.
     """
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):  # all that Python works on is written in here
+        return _joined(docs, doc_id, text, size, percent)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("bigint").alias("doc"), text_mark(text).alias("mark"))
@@ -409,9 +428,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
         return anchors
 
-    frequent = repeated_anchors(texts, regions_by(None), FREQUENT_SHARE)
+    frequent = repeated_anchors(texts, regions_by(None), FREQUENT_SHARE).only_hot()
     repeated = repeated_anchors(texts, regions_by(frequent), FREQUENT_SHARE)
-    rows = scratch.keep(_assign(texts, size, percent, frequent, repeated))
+    filters = spark.sparkContext.broadcast((frequent.state, repeated.state))
+    rows = scratch.keep(_assign(texts, size, percent, filters))
+    filters.destroy()
     empty = scratch.keep(rows.where("n = 0").select("doc", "mark", "n"))
     heads = scratch.keep(rows.where("n > 0").groupBy("n", "low", "high").agg(F.min(key).alias("head")))
     # Sets are numbered in the order of their first documents, so that the smallest number has the smallest id.

@@ -130,6 +130,10 @@ class AnchorFilter:
         hot = [np.frombuffer(x, np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, _, x in parts if x]
         return AnchorFilter((buckets, size, base, np.concatenate(blobs), np.sort(np.concatenate(hot)) if hot else NONE))
 
+    def only_hot(self) -> AnchorFilter:
+        """Without the bits, for tasks that only ask for hot anchors."""
+        return AnchorFilter((self.buckets, self.size, self.base, np.zeros(1, np.uint8), self.hot_low))
+
     def passes(self, anchor: np.ndarray) -> np.ndarray:
         bucket, low = _address(anchor, self.buckets)
         out = np.ones(len(anchor), bool)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,18 @@ class Scratch:
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, limit: int) -> Iterator[None]:
+    """Plans made inside give Python batches of about so many bytes; with 10,000 texts a batch, a task's memory is that of its longest texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def filter_by_key(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Semi- or anti-join on one key; the key list is sent to all executors only if it is counted to be short."""
     few = keys.limit(limit + 1).count() <= limit

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -15,6 +16,7 @@ from tallyloom.llm.jaccard_join import jaccard_components
 from tallyloom.llm.mixing import mix, targets
 from tallyloom.llm.substring_dedup import remove_repeated_words
 from tallyloom.llm.tables import Scratch, decided
+from tallyloom.llm.texts import SLICE_BYTES
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -244,6 +246,28 @@ def test_differences_that_meet_nobody_are_not_spread_out(spark, monkeypatch):
     assert found[1] < 30 * 400 and found[1] <= 3 * found[0] + 400, found
 
 
+def test_texts_that_python_works_on_at_once_are_bounded_by_bytes(spark, monkeypatch):
+    """A pivot's rows stand together, so 256 rows of long texts are one text 256 times; and a batch of 10,000 long texts is large."""
+    r = random.Random(6)
+    long = [pa.array(["x" * r.choice([3, 300, 90_000, 2_000_000]) for _ in range(300)]) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), *long], ["a", "b", "text_a", "text_b"])
+    parts = list(jaccard_join._parts(batch))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    held = [sum(len(x.as_py()) for k in (2, 3) for x in part.column(k)) for part in parts]
+    assert all(n <= SLICE_BYTES or part.num_rows == 1 for n, part in zip(held, parts)) and any(part.num_rows > 1 for part in parts)
+
+    name, seen, inner = "spark.sql.execution.arrow.maxBytesPerBatch", [], Scratch.keep
+
+    def spied(self, df, rows=None):
+        seen.append(int(spark.conf.get(name).rstrip("b")))
+        return inner(self, df, rows)
+
+    monkeypatch.setattr(Scratch, "keep", spied)
+    before = spark.conf.get(name)
+    assert jaccard_components(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).count() == 2
+    assert max(seen) <= 4 << 20 and spark.conf.get(name) == before
+
+
 def test_jaccard_of_long_words_made_to_collide(spark):
     """Two words of 1,024 letters, each the other's complement, have one hash in any polynomial modulo 2**64."""
     bits = ["a"]
